@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pack, repair
+from . import pack, quality, repair, shard, urls
 from .common import scratch_path
 
 
@@ -28,8 +28,31 @@ def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal all documents over 16 shards."""
+    return shard.shard_documents(table(spark, sf_dir, "documents"))
+
+
+#: Entries of the allow and block lists.
+URL_LISTS = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge all page URLs; a page is labelled bad if its label is of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_LISTS, labels)
+
+
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge all documents; the source is the host."""
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op2_repair_tokens": op2_repair_tokens,
+        "op4_lpt_sharding": op4_lpt_sharding,
+        "op10_url_rules": op10_url_rules,
+        "op7_line_frequency": op7_line_frequency,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     }
