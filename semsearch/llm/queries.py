@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pack, quality, repair, shard, urls
+from . import extract, pack, quality, repair, shard, urls, vafile
 from .common import scratch_path
 
 
@@ -48,11 +48,24 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products for every 50th vector among all others."""
+    vectors = vafile.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op6_maximum_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op2_repair_tokens": op2_repair_tokens,
         "op4_lpt_sharding": op4_lpt_sharding,
         "op10_url_rules": op10_url_rules,
         "op7_line_frequency": op7_line_frequency,
+        "op3_vector_approximation": op3_vector_approximation,
+        "op6_maximum_subsequence": op6_maximum_subsequence,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     }
