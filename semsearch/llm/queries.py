@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, pack, quality, repair, shard, urls, vafile
+from . import extract, mixing, pack, quality, repair, shard, urls, vafile
 from .common import scratch_path
 
 
@@ -59,6 +59,22 @@ def op6_maximum_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_text(table(spark, sf_dir, "pages"))
 
 
+def mixing_levels() -> dict:
+    """Domain (a number from the source's), language and source."""
+    number = F.coalesce(F.regexp_extract(F.col("source"), "([0-9]+)$", 1), F.lit(""))
+    return {"domain": F.concat(F.lit("d"), (F.coalesce(number.try_cast("long"), F.lit(0)) % 3).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+#: Weights of nodes by level; all others weigh 1.
+MIXING_WEIGHTS = {"domain": {"d0": 3, "d1": 2, "d2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def op8_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix 60 % of all tokens from domains, languages and sources, with at most two epochs of a leaf."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing_levels(), MIXING_WEIGHTS, 60, max_epochs=2)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "epoch")
+
+
 def queries() -> dict:
     return {
         "op2_repair_tokens": op2_repair_tokens,
@@ -67,5 +83,6 @@ def queries() -> dict:
         "op7_line_frequency": op7_line_frequency,
         "op3_vector_approximation": op3_vector_approximation,
         "op6_maximum_subsequence": op6_maximum_subsequence,
+        "op8_hierarchical_budgets": op8_hierarchical_budgets,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     }
