@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, mixing, pack, quality, repair, shard, urls, vafile
+from . import extract, lm, mixing, pack, quality, repair, shard, urls, vafile
 from .common import scratch_path
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents with a model of those outside the held-out fold."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents as Re-Pair shards and digest what the files give back."""
     path = scratch_path(spark, "repair-shards")
@@ -77,6 +82,7 @@ def op8_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_brown_bigrams": op1_brown_bigrams,
         "op2_repair_tokens": op2_repair_tokens,
         "op4_lpt_sharding": op4_lpt_sharding,
         "op10_url_rules": op10_url_rules,
