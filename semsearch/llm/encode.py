@@ -1,8 +1,9 @@
 """Token ids of whole texts, with each distinct unit of text encoded once per worker.
 
 A *unit* is a stretch of text that the tokenizer's own pre-splitting never joins
-to its neighbours, so the ids of a text are the ids of its units in order.  Words
-repeat, so the library encodes few of them and the rest are looked up.
+to its neighbours, so the ids of a text are the ids of its units in order; a unit
+that ends in punctuation is looked up as two such pieces.  Words repeat, so the
+library encodes few of them and the rest are looked up.
 """
 
 from __future__ import annotations
@@ -14,26 +15,35 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Units that a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers before it starts anew; bounds its memory, not its results.
+REMEMBERED = 800_000
 
 #: What the split at single blanks and line feeds cannot take: runs of white space, other
 #: white space, white space at either end, and the separator itself (RE2 syntax).
 ODD_SPACE = r"[\t\r\v\f\x00\x1c-\x1f\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
+#: Marks that end a unit and are never joined to a letter or digit before them.
+TAIL_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Places(dict):
-    """Unit -> its number; a new unit gets the next number and waits in ``fresh``."""
+    """Piece -> its number; a new piece gets the next number and waits in ``fresh``."""
 
     def __init__(self):
         super().__init__()
         self.fresh = []
 
-    def __missing__(self, unit):
-        at = self[unit] = len(self)
-        self.fresh.append(unit)
+    def __missing__(self, piece):
+        at = self[piece] = len(self)
+        self.fresh.append(piece)
         return at
 
+    def of(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        return np.fromiter(map(self.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+
 
 def _split(texts: pa.Array) -> pa.ListArray:
     """Units of each text for a vocabulary that keeps white space."""
@@ -41,6 +51,17 @@ def _split(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(texts, "\n", "\x00\n\x00"), "\x00")
 
 
+def _stems_and_tails(units: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each unit cut before the marks that end it, if a letter or digit stands there; else whole and ``""``."""
+    stems = pc.ascii_rtrim(units, TAIL_MARKS)
+    cut = pc.match_substring_regex(stems, r"[\p{L}\p{N}]\z")
+    stems = pc.if_else(cut, stems, units)
+    longer = pc.not_equal(pc.binary_length(stems), pc.binary_length(units)).to_numpy(zero_copy_only=False)
+    tails = np.full(len(units), "", object)
+    tails[longer] = [u[len(s) :] for u, s in zip(units.filter(pa.array(longer)).to_pylist(), stems.filter(pa.array(longer)).to_pylist(), strict=True)]
+    return stems, pa.array(tails, pa.string())
+
+
 class UnitEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does."""
 
@@ -60,6 +81,7 @@ class UnitEncoder:
         """The units of all texts, and where each text's units end."""
         texts = pc.fill_null(texts, "")
         if self.drops_space:
+            texts = pc.ascii_lower(texts)  # it lower-cases everything anyway
             parts = pc.ascii_split_whitespace(texts)
         else:
             odd = pc.match_substring_regex(texts, ODD_SPACE)
@@ -88,16 +110,16 @@ class UnitEncoder:
             self._forget()
         units, ends = self._units(texts)
         units = units.dictionary_encode()
-        names = units.dictionary.to_pylist()
-        known = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        stems, tails = _stems_and_tails(units.dictionary)
+        parts = np.stack([self.places.of(stems), self.places.of(tails)], 1)
         self._learn()
-        places = known[units.indices.to_numpy()]
+        places = parts[units.indices.to_numpy()].ravel()
         first = self.starts[places]
         sizes = self.starts[places + 1] - first
         after = np.cumsum(sizes)
         total = int(after[-1]) if len(after) else 0
         ids = self.flat[np.repeat(first - (after - sizes), sizes) + np.arange(total)]
-        return ids, np.concatenate([[0], after])[ends]
+        return ids, np.concatenate([[0], after])[2 * ends]
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +128,7 @@ def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
-def in_slices(texts: pa.Array, most: int = 6_000_000):
+def in_slices(texts: pa.Array, most: int = 10_000_000):
     """Cut an array of texts into (from, to) ranges of about ``most`` bytes at most, or one text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0

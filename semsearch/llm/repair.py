@@ -18,14 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import small_or_not
 from .encode import encoder, in_slices
 
 #: Tokens after which a shard ends, at the next end of a document.
 SHARD_TOKENS = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
 ROUNDS, PAIRS, LEAST = 4, 16384, 8
-#: Slots that pairs are counted in before the frequent ones are counted exactly.
-SLOT_BITS = 20
+#: Slots that pairs are counted in before the frequent ones are counted exactly, as a power of 2.
+SLOT_BITS = 18
 
 SHARD_SCHEMA = (
     "part int, shard int, before long, n_docs int, n_tokens long, doc_ids binary, doc_ends binary, base int, "
@@ -33,15 +34,18 @@ SHARD_SCHEMA = (
 )
 
 
-def _frequent(keys: np.ndarray, slots: np.ndarray, pairs: int, least: int) -> np.ndarray:
+def _slots(keys: np.ndarray) -> np.ndarray:
+    hashed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashed >>= np.uint64(64 - SLOT_BITS)
+    return hashed.view(np.int64)
+
+
+def _frequent(keys: np.ndarray, pairs: int, least: int) -> np.ndarray:
     """The most frequent keys, the first most of all; equal counts by key."""
-    counts = np.bincount(slots, minlength=1 << SLOT_BITS)
-    # a slot may hold several keys, so its count only bounds theirs: those below can be left out
-    above = np.cumsum(np.bincount(counts)[::-1])[::-1]
-    bar = max(least, int(np.searchsorted(-above, -pairs, "right")) - 1)
-    found, n = np.unique(keys[(counts >= bar)[slots]], return_counts=True)
-    keep = n >= least
-    found, n = found[keep], n[keep]
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    n = np.diff(np.append(first, len(keys)))
+    found, n = keys[first[n >= least]], n[n >= least]
     return found[np.lexsort((found, -n))[:pairs]]
 
 
@@ -49,39 +53,42 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
     """Sequence of symbols and rules (n x 2) whose expansion is ``ids``.
 
     A round replaces the most frequent pairs at once; where two of them overlap
-    the more frequent one is replaced, of equal ones the left one.
+    the more frequent one is replaced, of equal ones every second from the left.
     """
     sequence, rules, symbols = ids.astype(np.int64), [np.empty((0, 2), np.int64)], base
     for _ in range(rounds):
         if len(sequence) < 2:
             break
-        keys = (sequence[:-1] << 32) | sequence[1:]
-        slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        chosen = _frequent(keys, slots, pairs, least)
+        keys = sequence[:-1] << 32
+        keys |= sequence[1:]
+        slots = _slots(keys)
+        counts = np.bincount(slots, minlength=1 << SLOT_BITS)
+        # a slot may hold several keys, so its count only bounds theirs: those below can be left out
+        above = np.cumsum(np.bincount(counts)[::-1])[::-1]
+        bar = max(least, int(np.searchsorted(-above, -pairs, "right")) - 1)
+        maybe = (counts >= bar)[slots]
+        chosen = _frequent(keys[maybe], pairs, least)
         if not len(chosen):
             break
         # one chosen key per slot, the more frequent one, so that a lookup is one comparison
-        chosen_slots = ((chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        chosen = chosen[np.sort(np.unique(chosen_slots, return_index=True)[1])]
-        chosen_slots = ((chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        chosen = chosen[np.sort(np.unique(_slots(chosen), return_index=True)[1])]
         rank_at = np.full(1 << SLOT_BITS, len(chosen), np.int32)
-        rank_at[chosen_slots] = np.arange(len(chosen), dtype=np.int32)
-        rank = rank_at[slots]
-        known = np.append(chosen, -1)
-        rank[known[rank] != keys] = len(chosen)
-        padded = np.concatenate([[len(chosen)], rank, [len(chosen)]])
-        wins = (rank < len(chosen)) & (rank <= padded[:-2]) & (rank <= padded[2:])
-        # in a run of one pair (a a a a) every second place wins
-        place = np.arange(len(rank))
-        run = np.maximum.accumulate(np.where(rank != padded[:-2], place, 0))
-        wins &= (place - run) % 2 == 0
-        at = np.flatnonzero(wins)
-        if not len(at):
-            break
-        used = np.unique(rank[at])
+        rank_at[_slots(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        at = np.flatnonzero(maybe)
+        rank = rank_at[slots[at]]
+        real = np.append(chosen, -1)[rank] == keys[at]
+        at, rank = at[real], rank[real]
+        # the rank of every place and its neighbours; places of no chosen pair rank last
+        ranks = np.full(len(keys) + 2, len(chosen), np.int32)
+        ranks[at + 1] = rank
+        left = ranks[at]
+        run = np.maximum.accumulate(np.where(rank != left, at, 0))
+        wins = (rank <= left) & (rank <= ranks[at + 2]) & ((at - run) % 2 == 0)
+        at, rank = at[wins], rank[wins]
+        used = np.unique(rank)
         renamed = np.zeros(len(chosen), np.int64)
         renamed[used] = symbols + np.arange(len(used))
-        sequence[at] = renamed[rank[at]]
+        sequence[at] = renamed[rank]
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         sequence = sequence[keep]
@@ -190,7 +197,7 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for a, b in in_slices(batch.column(1), 2_500_000):
+            for a, b in in_slices(batch.column(1), 3_000_000):
                 some, ends = codec.encode(batch.column(1)[a:b])
                 doc_ids += batch.column(0)[a:b].to_pylist()
                 ids.append(np.insert(some, ends, end_id))
@@ -232,4 +239,4 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     docs = shards.mapInArrow(decode, "part int, doc_id long, at long, ids binary")
-    return docs.join(offsets, "part").select("doc_id", (F.col("at") + F.col("part_start")).alias("start"), "ids")
+    return docs.join(small_or_not(offsets), "part").select("doc_id", (F.col("at") + F.col("part_start")).alias("start"), "ids")
