@@ -45,7 +45,7 @@ def normal_line(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _measured(doc_ids: pa.Array, hosts: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+def _measured(doc_ids: pa.Array, hosts: pa.Array, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     texts = pc.fill_null(texts, "")
     names, numbers, ends = words(texts)
     starts = np.concatenate([[0], ends[:-1]])
@@ -74,9 +74,8 @@ def _measured(doc_ids: pa.Array, hosts: pa.Array, texts: pa.Array) -> pa.RecordB
         [pa.array(np.fromiter((hashes[i] for i in line.tolist()), np.int64, len(line))), pa.array((times * n_in[line]).astype(np.int32))], names=["line", "n"]
     )
     edges = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in texts.to_pylist()), np.int64, len(texts))
     columns = [
-        doc_ids, hosts, pa.array(keys), pa.array(np.diff(ends, prepend=0)), pa.array(total(pc.utf8_length(names))),
+        doc_ids, hosts, keys, pa.array(np.diff(ends, prepend=0)), pa.array(total(pc.utf8_length(names))),
         pa.array(total(pc.count_substring_regex(names, SYMBOLS))), pa.array(dup_lines), pa.array(repeats), pa.ListArray.from_arrays(pa.array(edges), held),
     ]
     return pa.RecordBatch.from_arrays(columns, names=MEASURE_NAMES)
@@ -87,11 +86,12 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     def run(batches):
         for batch in batches:
-            for a, b in in_slices(batch.column(2)):
-                yield _measured(*(batch.column(i)[a:b] for i in range(3)))
+            for a, b in in_slices(batch.column(3)):
+                yield _measured(*(batch.column(i)[a:b] for i in range(4)))
 
     host = F.coalesce(df[host_col].cast("string"), F.lit(""))
-    return df.select(df[id_col].cast("long"), host, df[text_col].cast("string")).mapInArrow(run, MEASURES)
+    text = df[text_col].cast("string")
+    return df.select(df[id_col].cast("long"), host, F.xxhash64(text), text).mapInArrow(run, MEASURES)
 
 
 def frequent_lines(docs: DataFrame, max_share: float, min_documents: int) -> DataFrame:
@@ -122,6 +122,23 @@ def judge_documents(
     and fails; repeated rows are judged alike; an empty table gives no rows.
     Other columns are not read.
     """
+    judged = _judged(df, id_col, text_col, host_col, max_share, min_documents, min_words, max_repeat_percent, max_removed)
+    return judged.drop("_row", "host")
+
+
+def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` that ``judge_documents`` keeps, whole; rejected rows are named by hash and filtered out."""
+    judged = _judged(df, id_col, text_col, host_col)
+    gone = stored(judged.where("not kept").select("_row").distinct(), "rejected")
+    host = F.coalesce(df[host_col].cast("string"), F.lit(""))
+    keyed = df.withColumn("_row", F.xxhash64(df[id_col].cast("long"), host, F.xxhash64(df[text_col].cast("string"))))
+    return keyed.join(small_or_not(gone, 1_000_000), "_row", "left_anti").drop("_row")
+
+
+def _judged(
+    df: DataFrame, id_col: str, text_col: str, host_col: str,
+    max_share: float = 0.1, min_documents: int = 10, min_words: int = 50, max_repeat_percent: int = 50, max_removed: float = 0.5,
+) -> DataFrame:
     docs = stored(measure(df, id_col, text_col, host_col), "measures").withColumn("_row", F.xxhash64("doc_id", "host", "text_key"))
     bad = small_or_not(frequent_lines(docs, max_share, min_documents))
     lines = docs.select("_row", "host", F.explode("lines").alias("l")).select("_row", "host", "l.line", "l.n")
@@ -130,8 +147,9 @@ def judge_documents(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = F.col("removed_words") > max_removed * F.col("n_words")
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words"
-    )
+        "_row", "host", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "removed_words",
+    )
 
 
 def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, lm, mixing, pack, quality, repair, shard, urls, vafile
+from . import extract, lm, mixing, neardup, pack, quality, repair, shard, urls, vafile
 from .common import scratch_path
 
 
@@ -80,6 +80,11 @@ def op8_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "epoch")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def queries() -> dict:
     return {
         "op1_brown_bigrams": op1_brown_bigrams,
@@ -90,5 +95,6 @@ def queries() -> dict:
         "op3_vector_approximation": op3_vector_approximation,
         "op6_maximum_subsequence": op6_maximum_subsequence,
         "op8_hierarchical_budgets": op8_hierarchical_budgets,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
     }
