@@ -33,8 +33,11 @@ def tokens(url: Column) -> Column:
     words = F.regexp_extract_all(F.lower(path(url)), F.lit(r"([\p{L}\p{N}_-]+)"), 1)
     names = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), 1)
     marked = [(labels, "host:"), (F.transform(words, lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(x)), "path:"), (names, "query:")]
-    parts = [F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x, m=m: F.concat(F.lit(m), x)) for a, m in marked]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*(_prefixed(a, m) for a, m in marked)))
+
+
+def _prefixed(texts: Column, prefix: str) -> Column:
+    return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.concat(F.lit(prefix), x))
 
 
 def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
