@@ -23,10 +23,15 @@ REMEMBERED = 800_000
 ODD_SPACE = r"[\t\r\v\f\x00\x1c-\x1f\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
-#: Marks that end a unit and are never joined to a letter or digit before them.
+#: Marks that end a unit and are never joined to what ``STEM_END`` says.
 TAIL_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: What may stand before them: digits and letters of Latin and Cyrillic that keep being one
+#: letter when lower-cased and composed (RE2 syntax); other units stay whole.
+STEM_END = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}]\z"
+
+
 class _Places(dict):
     """Piece -> its number; a new piece gets the next number and waits in ``fresh``."""
 
@@ -52,9 +57,9 @@ def _split(texts: pa.Array) -> pa.ListArray:
 
 
 def _stems_and_tails(units: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Each unit cut before the marks that end it, if a letter or digit stands there; else whole and ``""``."""
+    """Each unit cut before the marks that end it, if ``STEM_END`` stands there; else whole and ``""``."""
     stems = pc.ascii_rtrim(units, TAIL_MARKS)
-    cut = pc.match_substring_regex(stems, r"[\p{L}\p{N}]\z")
+    cut = pc.match_substring_regex(stems, STEM_END)
     stems = pc.if_else(cut, stems, units)
     longer = pc.not_equal(pc.binary_length(stems), pc.binary_length(units)).to_numpy(zero_copy_only=False)
     tails = np.full(len(units), "", object)

@@ -197,7 +197,7 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for a, b in in_slices(batch.column(1), 3_000_000):
+            for a, b in in_slices(batch.column(1), min(3_000_000, 3 * shard_tokens)):
                 some, ends = codec.encode(batch.column(1)[a:b])
                 doc_ids += batch.column(0)[a:b].to_pylist()
                 ids.append(np.insert(some, ends, end_id))
