@@ -38,7 +38,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
         siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
         given = F.least(F.col("given") if parent else F.lit(budget), F.sum("cap").over(siblings))
         # the children that fill up first, by capacity for their weight, come first
-        order = siblings.orderBy((F.col("cap") / F.col("w")).asc_nulls_last(), F.col(levels[depth]))
+        order = siblings.orderBy(F.try_divide("cap", "w").asc_nulls_last(), F.col(levels[depth]))
         so_far = order.rowsBetween(Window.unboundedPreceding, -1)
         dealt = nodes.select(
             *path, "cap", "w", given.alias("given"),
