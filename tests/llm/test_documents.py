@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -326,11 +327,15 @@ def test_model_is_a_distribution_and_base_is_exact(spark):
     model = lm.fit(frame(spark, [r for r in rows if not held[r[0]]]).select("text"), frequent=50, clustered=20, classes=4, rounds=3)
     scores = {r.k: r.score for r in lm.score(df, model, carry=["k"]).collect()}
     end = model.transitions[:, -1]
-    shape = lm.shape_of(__import__("pyarrow").array(texts[1:]))
     rank = {w: k for k, w in enumerate(model.frequent.to_pylist())}
-    cls = [model.classes[rank[t[4:]]] if rank.get(t[4:], 99) < model.clustered else model.classes[model.clustered + s] for t, s in zip(texts[1:], shape, strict=True)]
-    steps = [10 ** (scores[k + 1] - (scores[0] - end[model.classes[rank["the"]]]) - end[c]) for k, c in enumerate(cls)]
-    assert sum(steps) + 10 ** end[model.classes[rank["the"]]] == pytest.approx(1, abs=0.02)
+
+    def class_of(word):
+        k = rank.get(word, model.clustered)
+        return model.classes[k if k < model.clustered else model.clustered + int(lm.shape_of(pa.array([word]))[0])]
+
+    first = end[class_of("the")]
+    steps = [10 ** (scores[k] - (scores[0] - first) - end[class_of(t[4:])]) for k, t in enumerate(texts) if k]
+    assert sum(steps) + 10**first == pytest.approx(1, abs=0.02)
 
 
 def likelihood(pairs, classes):
