@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from semsearch.llm import mixing, neardup, pack, quality
 from semsearch.llm.common import stored
@@ -19,8 +20,11 @@ MIXTURE_PERCENT = 90
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.kept_documents(docs)
+    """Documents that the quality rules keep, without the lines that many documents of their source share."""
+    kept = quality.kept_documents(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

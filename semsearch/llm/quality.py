@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_not, stored
+from .common import BROADCAST_ROWS, small_or_not, stored
 from .encode import in_slices
 from .words import windows, words
 
@@ -45,7 +45,7 @@ def normal_line(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _measured(doc_ids: pa.Array, hosts: pa.Array, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+def _measures(doc_ids: pa.Array, hosts: pa.Array, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     texts = pc.fill_null(texts, "")
     names, numbers, ends = words(texts)
     starts = np.concatenate([[0], ends[:-1]])
@@ -87,7 +87,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     def run(batches):
         for batch in batches:
             for a, b in in_slices(batch.column(3)):
-                yield _measured(*(batch.column(i)[a:b] for i in range(4)))
+                yield _measures(*(batch.column(i)[a:b] for i in range(4)))
 
     host = F.coalesce(df[host_col].cast("string"), F.lit(""))
     text = df[text_col].cast("string")
@@ -122,25 +122,33 @@ def judge_documents(
     and fails; repeated rows are judged alike; an empty table gives no rows.
     Other columns are not read.
     """
-    judged = _judged(df, id_col, text_col, host_col, max_share, min_documents, min_words, max_repeat_percent, max_removed)
-    return judged.drop("_row", "host")
+    docs, frequent = _measured(df, id_col, text_col, host_col, max_share, min_documents)
+    return _judged(docs, frequent, min_words, max_repeat_percent, max_removed).drop("_row", "host")
 
 
 def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that ``judge_documents`` keeps, whole; rejected rows are named by hash and filtered out."""
-    judged = _judged(df, id_col, text_col, host_col)
-    gone = stored(judged.where("not kept").select("_row").distinct(), "rejected")
+    """The rows of ``df`` that ``judge_documents`` keeps, without the frequent lines of their host.
+
+    Rejected rows are named by hash and filtered out; other columns stay as they are.
+    """
+    docs, frequent = _measured(df, id_col, text_col, host_col)
+    gone = stored(_judged(docs, frequent).where("not kept").select("_row").distinct(), "rejected")
     host = F.coalesce(df[host_col].cast("string"), F.lit(""))
     keyed = df.withColumn("_row", F.xxhash64(df[id_col].cast("long"), host, F.xxhash64(df[text_col].cast("string"))))
-    return keyed.join(small_or_not(gone, 1_000_000), "_row", "left_anti").drop("_row")
+    kept = keyed.join(small_or_not(gone, 1_000_000), "_row", "left_anti").drop("_row")
+    return without_frequent_lines(kept, frequent, text_col, host_col, docs)
 
 
-def _judged(
-    df: DataFrame, id_col: str, text_col: str, host_col: str,
-    max_share: float = 0.1, min_documents: int = 10, min_words: int = 50, max_repeat_percent: int = 50, max_removed: float = 0.5,
-) -> DataFrame:
+def _measured(
+    df: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float = 0.1, min_documents: int = 10
+) -> tuple[DataFrame, DataFrame]:
+    """``measure`` of every row with the hash that names it, and the frequent lines."""
     docs = stored(measure(df, id_col, text_col, host_col), "measures").withColumn("_row", F.xxhash64("doc_id", "host", "text_key"))
-    bad = small_or_not(frequent_lines(docs, max_share, min_documents))
+    return docs, frequent_lines(docs, max_share, min_documents)
+
+
+def _judged(docs: DataFrame, frequent: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_removed: float = 0.5) -> DataFrame:
+    bad = small_or_not(frequent)
     lines = docs.select("_row", "host", F.explode("lines").alias("l")).select("_row", "host", "l.line", "l.n")
     removed = lines.join(bad, ["host", "line"]).groupBy("_row", "line").agg(F.max("n").alias("n")).groupBy("_row").agg(F.sum("n").alias("removed_words"))
     judged = docs.drop("lines", "text_key").join(removed, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
@@ -152,18 +160,29 @@ def _judged(
     )
 
 
-def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``df`` with the ``frequent_lines`` of each host taken out of its texts; null texts stay null."""
-    per_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_frequent"))
+def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source", docs: DataFrame | None = None) -> DataFrame:
+    """``df`` with the ``frequent_lines`` of each host taken out of its texts; null texts stay null.
+
+    A row meets only the frequent lines that it holds itself, from ``docs``, the
+    measures of these or more rows; texts are shuffled only if those lines are too many to broadcast.
+    """
+    docs = measure(df.withColumn("_id", F.lit(0)), "_id", text_col, host_col) if docs is None else docs
+    lines = docs.select("host", "text_key", F.explode("lines.line").alias("line")).join(small_or_not(frequent), ["host", "line"])
+    held = stored(lines.select(F.xxhash64("host", "text_key").alias("_text"), "line").distinct(), "held-lines")
+    few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    per_text = held.groupBy("_text").agg(F.collect_list("line").alias("_frequent"))
 
     def strip(batches):
         for batch in batches:
-            texts = [
-                None if t is None else "\n".join(x for x in t.split("\n") if xxhash.xxh3_64_intdigest(normal_line(x)) - (1 << 63) not in (bad or ()))
-                for t, bad in zip(batch[text_col].to_pylist(), map(lambda v: set(v or ()), batch["_frequent"].to_pylist()), strict=True)
-            ]
-            columns = [pa.array(texts, pa.string()) if n == text_col else batch[n] for n in batch.schema.names if n not in ("_host", "_frequent")]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n not in ("_host", "_frequent")])
-
-    joined = df.join(small_or_not(per_host, 1000), F.coalesce(df[host_col].cast("string"), F.lit("")) == F.col("_host"), "left")
+            for a, b in in_slices(batch[text_col]):
+                part = batch.slice(a, b - a)
+                texts = [
+                    t if t is None or bad is None else "\n".join(x for x in t.split("\n") if not (n := normal_line(x)) or xxhash.xxh3_64_intdigest(n) - (1 << 63) not in bad)
+                    for t, bad in zip(part[text_col].to_pylist(), part["_frequent"].to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else part[n] for n in names], names=names)
+
+    names = df.columns
+    text = F.xxhash64(F.coalesce(df[host_col].cast("string"), F.lit("")), F.xxhash64(df[text_col].cast("string")))
+    joined = df.withColumn("_text", text).join(F.broadcast(per_text) if few else per_text, "_text", "left")
     return joined.mapInArrow(strip, df.schema)

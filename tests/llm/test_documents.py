@@ -398,3 +398,32 @@ def test_pipeline_against_plain_stages(spark):
     assert 0.5 * tokens(second) < tokens(third) <= 0.9 * tokens(second)
     last = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in third.collect()}
+
+
+def stripped(rows, share=0.1, least=10, most=math.inf):
+    """A plain version: each row's text without the lines that are frequent in its host."""
+    normal = lambda x: " ".join(x.lower().split())
+    hosts, having = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        hosts[s or ""].add(t or "")
+        for line in set(map(normal, (t or "").split("\n"))) - {""}:
+            having[s or "", line].add(t)
+    bad = {k for k, v in having.items() if len(v) > least and len(v) > min(most, share * len(hosts[k[0]]))}
+    return {k: t and "\n".join(x for x in t.split("\n") if (s or "", normal(x)) not in bad) for k, t, s in rows}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_pipeline_takes_frequent_lines_out(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", 3)
+    rows = [(k, t, None if s == "src1" else s) for k, t, s in corpus(6)]
+    own = lambda k: " ".join(f"o{k}x{j}" for j in range(60))
+    rows += [(k, f"{own(k)}\n\nShared  LINE of host\n{own(-k)}\nshared line of host", ["hot", None][k % 2]) for k in range(2000, 2040)]
+    rows += [(k, f"shared line of host\n{own(k)}", "other") for k in range(2050, 2055)] + [(2000, rows[-40][1], "hot")]
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text"))
+    got = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "")
+    assert got.schema == docs.schema
+    plain = stripped(rows)
+    kept = [k for (k, _, _), (_, ok) in zip(rows, verdicts(rows, 0.1, 10, 0.5), strict=True) if ok]
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == sorted((k, plain[k], len(plain[k])) for k in kept)
+    assert plain[2001] == f"{own(2001)}\n\n{own(-2001)}" and "shared" in plain[2050]
