@@ -15,6 +15,9 @@ from .words import windows, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
+#: A line in more documents of a host than this is frequent, however large the host is.
+MAX_DOCUMENTS = 100
+
 #: What a document is measured by; ``lines`` has its distinct normalised lines and their words.
 MEASURES = (
     "doc_id long, host string, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -94,35 +97,37 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return df.select(df[id_col].cast("long"), host, F.xxhash64(text), text).mapInArrow(run, MEASURES)
 
 
-def frequent_lines(docs: DataFrame, max_share: float, min_documents: int) -> DataFrame:
-    """Lines of a host (host, line) in more than ``max_share`` of its documents and more than ``min_documents``.
+def frequent_lines(docs: DataFrame, max_share: float, min_documents: int, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """Lines of a host (host, line) in more than ``min_documents`` of its documents and more than ``max_share`` of all, or in more than ``max_documents``.
 
     Rows of equal text are one document, or copies would make their own lines frequent.
     """
     counts = docs.select("host", "text_key", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count_distinct("text_key").alias("n"))
     counts = stored(counts.where(F.col("n") > min_documents), "line-counts")
     hosts = stored(docs.groupBy("host").agg(F.count_distinct("text_key").alias("n_host")), "hosts")
-    return stored(counts.join(small_or_not(hosts), "host").where(F.col("n") > F.col("n_host") * max_share).select("host", "line"), "frequent-lines")
+    return stored(counts.join(small_or_not(hosts), "host").where((F.col("n") > F.col("n_host") * max_share) | (F.col("n") > max(min_documents, max_documents))).select("host", "line"), "frequent-lines")
 
 
 def judge_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     max_share: float = 0.1, min_documents: int = 10, min_words: int = 50, max_repeat_percent: int = 50, max_removed: float = 0.5,
+    max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
     """One row per document: doc_id, the counts of ``measure``, removed_words, base_failed, kept.
 
     A document fails the base rules with fewer than ``min_words`` words or more than
     ``max_repeat_percent`` repeated ones.  Lines found in more than ``max_share`` of the
-    documents of a host (and more than ``min_documents``) are taken out; a document
-    that loses more than ``max_removed`` of its words so is depleted and not kept.
+    documents of a host (and more than ``min_documents``), or in more than
+    ``max_documents`` of them, are taken out; a document that loses more than
+    ``max_removed`` of its words so is depleted and not kept.  Documents of equal
+    text are counted once.
 
     Only hashes of lines are shuffled, with counts formed where the rows are.  The
-    frequent lines of a host are at most (lines per document) / max_share; the table
-    is broadcast only if a count shows it small.  A null or empty text has no words
+    table of frequent lines is broadcast only if a count shows it small.  A null or empty text has no words
     and fails; repeated rows are judged alike; an empty table gives no rows.
     Other columns are not read.
     """
-    docs, frequent = _measured(df, id_col, text_col, host_col, max_share, min_documents)
+    docs, frequent = _measured(df, id_col, text_col, host_col, max_share, min_documents, max_documents)
     return _judged(docs, frequent, min_words, max_repeat_percent, max_removed).drop("_row", "host")
 
 
@@ -140,11 +145,11 @@ def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _measured(
-    df: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float = 0.1, min_documents: int = 10
+    df: DataFrame, id_col: str, text_col: str, host_col: str, max_share: float = 0.1, min_documents: int = 10, max_documents: int = MAX_DOCUMENTS
 ) -> tuple[DataFrame, DataFrame]:
     """``measure`` of every row with the hash that names it, and the frequent lines."""
     docs = stored(measure(df, id_col, text_col, host_col), "measures").withColumn("_row", F.xxhash64("doc_id", "host", "text_key"))
-    return docs, frequent_lines(docs, max_share, min_documents)
+    return docs, frequent_lines(docs, max_share, min_documents, max_documents)
 
 
 def _judged(docs: DataFrame, frequent: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_removed: float = 0.5) -> DataFrame:

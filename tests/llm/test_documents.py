@@ -149,6 +149,14 @@ def test_frequent_lines_are_taken_out(spark):
     assert texts[3] == "own 3" and texts[9] is None and texts[10] == "shared line\nx"
 
 
+def test_bar_does_not_rise_with_the_host(spark):
+    """A line in less than a tenth of a host is frequent beyond the bound; copies of one text are not."""
+    rows = [(k, f"own {k}" + ("\nspread line" if k < 101 else "") + ("\nrarer line" if k < 100 else ""), "hot") for k in range(1300)]
+    rows += [(k, "copied line\nits own text", "hot") for k in range(2000, 2200)]
+    got = quality.judge_documents(frame(spark, rows), min_words=1, max_removed=1).collect()
+    assert {r.doc_id for r in got if r.removed_words} == set(range(101)) and {r.removed_words for r in got} == {0, 2}
+
+
 # --- mixing
 
 
