@@ -130,8 +130,8 @@ class _Search:
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """node, hashes (sorted 64-bit) of some nodes, from their texts."""
-        wanted = stored(self.nodes.select("node", "doc_id").join(small_or_not(nodes, NUMBERS), "node", "left_semi"), "wanted")
-        texts = self.df.join(small_or_not(wanted.select("doc_id").distinct(), NUMBERS), "doc_id", "left_semi").select("text")
+        wanted = stored(self.nodes.select("node", "key").join(small_or_not(nodes, NUMBERS), "node", "left_semi"), "wanted")
+        texts = self.df.join(small_or_not(wanted.select("key").distinct(), NUMBERS), "key", "left_semi").select("text")
 
         def run(batches):
             for batch in batches:
@@ -140,7 +140,7 @@ class _Search:
                     yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
         found = texts.mapInArrow(run, "node long, hashes binary")
-        # a text may occur under several of the ids
+        # a key stands for one text, which identical rows repeat
         return found.join(small_or_not(wanted.select("node").distinct(), NUMBERS), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
     def link(self, pairs: DataFrame) -> None:

@@ -293,6 +293,21 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in alone) == [(0, 1, 3), (1, 0, 1), (2, 0, 2), (3, 1, 3)]
 
 
+@pytest.mark.parametrize("first_look", [True, False])
+def test_near_copies_without_an_id(spark, monkeypatch, first_look):
+    if not first_look:
+        monkeypatch.setattr(neardup, "RARE", 2)
+        monkeypatch.setattr(neardup._Search, "first_look", lambda self: None)
+    text = lambda tag, *swapped: " ".join(f"{tag}{k}" + ("x" if k in swapped else "") for k in range(100))
+    rows = [(None, text("a"), "s"), (7, text("a"), "s"), (9, text("a", 50), "s")]  # the node's first row has no id
+    rows += [(None, text("b", k), "s") for k in (1, 50, 90)] + [(None, text("c"), "s"), (11, text("c", 99), "s"), (12, text("d"), "s")]
+    df = frame(spark, rows).coalesce(1)
+    got = Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter({(None, 7): 1, (7, 7): 1, (9, 7): 1, (None, None): 3, (None, 11): 1, (11, 11): 1, (12, 12): 1})
+    kept = [(r.doc_id, r.text[0]) for r in neardup.one_of_each(df).collect()]
+    assert Counter(kept) == Counter([(7, "a"), (None, "b"), (11, "c"), (12, "d")])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 60))
 def test_bitmaps_never_rule_out_a_link(common, a, b):
