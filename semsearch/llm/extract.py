@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp")
-#: Elements that never hold main text, by name, by role, or by a word of their class or id.
+#: Elements that never hold main text, by name or role, or by a word of their class or id.
 ASIDE = frozenset("nav footer aside form head menu dialog select button object canvas fieldset datalist applet audio video map".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
@@ -38,21 +39,36 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words of a class that tell of a page's state, not of what the element is.
+STATE_WORDS = frozenset("no not non without with has have is enabled disabled".split())
 
 
-def _is_aside(name: str, attributes: str, in_container: bool) -> bool:
-    """Whether an element holds no main text, from its name and attributes."""
+def _attributes(attributes: str) -> dict[str, str]:
+    """Lower-case names with their values; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for key, value in _ATTRIBUTE.findall(attributes):
+        found.setdefault(key.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return found
+
+
+def _is_aside(name: str, attributes: dict[str, str], in_container: bool) -> bool:
+    """Whether an element holds no main text, from its name, its role or its being hidden."""
     if name in ASIDE or (name == "header" and not in_container):
         return True
-    if not attributes or name in ("html", "body"):
+    if name in ("html", "body"):
         return False
-    for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" and not value or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ASIDE_ROLES:
-            return True
-        if key in ("class", "id") and any(w.lower() in ASIDE_WORDS for part in value.split() for w in [part.lower(), *_NAME_WORDS.findall(part)]):
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ASIDE_ROLES
+
+
+def _may_be_aside(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element's class or id speaks of a menu, an advert or the like; it is one unless it holds most of the page."""
+    if name in ("html", "body") or name in CONTAINER:
+        return False
+    for part in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w.lower() for w in (part, *_NAME_WORDS.findall(part))]
+        if not ASIDE_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words):
             return True
     return False
 
@@ -63,21 +79,25 @@ class Page:
     def __init__(self, html: str):
         self.runs: list[tuple] = []
         self.has_container = False
-        open_tags: list[tuple[str, bool]] = []
-        asides = containers = block = 0
+        open_tags: list[tuple[str, bool, int]] = []
+        asides = containers = block = n_words = 0
+        maybe: list[list[int]] = []  # of elements that may be asides: first and last run, words before and at the end
 
         def close(k: int) -> None:
             nonlocal asides, containers
-            for name, aside in open_tags[k:]:
+            for name, aside, of in open_tags[k:]:
                 asides -= aside
                 containers -= name in CONTAINER and not aside
+                if of >= 0:
+                    maybe[of] += [len(self.runs), n_words]
             del open_tags[k:]
 
         for raw, end1, name1, attributes1, end2, name2, attributes2, text in _TOKEN.findall(html):
             name = (name1 or name2).lower()
             if text:
-                tag = next((n for n, _ in reversed(open_tags) if n not in INLINE), "")
+                tag = next((n for n, *_ in reversed(open_tags) if n not in INLINE), "")
                 self.runs.append(("text", text, containers > 0, asides > 0, block, tag))
+                n_words += 0 if asides else len(text.split())
             elif raw:
                 block += raw.lower() not in ("title",)
             elif name:
@@ -95,11 +115,25 @@ class Page:
                         k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] not in INLINE), None)
                         if k is not None and (open_tags[k][0] == "p" or open_tags[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                             close(k)
-                    aside = _is_aside(name, attributes1 or attributes2, containers > 0)
-                    open_tags.append((name, aside))
+                    attributes = _attributes(attributes1 or attributes2)
+                    aside, of = _is_aside(name, attributes, containers > 0), -1
+                    if not aside and not asides and _may_be_aside(name, attributes):
+                        of = len(maybe)
+                        maybe.append([len(self.runs), n_words])
+                    open_tags.append((name, aside, of))
                     asides += aside
                     containers += name in CONTAINER and not aside
-                    self.has_container |= name in CONTAINER and not asides
+        close(0)
+        # an element that holds most words of the page is its main text, whatever its class
+        change = [0] * (len(self.runs) + 1)
+        for start, before, stop, after in maybe:
+            if 2 * (after - before) < n_words:
+                change[start] += 1
+                change[stop] -= 1
+        for i, (run, depth) in enumerate(zip(self.runs, accumulate(change))):
+            if depth and not run[3]:
+                self.runs[i] = run = (*run[:3], True, *run[4:])
+            self.has_container |= run[2] and not run[3]
 
 
 def learned_counts(html: str) -> dict[str, tuple[int, int]]:

@@ -85,6 +85,25 @@ def test_main_text():
     assert extract.main_text(PAGE.replace("<article><h1>", "<main><h1>").replace("Last.</p></article>", "Last.</p></main>"), {}) == expected
 
 
+LONG = "".join(f"<p>Paragraph {k} of the main text goes on for a while.</p>" for k in range(8))
+LONG_TEXT = "\n".join(f"Paragraph {k} of the main text goes on for a while." for k in range(8))
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ["style='overflow:hidden'", 'title="The hidden valley"', "href=/hidden-gems", 'data-x="?id=comment"', 'data-id="share"', "class='content no-sidebar'", "class=page-with-sidebar",
+     "class='post-header'", "class=share-enabled", "data-hidden", "aria-hidden=false", "id=x class='a' title='class=ad'"],
+)
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_wrappers_of_the_main_text_stay(tag, attributes):
+    assert extract.main_text(f"<body><nav>one</nav><{tag} {attributes}>{LONG}</{tag}><div class=sidebar>side words</div>", {}) == LONG_TEXT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "hidden=''", "HIDDEN=hidden", "aria-hidden=true", "role=navigation", "class='x sidebar'", "id=siteFooter", "class='post-header'", "x='y'class=ad"])
+def test_asides_go(attributes):
+    assert extract.main_text(f"<body><div>{LONG}<div {attributes}>aside words</div>{LONG}</div>", {}) == f"{LONG_TEXT}\n{LONG_TEXT}"
+
+
 def test_page_without_container():
     body = "<p>Some words of the text that go on for a while.</p>" * 5
     page = f"<body><div class='menu'><a>one</a></div><nav>two three</nav><div>{body}</div><div class='ad'>buy now</div>{body}<div class=footer>foot words</div>"
