@@ -28,11 +28,13 @@ ASIDE_WORDS = frozenset(
     "overlay pager pagination popup promo promotion promoted reader-comments recommended related replies reply respond responses share sharing sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar warning widget widgets".split()
 )
-#: Elements that hold the main text where a page has them.
+#: Elements that label the main text of a page.
 CONTAINER = frozenset(("article", "main"))
 
 #: Pages that the weights are learned from at most, and the largest penalty of a tag.
 LABELLED_PAGES, MOST_PENALTY, LEAST_PENALTY = 2000, 2.0, 0.05
+#: What a word gains at most by standing in a container, and loses by standing outside one that its page has.
+CONTAINER_GAIN, CONTAINER_LOSS = 1.5, 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -156,6 +158,20 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return tags | {k: max(-1.0, min(1.0, v)) for k, v in odds.items() if k.startswith("word ")}
 
 
+def container_counts(html: str, weights: dict[str, float]) -> dict[str, tuple[int, int]]:
+    """How many words in and out of the container of a labelled page the weights alone would take, and not."""
+    page, counts = Page(html), {}
+    if not page.has_container:
+        return counts
+    start, stop = best_run(page, weights)
+    for i, (kind, what, inside, aside, *_) in enumerate(page.runs):
+        if kind == "text" and not aside:
+            key, n = f"container {'in' if inside else 'out'}", len(what.split())
+            a, b = counts.get(key, (0, 0))
+            counts[key] = (a + n * (start <= i < stop), b + n * (not start <= i < stop))
+    return counts
+
+
 def learn_weights(pages: DataFrame, html_col: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights from at most ``most`` pages that label their main text with ``article`` or ``main``.
 
@@ -167,45 +183,58 @@ def learn_weights(pages: DataFrame, html_col: str = "html", most: int = LABELLED
     if bar is None:
         return {}
 
-    def count(batches):
-        total = {}
-        for batch in batches:
-            for html in batch.column(0).to_pylist():
-                for k, (a, b) in learned_counts(html).items():
-                    if re.fullmatch(r"\w+ [a-z0-9]{0,10}", k):
-                        x, y = total.get(k, (0, 0))
-                        total[k] = (x + a, y + b)
-        yield pa.RecordBatch.from_pylist([{"k": k, "a": a, "b": b} for k, (a, b) in total.items()], schema=pa.schema([("k", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
+    taken = labelled.where(F.col("_h") <= bar).select(html_col)
 
-    counted = labelled.where(F.col("_h") <= bar).select(html_col).mapInArrow(count, "k string, a long, b long")
-    found = counted.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "k").limit(400).collect()
-    return weights_of({r.k: (r.a, r.b) for r in found})
+    def counted(of_page):
+        def count(batches):
+            total = {}
+            for batch in batches:
+                for html in batch.column(0).to_pylist():
+                    for k, (a, b) in of_page(html).items():
+                        if re.fullmatch(r"\w+ [a-z0-9]{0,10}", k):
+                            x, y = total.get(k, (0, 0))
+                            total[k] = (x + a, y + b)
+            yield pa.RecordBatch.from_pylist([{"k": k, "a": a, "b": b} for k, (a, b) in total.items()], schema=pa.schema([("k", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
 
+        sums = taken.mapInArrow(count, "k string, a long, b long").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        return {r.k: (r.a, r.b) for r in sums.orderBy(F.desc(F.col("a") + F.col("b")), "k").limit(400).collect()}
 
-def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The text of the best region: blocks joined by a line feed, white space in a block as one blank."""
-    if not html:
-        return ""
-    page = Page(html)
+    weights = weights_of(counted(learned_counts))
+    agreed = counted(lambda html: container_counts(html, weights))
+    odds = {k: math.log((a + 1) / (b + 1)) for k, (a, b) in agreed.items()}
+    return weights | {k: max(0.0, min(CONTAINER_GAIN, v)) if k == "container in" else max(-CONTAINER_LOSS, min(0.0, v)) for k, v in odds.items()}
+
+
+def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int]:
+    """The first and last+1 of the page's runs with the highest sum of weights."""
     best, best_at, score, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, what, inside, aside, *at) in enumerate(page.runs):
-        if kind == "tag":
+        if aside:  # never returned; its words part what stands around them, unless that is one container
+            gain = 0.0 if inside or kind == "tag" else -0.2 * len(what.split())
+        elif kind == "tag":
             light = what in INLINE or inside or what in CONTAINER
-            gain = -LEAST_PENALTY if inside else weights.get(f"tag {what}", -LEAST_PENALTY if light else -0.5)
-        elif aside:
-            gain = 0.0 if inside else -0.2 * len(what.split())
-        elif page.has_container:
-            gain = len(what.split()) * (1.0 if inside else -1.0)
+            gain = weights.get(f"tag {what}", -LEAST_PENALTY if light else -0.5)
         else:
-            gain = len(what.split()) * weights.get(f"word {at[1]}", 1.0)
+            weight = weights.get(f"word {at[1]}", 1.0)
+            if page.has_container:
+                weight += weights.get("container in" if inside else "container out", 0.0)
+            gain = len(what.split()) * max(-1.0, min(1.0, weight))
         if score <= 0:
             score, start = 0.0, i
         score += gain
         if score > best:
             best, best_at = score, (start, i + 1)
+    return best_at
+
+
+def main_text(html: str | None, weights: dict[str, float]) -> str:
+    """The text of the best region: blocks joined by a line feed, white space in a block as one blank."""
+    if not html:
+        return ""
+    page = Page(html)
     blocks: dict[int, list[str]] = {}
-    for run in page.runs[slice(*best_at)]:
-        if run[0] == "text" and not run[3] and (run[2] or not page.has_container):
+    for run in page.runs[slice(*best_run(page, weights))]:
+        if run[0] == "text" and not run[3]:
             blocks.setdefault(run[4], []).append(run[1])
     texts = (" ".join(html_lib.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(t for t in texts if t)
@@ -214,9 +243,9 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (code points).
 
-    Words score positive and tags negative; words outside an ``article`` or ``main``
-    that the page has, and words of menus, adverts and the like, score negative too.
-    One scan finds the run with the highest sum; of its blocks those that are not of
+    Words score by the tag they stand under, more in an ``article`` or ``main`` and
+    less outside those that the page has; tags, and words of menus, adverts and the
+    like, score negative.  One scan finds the run with the highest sum; of its blocks those that are not of
     menus, adverts and the like are returned.  ``weights`` default to those learned from the
     labelled ones among the pages.  A null, empty or textless page gives an empty
     text; repeated rows are extracted as often as they occur.  Other columns are not read.

@@ -176,3 +176,18 @@ def test_rules_of_two_tokens(spark):
     labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean").select(urls.tokens(F.col("url")).alias("tokens"), "bad")
     assert [r.antecedent for r in urls.mine_rules(labelled).collect()] == [["host:b", "path:y"]]
     assert urls.mine_rules(labelled.limit(0)).count() == 0 and urls.mine_rules(labelled.where("not bad")).count() == 0
+
+
+def test_main_text_outside_the_container(spark):
+    """A page with teaser cards or a short ``main`` is scored by the learned weights, not cut to these."""
+    pages = [(k, f"u{k}", f"<nav>menu</nav><div>link {k}</div><article><h2>Head</h2>{LONG}</article><div>more links</div>") for k in range(30)]
+    cards = "".join(f"<div>card</div><article><h2>Card {k}</h2></article>" for k in range(3))
+    pages += [(50, "u", f"<div>site</div><div>{LONG}</div>{cards}"), (51, "u", f"<div>site name</div><main><h2>Short</h2></main><section>{LONG}</section><div>links</div>")]
+    pages += [(52, "u", f"<article><div>{'div words ' * 20}</div></article><div>more links</div>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract_text(df).collect()}
+    assert got[3] == f"Head\n{LONG_TEXT}"
+    assert LONG_TEXT in got[50] and LONG_TEXT in got[51] and "links" not in got[51]
+    weights = extract.learn_weights(df)
+    assert weights["container in"] > 0 >= weights["container out"]
+    assert "div words" in got[52] and "links" not in got[52]
