@@ -24,7 +24,7 @@ def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "repair-shards")
     repair.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     ids = F.col("ids")
-    return repair.read_shards(spark, path).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
+    return repair.read_shards(spark, path, without_id=True).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
 
 
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

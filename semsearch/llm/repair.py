@@ -4,7 +4,8 @@ File format: a Parquet table with one row per shard, in ``part``, ``shard`` orde
 
 - part, shard: place of the shard; documents ascend by id over (part, shard)
 - before: tokens of the same part before this shard; n_docs, n_tokens: what it holds
-- doc_ids, doc_ends: little-endian int64; the ids, and where each document's tokens end
+- doc_ids, doc_ends: little-endian int64; the ids, and where each document's tokens end;
+  documents without an id are the last ones and have an end alone
 - base: symbols below are token ids; symbol ``base + i`` is rule ``i``
 - rules: little-endian uint32 pairs (left, right); lengths: uint32, tokens a rule expands to
 - low, high: the sequence's symbols, the low 16 bits as uint16 and one bit plane per higher bit
@@ -12,6 +13,8 @@ File format: a Parquet table with one row per shard, in ``part``, ``shard`` orde
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,8 +26,8 @@ from .encode import encoder, in_slices
 
 #: Tokens after which a shard ends, at the next end of a document.
 SHARD_TOKENS = 1 << 20
-#: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 4, 16384, 8
+#: Pairs replaced in a round, and how often a pair must occur: a rarer one saves less than the 12 bytes of its rule.
+PAIRS, LEAST = 16384, 8
 #: Slots that pairs are counted in before the frequent ones are counted exactly, as a power of 2.
 SLOT_BITS = 18
 
@@ -49,14 +52,15 @@ def _frequent(keys: np.ndarray, pairs: int, least: int) -> np.ndarray:
     return found[np.lexsort((found, -n))[:pairs]]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Sequence of symbols and rules (n x 2) whose expansion is ``ids``.
 
     A round replaces the most frequent pairs at once; where two of them overlap
     the more frequent one is replaced, of equal ones every second from the left.
+    Rounds end when no pair occurs ``least`` times, or after ``rounds``.
     """
     sequence, rules, symbols = ids.astype(np.int64), [np.empty((0, 2), np.int64)], base
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(sequence) < 2:
             break
         keys = sequence[:-1] << 32
@@ -68,15 +72,29 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         bar = max(least, int(np.searchsorted(-above, -pairs, "right")) - 1)
         maybe = (counts >= bar)[slots]
         chosen = _frequent(keys[maybe], pairs, least)
+        if not len(chosen) and bar > least:  # only crowded slots were above the bar
+            maybe = (counts >= least)[slots]
+            chosen = _frequent(keys[maybe], pairs, least)
         if not len(chosen):
             break
-        # one chosen key per slot, the more frequent one, so that a lookup is one comparison
-        chosen = chosen[np.sort(np.unique(_slots(chosen), return_index=True)[1])]
+        # a lookup is one comparison with the most frequent chosen key of a slot; others of the slot are searched for
+        chosen_slots = _slots(chosen)
+        first = np.zeros(len(chosen), bool)
+        first[np.unique(chosen_slots, return_index=True)[1]] = True
         rank_at = np.full(1 << SLOT_BITS, len(chosen), np.int32)
-        rank_at[_slots(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        rank_at[chosen_slots[first]] = np.flatnonzero(first)
         at = np.flatnonzero(maybe)
         rank = rank_at[slots[at]]
         real = np.append(chosen, -1)[rank] == keys[at]
+        others = np.flatnonzero(~first)
+        if len(others):
+            others = others[np.argsort(chosen[others])]
+            shared = np.zeros(1 << SLOT_BITS, bool)
+            shared[chosen_slots[others]] = True
+            again = np.flatnonzero(~real & shared[slots[at]])
+            found = others[np.minimum(np.searchsorted(chosen[others], keys[at[again]]), len(others) - 1)]
+            hit = chosen[found] == keys[at[again]]
+            rank[again[hit]], real[again[hit]] = found[hit], True
         at, rank = at[real], rank[real]
         # the rank of every place and its neighbours; places of no chosen pair rank last
         ranks = np.full(len(keys) + 2, len(chosen), np.int32)
@@ -155,7 +173,7 @@ def shard_row(part: int, shard: int, before: int, doc_ids: list, ids: np.ndarray
     planes = [np.packbits((high >> k & 1).astype(bool)) for k in range(int(high.max(initial=0)).bit_length())]
     return {
         "part": part, "shard": shard, "before": before, "n_docs": len(doc_ids), "n_tokens": len(ids),
-        "doc_ids": np.array(doc_ids, "<i8").tobytes(), "doc_ends": ends.astype("<i8").tobytes(), "base": base,
+        "doc_ids": np.array([i for i in doc_ids if i is not None], "<i8").tobytes(), "doc_ends": ends.astype("<i8").tobytes(), "base": base,
         "rules": rules.astype("<u4").tobytes(), "lengths": rule_lengths(rules, base).astype("<u4").tobytes(),
         "low": (sequence & 0xFFFF).astype("<u2").tobytes(), "high": np.concatenate([np.empty(0, np.uint8), *planes]).tobytes(),
     }
@@ -178,8 +196,8 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
     Documents are dealt by ranges of the id, each task encodes its range in order
     and ends a shard after ``shard_tokens``, so a task holds one shard at a time.
     A null text is empty; ``end_id`` follows each document; repeated ids stand
-    next to each other, by text; rows without an id are left out, as they have no
-    place in the order; an empty table gives no shards.  Other columns are not read.
+    next to each other, by text; rows without an id come last, by text, over as many
+    parts as they fill; an empty table gives no shards.  Other columns are not read.
     """
 
     def encode(batches):
@@ -210,13 +228,18 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SHARD_SCHEMA.split(", "))])
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null")
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    order = F.asc_nulls_last("doc_id")
+    # rows without an id are dealt by how their texts begin, in the order of the whole texts
+    dealt = docs.repartitionByRange(order, F.when(F.col("doc_id").isNull(), F.left("text", F.lit(64))).asc())
+    dealt.sortWithinPartitions(order, "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, without_id: bool = False) -> DataFrame:
     """Documents of the files at ``path``: doc_id, start (ids of all documents before it), ids (binary).
 
+    Those without an id, the last ones, are read if ``without_id`` is set.
+
     A shard's start is its place in its part plus the tokens of the parts before;
     those are summed over one row per part.
     """
@@ -233,10 +256,13 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 starts = np.concatenate([[0], ends[:-1]])
                 data = pa.py_buffer(grammar.decode(sequence).astype("<u4").tobytes())
                 edges = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32))
+                named = np.frombuffer(row["doc_ids"], "<i8")
+                doc_ids = pa.concat_arrays([pa.array(named), pa.nulls(len(ends) - len(named), pa.int64())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ends), row["part"], np.int32)), pa.array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(starts + row["before"]), pa.Array.from_buffers(pa.binary(), len(ends), [None, edges, data])],
+                    [pa.array(np.full(len(ends), row["part"], np.int32)), doc_ids, pa.array(starts + row["before"]), pa.Array.from_buffers(pa.binary(), len(ends), [None, edges, data])],
                     names=["part", "doc_id", "at", "ids"],
                 )
 
     docs = shards.mapInArrow(decode, "part int, doc_id long, at long, ids binary")
+    docs = docs if without_id else docs.where("doc_id is not null")
     return docs.join(small_or_not(offsets), "part").select("doc_id", (F.col("at") + F.col("part_start")).alias("start"), "ids")

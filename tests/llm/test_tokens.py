@@ -81,6 +81,16 @@ def test_grammar_finds_repetition():
     assert repair.shard_symbols(wide)[1].tolist() == list(range(1 << 18))
 
 
+def test_rounds_go_on_until_no_pair_is_frequent(monkeypatch):
+    ids = np.tile(np.random.default_rng(1).permutation(3000), 40)
+    for bits in (18, 2):  # also where many pairs share a slot
+        monkeypatch.setattr(repair, "SLOT_BITS", bits)
+        sequence, rules = repair.compress(ids, 3000)
+        assert np.unique(np.stack([sequence[:-1], sequence[1:]], 1), axis=0, return_counts=True)[1].max(initial=0) < repair.LEAST
+        assert repair.Grammar(3000, rules, repair.rule_lengths(rules, 3000)).decode(sequence).tolist() == ids.tolist()
+        assert len(sequence) <= 40  # a copy is no more than a symbol
+
+
 def docs(spark, texts, **more):
     # a clashing extra column must do no harm
     return spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, start string")
@@ -101,6 +111,21 @@ def test_shards_round_trip(spark):
     assert spark.read.parquet(path).count() > 1  # several shards were read
 
 
+def test_documents_without_an_id_are_in_the_files(spark):
+    from semsearch.llm.queries import op2_repair_tokens
+
+    texts = [(None, f"text {k} without an id") for k in range(40)] + [(None, None), (4, "four"), (-1, "minus one")]
+    folder = scratch_path(spark, "tables")
+    docs(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    got = op2_repair_tokens(spark, folder).orderBy("start").collect()
+    expected = [(-1, "minus one"), (4, "four"), (None, None), *sorted(texts[:40], key=lambda x: x[1])]
+    start = 0
+    for r, (i, t) in zip(got, expected, strict=True):
+        ids = [*plain_of(FILES[0])(t), 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_no_shards_of_an_empty_table(spark):
     path = scratch_path(spark, "shards")
     repair.write_shards(docs(spark, []), path, public_tokenizers.path(FILES[0]))
