@@ -1,13 +1,16 @@
 """Near duplicates by exact Jaccard similarity of word shingles.
 
-Texts with equal shingle sets are one node.  Two nodes that are similar enough
-share a token in the prefixes of their sets, under any one order of tokens.  In
-lists of rare tokens all pairs are candidates.  A token in many lists is frequent:
-the documents that hold one are looked at again with frequent tokens ordered last
-and, where frequent tokens still stand in a prefix, the prefix is extended by one
-token and combinations of two are listed.  Lists whose nodes are one component
-already give no pairs.  Candidates pass a bound by parity bitmaps and are then
-verified on their whole sets.
+Texts with equal shingle sets are one node.  Every shingle is a token, and all tokens
+have one order: rarest first, by classes of how many documents hold them.  Two nodes
+that are similar enough share a token in the prefixes of their sets, and a token that
+no other document holds can't be shared, so most documents end there.
+
+Tokens that are left list the nodes that hold them in their prefix.  The nodes of a
+list meet one of them, its pivot.  What is not joined by that is compared pair by pair
+in the lists of rare tokens.  Frequent tokens are combined with a second token: nodes
+that reach the threshold together share more than they both share with the pivot, so
+prefixes are extended by tokens that the pivot lacks, and lists are kept for pivot and
+token.  These are searched in the same way.
 """
 
 from __future__ import annotations
@@ -20,20 +23,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_not, stored
+from .common import discard, free_name, small_or_not, stored
 from .encode import in_slices
 from .words import words
 
-#: Words of a shingle, percent of the union that must be shared, tokens of the first look.
-SHINGLE, PERCENT, FIRST = 5, 80, 4
-#: A token in more lists than this is frequent.
+#: Words of a shingle, percent of the union that must be shared.
+SHINGLE, PERCENT = 5, 80
+#: A token with more nodes in its list is frequent.
 RARE = 32
-#: How often frequent tokens are ordered last before combinations are listed.
-REORDERINGS = 2
+#: How often frequent tokens are combined with another one before all pairs of a list are compared.
+ROUNDS = 4
 #: Members that are verified against a node by one task.
 TOGETHER = 500
-#: Rows of one number that are broadcast at most.
-NUMBERS = 1_000_000
+#: Bits of a token, of which a shared one has its class in front; their sum must fit 63.
+TOKEN_BITS = 48
+#: Classes to a doubling of the number of documents.  The last class is for tokens in more than ``HOT`` documents of a chunk.
+CLASSES, LAST_CLASS, HOT = 16, 255, 64
+#: Bytes of text in a chunk, and in a range of tokens that one task counts.
+CHUNK_BYTES, RANGE_BYTES = 10_000_000, 24_000_000
+#: Stands for a hot token's documents, which stay with their chunk.  A chunk has fewer documents.
+ALL_DOCUMENTS = (1 << 16) - 1
 
 
 def required(n):
@@ -55,15 +64,15 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         return key
 
     n = max(0, len(hashed) - SHINGLE + 1)
-    windows = join([hashed[k : k + n] for k in range(SHINGLE)]).view(np.int64) if n else np.empty(0, np.int64)
+    windows = join([hashed[k : k + n] for k in range(SHINGLE)]) if n else np.empty(0, np.uint64)
     sets, start = [], 0
     for end in ends.tolist():
         if end - start >= SHINGLE:
             sets.append(np.unique(windows[start : end - SHINGLE + 1]))
         elif end > start:
-            sets.append(join([np.array([end - start], np.uint64), *(hashed[k : k + 1] for k in range(start, end))]).view(np.int64))
+            sets.append(join([np.array([end - start], np.uint64), *(hashed[k : k + 1] for k in range(start, end))]))
         else:
-            sets.append(np.empty(0, np.int64))
+            sets.append(np.empty(0, np.uint64))
         start = end
     return sets
 
@@ -73,207 +82,291 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def parity_bits(hashes: np.ndarray) -> bytes:
-    """One parity bit per slot, about as many slots as shingles; two sets differ in as many shingles as bits at least."""
-    slots = 1 << max(6, min(20, int(len(hashes) - 1).bit_length()))
-    return np.packbits((np.bincount(hashes.view(np.uint64) % np.uint64(slots), minlength=slots) & 1).astype(bool)).tobytes()
+def packed(tokens: np.ndarray, docs: np.ndarray, classes: np.ndarray | None = None) -> bytes:
+    """Ascending tokens as differences, with a document of the chunk for each and perhaps a class."""
+    steps = np.diff(tokens, prepend=tokens[:1])
+    wide = int(steps.max(initial=0)) >> 32 > 0
+    head = np.array([len(tokens), wide, classes is not None, tokens[0] if len(tokens) else 0], "<i8")
+    parts = [head, steps.astype("<u8" if wide else "<u4"), docs.astype("<u2"), *([] if classes is None else [classes.astype("u1")])]
+    return b"".join(x.tobytes() for x in parts)
 
 
-def may_link(bits_a: bytes, bits_b: bytes, n_a: int, n_b: int) -> bool:
-    a, b = sorted((np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)), key=len)
-    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)  # slots modulo the smaller number
-    return int(np.bitwise_count(a ^ b).sum()) <= n_a + n_b - 2 * (-(-(n_a + n_b) * PERCENT // (100 + PERCENT)))
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, documents and classes (the last class where none are given)."""
+    n, wide, classed, first = np.frombuffer(data, "<i8", 4).tolist()
+    at = 32 + n * (8 if wide else 4)
+    tokens = first + np.cumsum(np.frombuffer(data, "<u8" if wide else "<u4", n, 32).astype(np.int64))
+    docs = np.frombuffer(data, "<u2", n, at)
+    return tokens, docs, np.frombuffer(data, "u1", n, at + 2 * n) if classed else np.full(n, LAST_CLASS, np.uint8)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    edges = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+#: Rows between the steps below: a document (kind 0), tokens of a chunk (1), hot tokens of a chunk (2).
+PARTS = "range long, kind int, chunk long, _row long, doc_id long, key long, n long, node long, at int, data binary"
+PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+PART_TYPES = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in PARTS.split(", ")]
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """Every row's set in short: _row, doc_id, key, n, node, bits, tokens (the prefix by hash)."""
+def _parts(rows: int, /, **columns) -> pa.RecordBatch:
+    """A batch of so many rows of ``PARTS``; columns that aren't given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[x], t) if x in columns else pa.nulls(rows, t) for x, t in zip(PART_NAMES, PART_TYPES, strict=True)], names=PART_NAMES)
+
+
+def chunks(df: DataFrame, ranges: int) -> DataFrame:
+    """``PARTS`` of ``df`` (doc_id, text, key): each document in short, and the tokens of each chunk by range of token.
+
+    Equal sets of a chunk give their tokens once; a token in more than ``HOT`` of
+    its documents goes to its range once, and with its documents to the chunk alone.
+    """
+    edges = np.array([-(-(r << TOKEN_BITS) // ranges) for r in range(ranges)], np.int64)
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 36
+        row = chunk = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for a, b in in_slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1)[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(len(sets))), batch.column(0)[a:b], batch.column(2)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
-                     pa.array([parity_bits(s) for s in sets], pa.binary()), _lists([s[: len(s) - required(len(s)) + 1] if len(s) else s for s in sets])],
-                    names=["_row", "doc_id", "key", "n", "node", "bits", "tokens"],
-                )
-                row += len(sets)
+            for start, stop in in_slices(batch.column(1), CHUNK_BYTES):
+                for a in range(start, stop, ALL_DOCUMENTS):
+                    b = min(stop, a + ALL_DOCUMENTS)
+                    sets = shingle_sets(batch.column(1)[a:b])
+                    nodes, n = np.array([node_of(s) for s in sets]), np.array([len(s) for s in sets])
+                    yield _parts(
+                        b - a, range=np.full(b - a, chunk % ranges), kind=np.zeros(b - a, np.int32), chunk=np.full(b - a, chunk), _row=row + np.arange(b - a),
+                        doc_id=batch.column(0)[a:b], key=batch.column(2)[a:b], n=n, node=nodes, at=np.arange(b - a, dtype=np.int32),
+                    )
+                    first = np.sort(np.unique(nodes, return_index=True)[1])
+                    tokens = (np.concatenate([sets[k] for k in first]) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
+                    docs = np.repeat(first, n[first]).astype(np.uint16)
+                    order = np.argsort(tokens, kind="stable")
+                    tokens, docs = tokens[order], docs[order]
+                    begin = np.flatnonzero(np.diff(tokens, prepend=-1))
+                    of = np.diff(np.append(begin, len(tokens)))
+                    hot = np.repeat(of > HOT, of)
+                    out = []
+                    if hot.any():
+                        out.append((chunk % ranges, 2, packed(tokens[hot], docs[hot])))
+                        docs = np.where(hot, ALL_DOCUMENTS, docs)
+                        keep = ~hot
+                        keep[begin] = True
+                        tokens, docs = tokens[keep], docs[keep]
+                    cuts = np.append(np.searchsorted(tokens, edges), len(tokens))
+                    out += [(r, 1, packed(tokens[i:j], docs[i:j])) for r, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+                    if out:
+                        yield _parts(len(out), range=[x[0] for x in out], kind=[x[1] for x in out], chunk=np.full(len(out), chunk), data=[x[2] for x in out])
+                    row, chunk = row + b - a, chunk + 1
+
+    return df.mapInArrow(run, PARTS)
+
+
+def _shared(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """The tokens of one range, by chunk, that more than one document holds, with their classes."""
+    parts = [unpacked(data)[:2] for _, data in held]
+    tokens, docs = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    order = np.argsort(tokens, kind="stable")
+    begin = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    of = np.diff(np.append(begin, len(tokens)))
+    hot = np.logical_or.reduceat(docs[order] == ALL_DOCUMENTS, begin)
+    class_of = np.where(hot, LAST_CLASS, np.minimum(LAST_CLASS - 1, (CLASSES * np.log2(of)).astype(np.int64)))
+    classes, shared = np.empty(len(tokens), np.uint8), np.empty(len(tokens), bool)
+    classes[order], shared[order] = np.repeat(class_of, of), np.repeat(hot | (of > 1), of)
+    shared &= docs != ALL_DOCUMENTS
+    out, start = [], 0
+    for (chunk, _), part in zip(held, parts, strict=True):
+        stop = start + len(part[0])
+        keep = shared[start:stop]
+        if keep.any():
+            out.append((chunk, packed(part[0][keep], part[1][keep], classes[start:stop][keep])))
+        start = stop
+    return _parts(len(out), kind=np.ones(len(out), np.int32), chunk=[c for c, _ in out], data=[d for _, d in out])
+
+
+def shared_tokens(parts: DataFrame, ranges: int) -> DataFrame:
+    """``chunks`` with the tokens alone that more than one document holds. A task holds one range of tokens at a time."""
 
-    return df.mapInArrow(run, "_row long, doc_id long, key long, n long, node long, bits binary, tokens array<long>")
+    def run(batches):
+        current, held = None, []
+        for batch in batches:
+            counted = pc.equal(batch.column("kind"), 1)
+            yield batch.filter(pc.invert(counted))
+            rows = batch.select(["range", "chunk", "data"]).filter(counted)
+            for r, chunk, data in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
+                if r != current and held:
+                    yield _shared(held)
+                    held = []
+                current = r
+                held.append((chunk, data))
+        if held:
+            yield _shared(held)
 
+    return parts.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, PARTS)
 
-class _Search:
-    """State of one search: the texts, the nodes, and the components so far."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df
-        self.docs = stored(documents(df), "shingles")
-        whole = self.docs.where("n > 0")
-        first = whole.groupBy("node").agg(F.min("_row").alias("_row"), F.min("doc_id").alias("least"), F.count("*").alias("_of"))
-        self.least = stored(first, "nodes")
-        # only rows beyond a node's first are named, to take one row of each node without shuffling prefixes
-        copies = whole.select("_row", "node").join(small_or_not(self.least.where("_of > 1").select("node", F.col("_row").alias("_first"))), "node").where("_row != _first")
-        self.nodes = whole.join(small_or_not(stored(copies.select("_row"), "copies"), NUMBERS), "_row", "left_anti")
-        self.labels = None  # node, label of the linked nodes
+SETS = "_row long, node long, n long, s long, weight double, tokens binary, prefix array<long>"
 
-    def with_labels(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the component of their ``node``."""
-        if self.labels is None:
-            return rows.withColumn("label", F.col("node"))
-        return rows.join(small_or_not(self.labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """node, hashes (sorted 64-bit) of some nodes, from their texts."""
-        wanted = stored(self.nodes.select("node", "key").join(small_or_not(nodes, NUMBERS), "node", "left_semi"), "wanted")
-        texts = self.df.join(small_or_not(wanted.select("key").distinct(), NUMBERS), "key", "left_semi").select("text")
+def similar_sets(parts: DataFrame) -> DataFrame:
+    """Documents that share enough tokens to be similar to any other one.
 
-        def run(batches):
-            for batch in batches:
-                for a, b in in_slices(batch.column(0)):
-                    sets = shingle_sets(batch.column(0)[a:b])
-                    yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+    ``tokens`` are the ``s`` shared ones of a set of ``n``, each with its class in
+    front and so in the order of all tokens; ``prefix`` are the first of them that
+    stand in the prefix of the set; ``weight`` is the mean class.
+    """
 
-        found = texts.mapInArrow(run, "node long, hashes binary")
-        # a key stands for one text, which identical rows repeat
-        return found.join(small_or_not(wanted.select("node").distinct(), NUMBERS), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    def sets_of(docs: list, held: list):
+        at, rows, nodes, n = (np.array(x) for x in zip(*docs, strict=True))
+        if not held:
+            return
+        found = [unpacked(x) for x in held]
+        tokens, of, classes = (np.concatenate([f[k] for f in found]) for k in range(3))
+        tokens |= classes.astype(np.int64) << TOKEN_BITS
+        order = np.lexsort((tokens, of))
+        tokens, of = tokens[order], of[order]
+        size = np.zeros(int(at.max()) + 1, np.int64)
+        size[at] = n
+        s = np.bincount(of, minlength=len(size))
+        start = np.cumsum(s) - s
+        kept = np.flatnonzero((s > 0) & (s >= required(size)))
+        place = np.zeros(len(size), np.int64)
+        place[at] = np.arange(len(at))
+        own = [tokens[start[k] : start[k] + s[k]] for k in kept]
+        place = place[kept]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[place]), pa.array(nodes[place]), pa.array(n[place]), pa.array(s[kept]), pa.array([float((x >> TOKEN_BITS).mean()) for x in own], pa.float64()),
+             pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x[: len(x) - required(int(k)) + 1] for x, k in zip(own, n[place], strict=True)], pa.list_(pa.int64()))],
+            names=[x.split()[0] for x in SETS.split(", ")],
+        )
 
-    def link(self, pairs: DataFrame) -> None:
-        """Verify candidate pairs (a, b) and join the components of those that are similar."""
-        size = self.nodes.select("node", "n", "bits")
-        pairs = stored(pairs.distinct(), "pairs")
-        ends = stored(size.join(small_or_not(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends"), NUMBERS), "node", "left_semi"), "bits")
-        side = lambda x: ends.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+    def run(batches):
+        current, docs, held = None, [], []
+        for batch in batches:
+            names = ("chunk", "kind", "at", "_row", "node", "n", "data")
+            for chunk, kind, at, row, node, n, data in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+                if chunk != current:
+                    if held:
+                        yield sets_of(docs, held)
+                    current, docs, held = chunk, [], []
+                if kind == 0:
+                    docs.append((at, row, node, n))
+                else:
+                    held.append(data)
+        if held:
+            yield sets_of(docs, held)
+
+    return parts.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, SETS)
 
-        def bound(batches):
-            for batch in batches:
-                keep = [may_link(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")), strict=True)]
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        likely = stored(both.mapInArrow(bound, "a long, b long"), "likely")
-        links = stored(self._verified(likely), "links")
+class _Search:
+    """State of one search: the documents in short, the nodes that may be similar to others, and the components so far."""
+
+    def __init__(self, df: DataFrame):
+        n_bytes = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(1, -(-n_bytes // RANGE_BYTES))
+        self.parts = stored(shared_tokens(chunks(df, ranges), ranges), "tokens")
+        self.docs = self.parts.where("kind = 0").select("_row", "doc_id", "key", "n", "node")
+        found = stored(similar_sets(self.parts), "sets")
+        several = found.groupBy("node").agg(F.min("_row").alias("_first"), F.count("*").alias("_of")).where("_of > 1").select("node", "_first")
+        copies = stored(found.select("_row", "node").join(small_or_not(stored(several, "several")), "node").where("_row != _first").select("_row"), "copies")
+        self.nodes = found.join(small_or_not(copies), "_row", "left_anti").drop("_row")
+        self.labels = None  # node, label of the linked nodes
+
+    def with_labels(self, rows: DataFrame, of: str = "node", label: str = "label") -> DataFrame:
+        """``rows`` with the component of a node."""
+        if self.labels is None:
+            return rows.withColumn(label, F.col(of))
+        labels = self.labels.select(F.col("node").alias(of), F.col("label").alias(label))
+        return rows.join(labels, of, "left").withColumn(label, F.coalesce(label, of))
+
+    def link(self, met: DataFrame) -> None:
+        """Join the components of the pairs (a, b) that are linked."""
+        links = met.where("link").select("a", "b")
+        if not links.limit(1).count():
+            return
         if self.labels is not None:
             links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b"))
-        self.labels = components(links)
-
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar. A node meets its partners in parts of ``TOGETHER``."""
-        sets = stored(self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("_parts"))
-        parts = stored(parts, "parts")
-        members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"), "b")
-        members = members.join(sets.select(F.col("node").alias("b"), "hashes"), "b").select("a", "part", F.lit(1).alias("role"), "b", "hashes")
-        heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
-        heads = heads.join(sets.select(F.col("node").alias("a"), "hashes"), "a").select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "hashes")
-        dealt = heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role")
+        self.labels = small_or_not(components(links))
+
+    def met(self, pairs: DataFrame) -> DataFrame:
+        """a, b, shared, link, extra of pairs of nodes, from their sets: whether they are similar, and the prefix of what b has and a lacks.
+
+        A node meets its partners in parts of ``TOGETHER``.
+        """
+        sets = self.nodes.select("node", "n", "tokens")
+        pairs = stored(pairs.distinct(), "pairs")
+        parts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("_parts")), "parts")
+        members = pairs.join(small_or_not(parts), "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
+        heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
+        dealt = sets.join(small_or_not(stored(heads.unionByName(members), "dealt")), "node").select("a", "part", "role", "node", "n", "tokens")
 
         def verify(batches):
-            head, own = None, None
+            own, size = None, 0
             for batch in batches:
-                links = []
-                a, role, b, hashes = (batch.column(c) for c in ("a", "role", "b", "hashes"))
-                for x, r, y, h in zip(a.to_pylist(), role.to_pylist(), b.to_pylist(), hashes.to_pylist(), strict=True):
-                    other = np.frombuffer(h, np.int64)
-                    if r == 0:
-                        head, own = x, other
-                    elif x == head:
-                        at = np.searchsorted(own, other)
-                        shared = int((own[np.minimum(at, len(own) - 1)] == other).sum())
-                        if 100 * shared >= PERCENT * (len(own) + len(other) - shared):
-                            links.append((x, y))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-
-        return dealt.mapInArrow(verify, "a long, b long")
-
-    def first_look(self) -> None:
-        """Link nodes to one node of about their size for each of their first tokens: most copies are joined here."""
-        band = F.floor(F.log("n") / F.log(F.lit(1.2))).cast("int")
-        rows = stored(self.nodes.select("node", "n", band.alias("band"), F.explode(F.slice("tokens", 1, FIRST)).alias("token")), "first-tokens")
-        heads = stored(rows.groupBy("token", "band").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a != _z").drop("_z"), "heads")
-        self.link(rows.join(heads, ["token", "band"]).where("a != node").select("a", F.col("node").alias("b")))
-
-    def mixed(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Those of (keys, node, n) whose list holds nodes of several components, with the label and the length of the list."""
+                rows = []
+                for a, role, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("a", "role", "node", "n", "tokens")), strict=True):
+                    tokens = np.frombuffer(data, "<i8")
+                    if role == 0:
+                        own, size = tokens, n
+                    else:
+                        here = own[np.minimum(np.searchsorted(own, tokens), len(own) - 1)] == tokens
+                        shared = int(here.sum())
+                        extra = tokens[~here]
+                        # similar nodes share at least so many tokens that a lacks, or none of these need be shared
+                        extra = extra[: max(0, len(extra) - max(1, required(n) - shared) + 1)]
+                        rows.append((a, b, shared, 100 * shared >= PERCENT * (size + n - shared), extra))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, types, strict=True)], names=["a", "b", "shared", "link", "extra"])
+
+        met = dealt.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(verify, "a long, b long, shared long, link boolean, extra array<long>")
+        return stored(met, "met")
+
+    def led(self, rows: DataFrame) -> DataFrame:
+        """Those of (key, node, n, s, weight) whose list holds several components, with its pivot.
+
+        The smaller of two similar sets shares so many of its tokens that it is
+        *full*; others stay only if a full one of the list is small enough for them.
+        The pivot is the full node that shares most.
+        """
         rows = self.with_labels(rows)
-        several = rows.groupBy(*keys).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select(*keys)
-        rows = stored(rows.join(small_or_not(stored(several, "mixed"), NUMBERS), keys), "mixed-rows")
-        return rows.join(small_or_not(stored(rows.groupBy(*keys).agg(F.count("*").alias("length")), "lengths")), keys)
-
-    def pairs_in(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Pairs of nodes in one list that are not yet joined and of which neither is too short for the other."""
-        left = rows.select(*keys, F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        right = rows.select(*keys, F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        met = left.join(right, keys).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-        return met.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-
-    def reordered(self, nodes: DataFrame, frequent: DataFrame, more: int) -> DataFrame:
-        """node, n, token, is_frequent: prefixes, longer by ``more``, with frequent tokens last, of ``nodes`` alone."""
-        sets = self.sets_of(nodes)
-
-        def tokens(batches):
-            for batch in batches:
-                rows = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), _lists(rows)], names=["node", "n", "tokens"])
-
-        if frequent.count() <= NUMBERS:  # the usual case: one sorted array for every task
-            held = frequent.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in frequent.select("token").collect()], np.int64)))
-
-            def prefixes(batches):
-                common = held.value
-                for batch in batches:
-                    rows, flags = [], []
-                    for h in batch.column(1).to_pylist():
-                        s = np.frombuffer(h, np.int64)
-                        is_common = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-                        order = np.argsort(is_common, kind="stable")[: len(s) - required(len(s)) + 1 + more]
-                        rows.append(s[order])
-                        flags.append(is_common[order])
-                    node = np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows])
-                    n = np.repeat([len(h) // 8 for h in batch.column(1).to_pylist()], [len(r) for r in rows])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node), pa.array(n.astype(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *rows])), pa.array(np.concatenate([np.empty(0, bool), *flags]))],
-                        names=["node", "n", "token", "is_frequent"],
-                    )
-
-            return sets.mapInArrow(prefixes, "node long, n long, token long, is_frequent boolean")
-        rows = sets.mapInArrow(tokens, "node long, n long, tokens array<long>").select("node", "n", F.explode("tokens").alias("token"))
-        marked = rows.join(frequent.select("token", F.lit(True).alias("is_frequent")), "token", "left").withColumn("is_frequent", F.coalesce("is_frequent", F.lit(False)))
-        ordered = marked.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("is_frequent", "token"))).alias("t"))
-        length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 + more
-        return ordered.select("node", "n", F.explode(F.slice("t", F.lit(1), length.cast("int"))).alias("t")).select("node", "n", "t.token", "t.is_frequent")
+        full = 2 * PERCENT * F.col("n") <= (100 + PERCENT) * F.col("s")
+        lists = rows.groupBy("key").agg(
+            F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.when(full, F.col("n"))).alias("_least"),
+            F.max_by("node", F.when(full, F.struct("weight", "node"))).alias("pivot"),
+        )
+        lists = stored(lists.where("_low != _high and _least is not null").select("key", "_least", "pivot"), "lists")
+        able = PERCENT * (F.col("n") + F.col("_least")) <= (100 + PERCENT) * F.col("s")
+        return stored(rows.join(small_or_not(lists), "key").where(full | able).drop("_least", "label"), "list-rows")
 
     def look(self) -> None:
-        """Find all pairs that the first look left."""
-        rows = self.mixed(self.nodes.select("node", "n", F.explode("tokens").alias("token")), ["token"])
-        frequent = None
-        for turn in range(REORDERINGS + 1):
-            rows = stored(rows, "token-rows")
-            rare, common = rows.where(F.col("length") <= RARE), rows.where(F.col("length") > RARE)
-            self.link(self.pairs_in(rare, ["token"]))
-            new = common.select("token").distinct()
-            frequent = stored(new if frequent is None else frequent.unionByName(new).distinct(), "frequent")
-            # pairs that share no rare token share a frequent one, so both nodes are among these
-            again = stored(common.select("node").distinct(), "again")
-            if not again.limit(1).count():
+        """Find all links."""
+        rows = self.nodes.select(F.explode("prefix").alias("key"), "node", "n", "s", "weight")
+        for turn in range(ROUNDS):
+            rows = self.led(rows)
+            met = self.met(rows.where("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+            self.link(met)
+            labelled = self.with_labels(rows)
+            lists = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("length"))
+            lists = stored(lists.where("_low != _high").select("key", "length"), "mixed")
+            left = labelled.join(small_or_not(lists), "key").join(met.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "shared"), ["pivot", "node"], "left")
+            left = stored(left.withColumn("shared", F.coalesce("shared", "s")), "mixed-rows")  # a pivot shares all with itself
+            last = turn == ROUNDS - 1
+            rare = left if last else left.where(F.col("length") <= RARE)
+            self.link(self.met(pairs_in(rare)))
+            frequent = stored(left.where(F.col("length") > RARE).select("pivot", "node", "n", "s", "weight").distinct(), "frequent")
+            if last or not frequent.limit(1).count():
                 return
-            last = turn == REORDERINGS
-            tokens = stored(self.reordered(again, frequent, 1 if last else 0), "reordered")
-            if not last:
-                rows = self.mixed(tokens.select("node", "n", "token"), ["token"])
-        # a pair shares a rare token of the extended prefixes, or two frequent ones
-        single = self.mixed(tokens.where("not is_frequent").select("node", "n", "token"), ["token"])
-        self.link(self.pairs_in(single, ["token"]))
-        common = self.mixed(tokens.where("is_frequent").select("node", "n", "token"), ["token"]).drop("length", "label")
-        lists = common.groupBy("node", "n").agg(F.array_sort(F.collect_set("token")).alias("t"))
-        spread = lists.select("node", "n", "t", F.posexplode("t").alias("_at", "token"))
-        double = spread.select("node", "n", "token", F.explode(F.slice("t", F.col("_at") + 2, F.size("t"))).alias("token2"))
-        self.link(self.pairs_in(self.mixed(double, ["token", "token2"]), ["token", "token2"]))
+            # a pair that shares no more than each of it shares with the pivot: none is larger than the pivot, or it isn't joined to it
+            rows = self.with_labels(self.with_labels(frequent), "pivot", "_pivot_label").join(met.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "shared", "extra"), ["pivot", "node"])
+            size = stored(self.nodes.select(F.col("node").alias("pivot"), F.col("n").alias("_pivot_n")).join(small_or_not(stored(frequent.select("pivot").distinct(), "pivots")), "pivot", "left_semi"), "pivot-sizes")
+            within = (100 * F.col("shared") >= PERCENT * F.col("n")) & ((F.col("label") != F.col("_pivot_label")) | (F.col("n") < F.col("_pivot_n")))
+            extra = F.when(within, F.array_append("extra", F.lit(-1).cast("long"))).otherwise(F.col("extra"))
+            rows = rows.join(small_or_not(size), "pivot").select(F.explode(extra).alias("token"), "pivot", "node", "n", "s", "weight")
+            rows = rows.select(F.xxhash64("pivot", "token").alias("key"), "node", "n", "s", "weight")
+
+
+def pairs_in(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in one list that are not yet joined, unless what they share with others and with the pivot is too little."""
+    side = lambda x: rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "s", "label", "shared")))
+    met = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+    most = F.least("shared_a", "shared_b") + F.least(F.col("s_a") - F.col("shared_a"), F.col("s_b") - F.col("shared_b"))
+    possible = (PERCENT * (F.col("n_a") + F.col("n_b")) <= (100 + PERCENT) * most) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    return met.where(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,9 +383,10 @@ def components(links: DataFrame) -> DataFrame:
         spread = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label")), "labels")
         target = small_or_not(spread.select(F.col("node").alias("label"), F.col("label").alias("_to")))
         new = stored(spread.join(target, "label", "left").select("node", "_old", F.least("label", F.coalesce("_to", "label")).alias("label")), "labels")
-        if not new.where("label != _old").limit(1).count():
-            return new.select("node", "label")
+        discard(labels, spread)
         labels = new.select("node", "label")
+        if not new.where("label != _old").limit(1).count():
+            return labels
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -301,18 +395,17 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's doc_id, key (``row_key``), n, node, label (of its component; null without shingles) and component_id."""
+    """Every row's doc_id, key (``row_key``), n, node, component_id and label (of its component; null if the row is alone)."""
     key = row_key(df[id_col], df[text_col])
     search = _Search(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), key.alias("key")))
-    search.first_look()
     search.look()
-    nodes = stored(search.with_labels(search.least.select("node", "least")), "node-labels")
-    lowest = stored(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    component = stored(nodes.join(small_or_not(lowest), "label").select("node", "label", "component_id"), "node-components")
-    rows = search.docs.select("doc_id", "key", "n", "node")
-    linked = rows.where("n > 0").join(small_or_not(component), "node").select("doc_id", "key", "n", "node", "label", "component_id")
-    alone = rows.where("n = 0").select("doc_id", "key", "n", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    nodes = search.docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("_of"))
+    nodes = stored(search.with_labels(nodes), "node-labels")
+    several = stored(nodes.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("_of").alias("_of")).where("_of > 1").select("label", "component_id"), "components")
+    of_node = stored(nodes.select("node", "label").join(small_or_not(several), "label"), "node-components").select("node", "label", "component_id")
+    rows = search.docs.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    joined = rows.join(small_or_not(of_node), "node", "left")
+    return joined.select("doc_id", "key", "n", "node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,14 +413,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents are linked if their sets of five-word shingles share 80 percent of their
     union; ``component_id`` is the smallest doc_id reachable, ``class_id`` the node of
-    equal sets.  Sets are compared by 64-bit hashes of shingles.
-
-    Copies are one node; copies and very similar texts are joined along stars, so a
-    group of n gives about n pairs.  Only prefixes (a fifth of a set) are shuffled;
-    texts are read again for nodes with candidates alone.  A null, empty or blank
-    text has no shingles and is linked with nothing; repeated rows are linked with
-    each other; rows without an id are kept, and their group has an id if another
-    row does.  An empty table gives no rows.  Other columns are not read.
+    equal sets (null without shingles).  Shingles are counted by 64-bit hashes and
+    compared between documents by their first 48 bits.
+
+    Copies are one node; very similar texts are joined along stars, so a group of n
+    gives about n pairs.  Texts are read once; hashes of shingles are shuffled once,
+    and after that only documents of whose shingles four fifths occur elsewhere.  A
+    task that runs again must find the same rows in the same order, as in a scan of
+    tables.  A null, empty or blank text has no shingles and is linked with nothing;
+    repeated rows are linked with each other; rows without an id are kept, and their
+    group has an id if another row does.  An empty table gives no rows.  Other columns
+    are not read.
     """
     rows = grouped(df, id_col, text_col)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("class_id"))
@@ -336,17 +432,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with one document of each group, that of the smallest id, and every row without shingles.
 
-    Rows that go are named by key and filtered out; texts are shuffled only if
-    there are too many keys to broadcast.  Of identical rows one stays.
+    All columns stay as they are, whatever their names.  Rows that go are named by key
+    and filtered out; texts are shuffled only if there are too many keys to broadcast.
+    Of identical rows one stays; null, empty and blank texts all stay, repeated ones too;
+    of a group without ids one row stays; an empty table gives no rows.
     """
     rows = stored(grouped(df, id_col, text_col).where("label is not null").select("doc_id", "key", "label"), "groups")
-    kept = rows.groupBy("label").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("kept"), F.count("*").alias("_of")).where("_of > 1")
+    kept = rows.groupBy("label").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("kept"))
     several = stored(rows.join(small_or_not(stored(kept, "kept")), "label"), "several")
-    gone = stored(several.where("key != kept").select("key").distinct(), "gone")
-    twice = stored(several.where("key = kept").groupBy("key").count().where("count > 1").select("key"), "twice")
-    keyed = df.withColumn("_key", row_key(df[id_col], df[text_col]))
-    stays = keyed.join(small_or_not(gone.withColumnRenamed("key", "_key"), NUMBERS), "_key", "left_anti")
+    name = free_name(df, "_key")
+    gone = stored(several.where("key != kept").select(F.col("key").alias(name)).distinct(), "gone")
+    twice = stored(several.where("key = kept").groupBy(F.col("key").alias(name)).count().where("count > 1").select(name), "twice")
+    keyed = df.withColumn(name, row_key(df[id_col], df[text_col]))
+    stays = keyed.join(small_or_not(gone), name, "left_anti")
     if twice.limit(1).count():
-        repeated = small_or_not(twice.withColumnRenamed("key", "_key"), NUMBERS)
-        stays = stays.join(repeated, "_key", "left_anti").unionByName(stays.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
-    return stays.drop("_key")
+        repeated = small_or_not(twice)
+        stays = stays.join(repeated, name, "left_anti").unionByName(stays.join(repeated, name, "left_semi").dropDuplicates([name]))
+    return stays.drop(name)
