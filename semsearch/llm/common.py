@@ -60,7 +60,12 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     ``df`` should be cheap to read (a stored table).  Beyond the bound Spark joins by shuffle.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count shows at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def n_chunks(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, small_or_not, stored
+from .common import discard, free_name, is_small, small_or_not, stored
 from .encode import in_slices
 from .words import words
 
@@ -32,7 +32,7 @@ SHINGLE, PERCENT = 5, 80
 #: A token with more nodes in its list is frequent.
 RARE = 32
 #: How often frequent tokens are combined with another one before all pairs of a list are compared.
-ROUNDS = 4
+ROUNDS = 3
 #: Members that are verified against a node by one task.
 TOGETHER = 500
 #: Bits of a token, of which a shared one has its class in front; their sum must fit 63.
@@ -263,6 +263,7 @@ class _Search:
         found = stored(similar_sets(self.parts), "sets")
         several = found.groupBy("node").agg(F.min("_row").alias("_first"), F.count("*").alias("_of")).where("_of > 1").select("node", "_first")
         copies = stored(found.select("_row", "node").join(small_or_not(stored(several, "several")), "node").where("_row != _first").select("_row"), "copies")
+        self.found = found
         self.nodes = found.join(small_or_not(copies), "_row", "left_anti").drop("_row")
         self.labels = None  # node, label of the linked nodes
 
@@ -276,11 +277,12 @@ class _Search:
     def link(self, met: DataFrame) -> None:
         """Join the components of the pairs (a, b) that are linked."""
         links = met.where("link").select("a", "b")
-        if not links.limit(1).count():
+        new = self.with_labels(self.with_labels(links, "a", "_a"), "b", "_b").where("_a != _b").select("a", "b")
+        if not new.limit(1).count():
             return
         if self.labels is not None:
-            links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b"))
-        self.labels = small_or_not(components(links))
+            new = new.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b"))
+        self.labels = components(new)
 
     def met(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, link, extra of pairs of nodes, from their sets: whether they are similar, and the prefix of what b has and a lacks.
@@ -289,8 +291,8 @@ class _Search:
         """
         sets = self.nodes.select("node", "n", "tokens")
         pairs = stored(pairs.distinct(), "pairs")
-        parts = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("_parts")), "parts")
-        members = pairs.join(small_or_not(parts), "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("_parts"))
+        members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
         heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
         dealt = sets.join(small_or_not(stored(heads.unionByName(members), "dealt")), "node").select("a", "part", "role", "node", "n", "tokens")
 
@@ -327,9 +329,9 @@ class _Search:
         full = 2 * PERCENT * F.col("n") <= (100 + PERCENT) * F.col("s")
         lists = rows.groupBy("key").agg(
             F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.when(full, F.col("n"))).alias("_least"),
-            F.max_by("node", F.when(full, F.struct("weight", "node"))).alias("pivot"),
+            F.max_by(F.struct("node", "n"), F.when(full, F.struct("weight", "node"))).alias("_pivot"),
         )
-        lists = stored(lists.where("_low != _high and _least is not null").select("key", "_least", "pivot"), "lists")
+        lists = stored(lists.where("_low != _high and _least is not null").select("key", "_least", F.col("_pivot.node").alias("pivot"), F.col("_pivot.n").alias("pivot_n")), "lists")
         able = PERCENT * (F.col("n") + F.col("_least")) <= (100 + PERCENT) * F.col("s")
         return stored(rows.join(small_or_not(lists), "key").where(full | able).drop("_least", "label"), "list-rows")
 
@@ -348,15 +350,14 @@ class _Search:
             last = turn == ROUNDS - 1
             rare = left if last else left.where(F.col("length") <= RARE)
             self.link(self.met(pairs_in(rare)))
-            frequent = stored(left.where(F.col("length") > RARE).select("pivot", "node", "n", "s", "weight").distinct(), "frequent")
+            frequent = stored(left.where(F.col("length") > RARE).select("pivot", "pivot_n", "node", "n", "s", "weight").distinct(), "frequent")
             if last or not frequent.limit(1).count():
                 return
             # a pair that shares no more than each of it shares with the pivot: none is larger than the pivot, or it isn't joined to it
             rows = self.with_labels(self.with_labels(frequent), "pivot", "_pivot_label").join(met.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "shared", "extra"), ["pivot", "node"])
-            size = stored(self.nodes.select(F.col("node").alias("pivot"), F.col("n").alias("_pivot_n")).join(small_or_not(stored(frequent.select("pivot").distinct(), "pivots")), "pivot", "left_semi"), "pivot-sizes")
-            within = (100 * F.col("shared") >= PERCENT * F.col("n")) & ((F.col("label") != F.col("_pivot_label")) | (F.col("n") < F.col("_pivot_n")))
+            within = (100 * F.col("shared") >= PERCENT * F.col("n")) & ((F.col("label") != F.col("_pivot_label")) | (F.col("n") < F.col("pivot_n")))
             extra = F.when(within, F.array_append("extra", F.lit(-1).cast("long"))).otherwise(F.col("extra"))
-            rows = rows.join(small_or_not(size), "pivot").select(F.explode(extra).alias("token"), "pivot", "node", "n", "s", "weight")
+            rows = rows.select(F.explode(extra).alias("token"), "pivot", "node", "n", "s", "weight")
             rows = rows.select(F.xxhash64("pivot", "token").alias("key"), "node", "n", "s", "weight")
 
 
@@ -377,16 +378,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("label")), "labels")
+    hint = F.broadcast if is_small(labels) else lambda df: df  # labels stay as many
     while True:
-        known = small_or_not(labels)
-        near = edges.join(known.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("_near"))
-        spread = stored(labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label")), "labels")
-        target = small_or_not(spread.select(F.col("node").alias("label"), F.col("label").alias("_to")))
+        near = edges.join(hint(labels.select(F.col("node").alias("b"), "label")), "b").groupBy("a").agg(F.min("label").alias("_near"))
+        spread = labels.join(hint(near), labels["node"] == near["a"]).select("node", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
+        target = hint(spread.select(F.col("node").alias("label"), F.col("label").alias("_to")))
         new = stored(spread.join(target, "label", "left").select("node", "_old", F.least("label", F.coalesce("_to", "label")).alias("label")), "labels")
-        discard(labels, spread)
+        discard(labels)
         labels = new.select("node", "label")
         if not new.where("label != _old").limit(1).count():
-            return labels
+            return hint(labels)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -399,6 +400,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     key = row_key(df[id_col], df[text_col])
     search = _Search(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), key.alias("key")))
     search.look()
+    discard(search.found)
     nodes = search.docs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("_of"))
     nodes = stored(search.with_labels(nodes), "node-labels")
     several = stored(nodes.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("_of").alias("_of")).where("_of > 1").select("label", "component_id"), "components")
