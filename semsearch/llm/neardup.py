@@ -40,7 +40,7 @@ TOKEN_BITS = 48
 #: Classes to a doubling of the number of documents.  The last class is for tokens in more than ``HOT`` documents of a chunk.
 CLASSES, LAST_CLASS, HOT = 16, 255, 64
 #: Bytes of text in a chunk, and in a range of tokens that one task counts.
-CHUNK_BYTES, RANGE_BYTES = 10_000_000, 24_000_000
+CHUNK_BYTES, RANGE_BYTES = 4_000_000, 24_000_000
 #: Stands for a hot token's documents, which stay with their chunk.  A chunk has fewer documents.
 ALL_DOCUMENTS = (1 << 16) - 1
 
@@ -83,21 +83,23 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def packed(tokens: np.ndarray, docs: np.ndarray, classes: np.ndarray | None = None) -> bytes:
-    """Ascending tokens as differences, with a document of the chunk for each and perhaps a class."""
+    """Ascending tokens as differences of 32 bits (larger ones apart), with a document of the chunk for each and perhaps a class."""
     steps = np.diff(tokens, prepend=tokens[:1])
-    wide = int(steps.max(initial=0)) >> 32 > 0
-    head = np.array([len(tokens), wide, classes is not None, tokens[0] if len(tokens) else 0], "<i8")
-    parts = [head, steps.astype("<u8" if wide else "<u4"), docs.astype("<u2"), *([] if classes is None else [classes.astype("u1")])]
+    large = np.flatnonzero(steps >> 32)
+    head = np.array([len(tokens), len(large), classes is not None, tokens[0] if len(tokens) else 0], "<i8")
+    parts = [head, steps.astype("<u4"), large.astype("<u4"), (steps[large] >> 32).astype("<u4"), docs.astype("<u2"), *([] if classes is None else [classes.astype("u1")])]
     return b"".join(x.tobytes() for x in parts)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, documents and classes (the last class where none are given)."""
-    n, wide, classed, first = np.frombuffer(data, "<i8", 4).tolist()
-    at = 32 + n * (8 if wide else 4)
-    tokens = first + np.cumsum(np.frombuffer(data, "<u8" if wide else "<u4", n, 32).astype(np.int64))
+    n, m, classed, first = np.frombuffer(data, "<i8", 4).tolist()
+    steps = np.frombuffer(data, "<u4", n, 32).astype(np.int64)
+    at = 32 + 4 * n
+    steps[np.frombuffer(data, "<u4", m, at)] |= np.frombuffer(data, "<u4", m, at + 4 * m).astype(np.int64) << 32
+    at += 8 * m
     docs = np.frombuffer(data, "<u2", n, at)
-    return tokens, docs, np.frombuffer(data, "u1", n, at + 2 * n) if classed else np.full(n, LAST_CLASS, np.uint8)
+    return first + np.cumsum(steps), docs, np.frombuffer(data, "u1", n, at + 2 * n) if classed else np.full(n, LAST_CLASS, np.uint8)
 
 
 #: Rows between the steps below: a document (kind 0), tokens of a chunk (1), hot tokens of a chunk (2).
@@ -111,6 +113,35 @@ def _parts(rows: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[x], t) if x in columns else pa.nulls(rows, t) for x, t in zip(PART_NAMES, PART_TYPES, strict=True)], names=PART_NAMES)
 
 
+def _chunk(doc_ids: pa.Array, texts: pa.Array, keys: pa.Array, row: int, chunk: int, edges: np.ndarray) -> list[pa.RecordBatch]:
+    """``PARTS`` of the documents of one chunk, as in ``chunks``; ``edges`` are the first tokens of the ranges."""
+    sets = shingle_sets(texts)
+    nodes, n, of_chunk = np.array([node_of(s) for s in sets]), np.array([len(s) for s in sets]), np.full(len(sets), chunk)
+    docs_of = _parts(
+        len(sets), range=of_chunk % len(edges), kind=np.zeros(len(sets), np.int32), chunk=of_chunk, _row=row + np.arange(len(sets)),
+        doc_id=doc_ids, key=keys, n=n, node=nodes, at=np.arange(len(sets), dtype=np.int32),
+    )
+    first = np.sort(np.unique(nodes, return_index=True)[1])
+    tokens = (np.concatenate([sets[k] for k in first]) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
+    docs = np.repeat(first, n[first]).astype(np.uint16)
+    del sets
+    order = np.argsort(tokens, kind="stable")
+    tokens, docs = tokens[order], docs[order]
+    begin = np.flatnonzero(np.diff(tokens, prepend=-1))
+    of = np.diff(np.append(begin, len(tokens)))
+    hot = np.repeat(of > HOT, of)
+    out = []
+    if hot.any():
+        out.append((chunk % len(edges), 2, packed(tokens[hot], docs[hot])))
+        docs = np.where(hot, ALL_DOCUMENTS, docs)
+        keep = ~hot
+        keep[begin] = True
+        tokens, docs = tokens[keep], docs[keep]
+    cuts = np.append(np.searchsorted(tokens, edges), len(tokens))
+    out += [(r, 1, packed(tokens[i:j], docs[i:j])) for r, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+    return [docs_of, _parts(len(out), range=[x[0] for x in out], kind=[x[1] for x in out], chunk=np.full(len(out), chunk), data=[x[2] for x in out])]
+
+
 def chunks(df: DataFrame, ranges: int) -> DataFrame:
     """``PARTS`` of ``df`` (doc_id, text, key): each document in short, and the tokens of each chunk by range of token.
 
@@ -125,31 +156,7 @@ def chunks(df: DataFrame, ranges: int) -> DataFrame:
             for start, stop in in_slices(batch.column(1), CHUNK_BYTES):
                 for a in range(start, stop, ALL_DOCUMENTS):
                     b = min(stop, a + ALL_DOCUMENTS)
-                    sets = shingle_sets(batch.column(1)[a:b])
-                    nodes, n = np.array([node_of(s) for s in sets]), np.array([len(s) for s in sets])
-                    yield _parts(
-                        b - a, range=np.full(b - a, chunk % ranges), kind=np.zeros(b - a, np.int32), chunk=np.full(b - a, chunk), _row=row + np.arange(b - a),
-                        doc_id=batch.column(0)[a:b], key=batch.column(2)[a:b], n=n, node=nodes, at=np.arange(b - a, dtype=np.int32),
-                    )
-                    first = np.sort(np.unique(nodes, return_index=True)[1])
-                    tokens = (np.concatenate([sets[k] for k in first]) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)
-                    docs = np.repeat(first, n[first]).astype(np.uint16)
-                    order = np.argsort(tokens, kind="stable")
-                    tokens, docs = tokens[order], docs[order]
-                    begin = np.flatnonzero(np.diff(tokens, prepend=-1))
-                    of = np.diff(np.append(begin, len(tokens)))
-                    hot = np.repeat(of > HOT, of)
-                    out = []
-                    if hot.any():
-                        out.append((chunk % ranges, 2, packed(tokens[hot], docs[hot])))
-                        docs = np.where(hot, ALL_DOCUMENTS, docs)
-                        keep = ~hot
-                        keep[begin] = True
-                        tokens, docs = tokens[keep], docs[keep]
-                    cuts = np.append(np.searchsorted(tokens, edges), len(tokens))
-                    out += [(r, 1, packed(tokens[i:j], docs[i:j])) for r, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
-                    if out:
-                        yield _parts(len(out), range=[x[0] for x in out], kind=[x[1] for x in out], chunk=np.full(len(out), chunk), data=[x[2] for x in out])
+                    yield from _chunk(*(batch.column(k)[a:b] for k in range(3)), row, chunk, edges)
                     row, chunk = row + b - a, chunk + 1
 
     return df.mapInArrow(run, PARTS)
