@@ -8,6 +8,7 @@ library encodes few of them and the rest are looked up.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+_LIBC = ctypes.CDLL(None)
+
 #: Pieces that a worker remembers before it starts anew; bounds its memory, not its results.
 REMEMBERED = 800_000
 
@@ -134,7 +137,10 @@ def encoder(path: str) -> UnitEncoder:
 
 
 def in_slices(texts: pa.Array, most: int = 10_000_000):
-    """Cut an array of texts into (from, to) ranges of about ``most`` bytes at most, or one text."""
+    """Cut an array of texts into (from, to) ranges of about ``most`` bytes at most, or one text.
+
+    After the last one the worker gives freed memory back, as it waits for its next task with what it keeps.
+    """
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
@@ -142,3 +148,6 @@ def in_slices(texts: pa.Array, most: int = 10_000_000):
         stop = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield start, stop
         start = stop
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)

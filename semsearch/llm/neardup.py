@@ -40,7 +40,7 @@ TOKEN_BITS = 48
 #: Classes to a doubling of the number of documents.  The last class is for tokens in more than ``HOT`` documents of a chunk.
 CLASSES, LAST_CLASS, HOT = 16, 255, 64
 #: Bytes of text in a chunk, and in a range of tokens that one task counts.
-CHUNK_BYTES, RANGE_BYTES = 4_000_000, 24_000_000
+CHUNK_BYTES, RANGE_BYTES = 4_000_000, 8_000_000
 #: Stands for a hot token's documents, which stay with their chunk.  A chunk has fewer documents.
 ALL_DOCUMENTS = (1 << 16) - 1
 

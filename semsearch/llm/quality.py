@@ -15,6 +15,9 @@ from .words import windows, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
+#: Bytes of text that are measured at once.
+SLICE_BYTES = 4_000_000
+
 #: A line in more documents of a host than this is frequent, however large the host is.
 MAX_DOCUMENTS = 100
 
@@ -89,7 +92,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     def run(batches):
         for batch in batches:
-            for a, b in in_slices(batch.column(3)):
+            for a, b in in_slices(batch.column(3), SLICE_BYTES):
                 yield _measures(*(batch.column(i)[a:b] for i in range(4)))
 
     host = F.coalesce(df[host_col].cast("string"), F.lit(""))
@@ -179,7 +182,7 @@ def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "
 
     def strip(batches):
         for batch in batches:
-            for a, b in in_slices(batch[text_col]):
+            for a, b in in_slices(batch[text_col], SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 texts = [
                     t if t is None or bad is None else "\n".join(x for x in t.split("\n") if not (n := normal_line(x)) or xxhash.xxh3_64_intdigest(n) - (1 << 63) not in bad)
