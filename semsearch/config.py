@@ -20,6 +20,8 @@ class Config:
     #: (largest collection, items a batch); a collection beyond all has ``batch_size_beyond``.
     batch_sizes: tuple[tuple[int, int], ...] = ((100, 50), (500, 30), (1000, 20))
     batch_size_beyond: int = 10
+    browser_batch_sizes: tuple[tuple[int, int], ...] = ((49, 5), (199, 10), (999, 20))
+    browser_batch_size_beyond: int = 30
     cost_per_1000_tokens: float = 0.008
     tokens_per_word: int = 4
     #: Dimensions of the hashed embedder.

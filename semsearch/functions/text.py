@@ -21,6 +21,15 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, MARKUP, "")
 
 
+# fixed values: accented Latin letters and the letters they count as
+ACCENTED, PLAIN = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def without_accents(c: Column) -> Column:
+    """Lower-cased, with accented letters as plain ones."""
+    return F.translate(F.lower(c), ACCENTED, PLAIN)
+
+
 def collapse_space(c: Column) -> Column:
     return F.regexp_replace(c, r"\s+", " ")
 

@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import char_tokens
+from ..scratch import numbered_in_order
 
 #: Texts -> one vector each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -59,12 +60,14 @@ def embed_documents(df: DataFrame, column: str = "content", embedder: Embedder |
     return df.mapInArrow(run, f"{schema}, `{out}` array<double>")
 
 
-def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", buckets: int = 64, config: Config = DEFAULT) -> DataFrame:
+def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", buckets: int | None = None, bucket_rows: int = 100_000, config: Config = DEFAULT) -> DataFrame:
     """item ids with the batch that a greedy fill puts them in: bucket, batch, tokens.
 
     A batch ends before it would have more texts or estimated tokens than an
-    embedder takes.  The fill is sequential, so it runs within hash buckets.
+    embedder takes.  The fill is sequential, so it runs within hash buckets, unless
+    told otherwise as many as give each about ``bucket_rows`` rows (an id and a number).
     """
+    buckets = buckets or max(1, -(-df.count() // bucket_rows))
     sized = df.select(F.col(id_col).alias("item_id"), char_tokens(F.coalesce(column, F.lit("")), config.chars_per_token).cast("double").alias("tokens"))
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int"))
 
@@ -81,18 +84,20 @@ def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str
     return sized.groupBy("bucket").applyInPandas(fill, "item_id long, bucket int, batch int, tokens double")
 
 
-def batch_size(items: Column, config: Config = DEFAULT) -> Column:
-    """Items of an indexing batch for a collection's size."""
-    size = F.lit(config.batch_size_beyond)
-    for most, n in reversed(config.batch_sizes):
+def batch_size(items: Column, config: Config = DEFAULT, rule: str = "server") -> Column:
+    """Items of an indexing batch for a collection's size, by the ``server`` rule or the ``browser`` one."""
+    if rule not in ("server", "browser"):
+        raise ValueError("rule must be server or browser")
+    steps, beyond = (config.batch_sizes, config.batch_size_beyond) if rule == "server" else (config.browser_batch_sizes, config.browser_batch_size_beyond)
+    size = F.lit(beyond)
+    for most, n in reversed(steps):
         size = F.when(items <= most, F.lit(n)).otherwise(size)
     return size
 
 
-def item_pages(items: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def item_pages(items: DataFrame, config: Config = DEFAULT, rule: str = "server") -> DataFrame:
     """collection_id, item_id and the number of the batch they are indexed in, from 1, by item id."""
     sizes = items.groupBy("collection_id").agg(F.count("*").alias("_n"))
-    place = F.row_number().over(Window.partitionBy("collection_id").orderBy("item_id"))
-    placed = items.select("collection_id", "item_id", place.alias("_k")).join(sizes, "collection_id")
-    size = batch_size(F.col("_n"), config)
+    placed = numbered_in_order(items.select("collection_id", "item_id"), "collection_id", "item_id", "_k").join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, "collection_id")
+    size = batch_size(F.col("_n"), config, rule)
     return placed.select("collection_id", "item_id", size.cast("long").alias("batch_size"), (F.floor((F.col("_k") - 1) / size) + 1).cast("long").alias("page"))

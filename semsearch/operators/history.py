@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import inclusive_days, period_key, period_label
+from ..functions.text import without_accents
 
 
 def search_history(
     history: DataFrame, start: str | None = None, end: str | None = None, user_id: int | None = None,
-    collection: str | None = None, search: str | None = None, feedback: int | None = None,
+    collection: str | None = None, search: str | None = None, feedback: int | None = None, accents: bool = True,
 ) -> DataFrame:
-    """Searches that meet all given conditions; dates are inclusive, texts are parts in any case."""
+    """Searches that meet all given conditions; dates are inclusive, texts are parts in any case.
+
+    Without ``accents`` a letter equals its accented forms.  A log kept in a folder
+    per day (``created_date``) is read for the days in question alone.
+    """
     conditions = []
+    plain = F.lower if accents else without_accents
+    if "created_date" in history.columns:
+        conditions += [F.col("created_date") >= F.lit(start).cast("date")] if start else []
+        conditions += [F.col("created_date") <= F.lit(end).cast("date")] if end else []
     if start:
         conditions.append(F.col("created_at") >= F.lit(start).cast("timestamp"))
     if end:
@@ -21,9 +30,9 @@ def search_history(
     if user_id is not None:
         conditions.append(F.col("user_id") == user_id)
     if collection:
-        conditions.append(F.exists("collections_used", lambda c: F.contains(F.lower(c), F.lower(F.lit(collection)))))
+        conditions.append(F.exists("collections_used", lambda c: F.contains(plain(c), plain(F.lit(collection)))))
     if search:
-        conditions.append(F.contains(F.lower("query"), F.lower(F.lit(search))) | F.contains(F.lower("response"), F.lower(F.lit(search))))
+        conditions.append(F.contains(plain(F.col("query")), plain(F.lit(search))) | F.contains(plain(F.col("response")), plain(F.lit(search))))
     if feedback is not None:
         conditions.append(F.col("feedback") == feedback)
     for c in conditions:
@@ -31,6 +40,13 @@ def search_history(
     return history
 
 
+def last_days(history: DataFrame, days: int = 30, today: str | None = None, **conditions) -> DataFrame:
+    """``search_history`` from ``days`` days ago (30 for the dashboard, 90 for training) to today."""
+    end = F.lit(today).cast("date") if today else F.current_date()
+    start, end = (str(x) for x in history.sparkSession.range(1).select(F.date_sub(end, days), end).first())
+    return search_history(history, start, end, **conditions)
+
+
 def history_page(history: DataFrame, limit: int = 100, offset: int = 0, order: str = "DESC") -> DataFrame:
     """A page by time and id."""
     if order.upper() not in ("ASC", "DESC"):

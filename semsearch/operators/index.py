@@ -1,20 +1,26 @@
 """The vector table: what is missing, upserts, deletes, changes, counts.
 
 The table is a folder of snapshots; each is partitioned by collection and never
-changed, and a pointer file names the current one.
+changed, and the newest of the pointer files names the current one.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, Config
+from ..functions.text import is_blank
 from ..functions.vectors import norm
+from ..scratch import exists
 from .documents import build_documents, truncated
 from .embed import Embedder, embed_documents
 
 KEY = ["item_id", "collection_id"]
+POINTER = "number long, version string, schema string"
 
 
 def pending_items(items: DataFrame, vectors: DataFrame, force: bool = False) -> DataFrame:
@@ -67,6 +73,26 @@ def index_items(items: DataFrame, vectors: DataFrame, embedder: Embedder | None
     return embedded.withColumn("norm", norm(F.col("vector"))).withColumn("last_updated", F.current_timestamp())
 
 
+def index_collections(items: DataFrame, vectors: DataFrame, embedder: Embedder | None = None, force: bool = False, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Index the items without a vector (all with ``force``): the vector table after that, and each item's outcome.
+
+    An item is ``skipped`` if it has a vector, ``failed`` if there is no text of its own
+    (title, description and metadata blank), else ``indexed``.  The outcomes (KEY,
+    outcome) can be counted by ``outcome_counts``.
+    """
+    has = vectors.select(*KEY).distinct().withColumn("_has", F.lit(True))
+    blank = is_blank(F.col("title")) & is_blank(F.col("description")) & (F.coalesce(F.size("metadata"), F.lit(0)) <= 0)
+    there = F.lit(False) if force else F.coalesce("_has", F.lit(False))
+    judged = items.join(has, KEY, "left").withColumn("outcome", F.when(there, "skipped").when(blank, "failed").otherwise("indexed"))
+    new = index_items(judged.where("outcome = 'indexed'").drop("_has", "outcome"), vectors, embedder, True, config)
+    return upsert_vectors(vectors, new), judged.select(*KEY, "outcome")
+
+
+def with_vector(items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``items`` with ``indexed``: whether there is a vector of their key."""
+    return items.join(vectors.select(*KEY).distinct().withColumn("_has", F.lit(True)), KEY, "left").withColumn("indexed", F.coalesce("_has", F.lit(False))).drop("_has")
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """collection_id with how many items were indexed, skipped or failed."""
     return outcomes.groupBy("collection_id").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("indexed", "skipped", "failed")))
@@ -104,15 +130,21 @@ def index_health(vectors: DataFrame, collections: DataFrame) -> DataFrame:
     return rows(a).unionByName(rows(b)).withColumn("status", F.when(F.col("value") > 0, "ok").otherwise("warning"))
 
 
-def write_snapshot(vectors: DataFrame, root: str, version: str) -> str:
-    """Write a new snapshot and then point to it; a reader sees the old one until then."""
-    path = f"{root}/snapshot={version}"
-    # a collection's rows are spread over several tasks, so a large one isn't written by one
-    vectors.repartition(F.col("collection_id"), F.pmod(F.xxhash64("item_id"), F.lit(8))).write.mode("overwrite").partitionBy("collection_id").parquet(path)
-    vectors.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+def write_snapshot(vectors: DataFrame, root: str, version: str, writer_rows: int = 1_000_000) -> str:
+    """Write a new snapshot and then a new pointer to it; a reader sees the one before until then.
+
+    A collection's rows are spread over as many tasks as give each at most about ``writer_rows``.
+    """
+    spark, path = vectors.sparkSession, f"{root}/snapshot={version}"
+    salts = max(1, -(-vectors.count() // writer_rows))
+    vectors.repartition(F.col("collection_id"), F.pmod(F.xxhash64("item_id"), F.lit(salts))).write.mode("overwrite").partitionBy("collection_id").parquet(path)
+    last = spark.read.schema(POINTER).json(f"{root}/current").agg(F.max("number")).first()[0] if exists(spark, f"{root}/current") else None
+    number = 0 if last is None else last + 1
+    spark.createDataFrame([(number, version, vectors.schema.json())], POINTER).coalesce(1).write.mode("append").json(f"{root}/current")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/snapshot={version}")
+    """The snapshot that the newest pointer names."""
+    newest = spark.read.schema(POINTER).json(f"{root}/current").agg(F.max_by(F.struct("version", "schema"), "number").alias("p")).first().p
+    return spark.read.schema(StructType.fromJson(json.loads(newest.schema))).parquet(f"{root}/snapshot={newest.version}")

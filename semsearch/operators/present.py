@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as T
+from ..scratch import scratch_path
+from .documents import build_documents
+from .embed import Embedder, embed_documents
+from .search import search_vectors
+
+#: Hits that are sent to the tasks that hold the items; with more, items are shuffled.
+HITS_BROADCAST = 100_000
 
 
 def format_hits(hits: DataFrame) -> DataFrame:
@@ -94,6 +101,34 @@ def search_log(formatted: DataFrame, queries: DataFrame, responses: DataFrame) -
     )
 
 
+def search(
+    queries: DataFrame, items: DataFrame, vectors: DataFrame, k: int = 10, collection_ids: list[int] | None = None, embedder: Embedder | None = None,
+    answer: Callable[[list[str], list[str]], list[str]] | None = None, config: Config = DEFAULT,
+) -> tuple[DataFrame, DataFrame]:
+    """Answer ``queries`` (query_id, query): the formatted hits, and a row for the log of each query.
+
+    Queries are embedded and compared with all ``vectors``; the hits meet their items'
+    texts, and ``answer`` is given the prompts.  Without it the best snippet is the
+    answer.  A query without hits has a row without items.
+    """
+    asked = embed_documents(queries.select("query_id", F.coalesce("query", F.lit("")).alias("query")), "query", embedder)
+    path = scratch_path(queries.sparkSession, "search-hits")
+    search_vectors(vectors, asked.select("query_id", "vector"), k, collection_ids).write.parquet(path)
+    hits = queries.sparkSession.read.parquet(path)
+    named = hits.join(queries.select("query_id", "query"), "query_id")
+    named = F.broadcast(named) if hits.limit(HITS_BROADCAST + 1).count() <= HITS_BROADCAST else named  # or texts are shuffled
+    texts = build_documents(items, "block", config).select("item_id", "content", "collection_id", "collection_name", F.col("url").alias("permalink"))
+    formatted = format_hits(texts.join(named, "item_id"))
+    responses = answer_queries(build_prompts(formatted, queries, config), answer) if answer else extractive_answers(formatted, queries)
+    return formatted, search_log(formatted, queries, responses)
+
+
+def selected_marks(collections: DataFrame, selected: DataFrame) -> DataFrame:
+    """``collections`` with ``selected``: whether their id is among ``selected`` (collection_id)."""
+    ids = selected.select(F.col("collection_id").alias("id")).distinct().withColumn("_there", F.lit(True))
+    return collections.join(ids, "id", "left").withColumn("selected", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
 def ranked_report(hits: DataFrame) -> DataFrame:
     """query_id, rank, title, collection, score as percent text, url."""
     return hits.select("query_id", "rank", "title", F.col("collection_name").alias("collection"), F.concat(F.format_number("score", 1), F.lit("%")).alias("score"), F.col("permalink").alias("url"))

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity, score
+from ..scratch import scratch_path
 
 #: Queries that are sent to all tasks at once.
 QUERY_BLOCK = 2048
 #: Digits of a similarity that count for ranks, so that equal vectors tie.
 DIGITS = 12
+HITS = "query_id long, item_id long, similarity double"
 
 
 def in_collections(df: DataFrame, collection_ids: list[int] | None) -> DataFrame:
@@ -55,25 +57,28 @@ def search_vectors(vectors: DataFrame, queries: DataFrame, k: int = 10, collecti
 
     Queries go to all tasks in blocks of ``QUERY_BLOCK``; a task multiplies each
     batch of vectors with a block and keeps k rows a query, so the only exchange
-    carries k rows per query and task.
+    carries k rows per query and task.  With several blocks each one's hits are
+    written before the next is asked.  A query without a vector has no hits, a row
+    without one is none; an empty index gives no rows.
     """
     spark = vectors.sparkSession
     rows = in_collections(vectors, collection_ids).select("item_id", "vector")
+    queries = queries.where("vector is not null").select("query_id", "vector")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
+    path, found = scratch_path(spark, "hits"), None
     for b in range(n_blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "vector").collect()
-        if not block:
-            continue
-        dims = max(len(r.vector) for r in block)
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
+        dims = max((len(r.vector) for r in block), default=0)
         matrix = np.zeros((len(block), dims))
         for row, r in zip(matrix, block, strict=True):
             row[: len(r.vector)] = r.vector
-        held = spark.sparkContext.broadcast((np.array([r.query_id for r in block]), matrix, np.array([len(r.vector) for r in block])))
-        part = rows.mapInArrow(_scorer(held, k), "query_id long, item_id long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, item_id long, similarity double, rank int, score double")
+        held = spark.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), matrix, np.array([len(r.vector) for r in block], np.int64)))
+        found = rows.mapInArrow(_scorer(held, k), HITS)
+        if n_blocks > 1:
+            found.write.mode("append").parquet(path)
+            held.destroy()
+    if n_blocks > 1:
+        found = spark.read.schema(HITS).parquet(path)
     return ranked(found, ["query_id"]).where(F.col("rank") <= k)
 
 
@@ -98,20 +103,29 @@ def similarities(queries: np.ndarray, sizes: np.ndarray, vectors: pa.Array) -> n
 def _scorer(held, k):
     def run(batches):
         ids, queries, sizes = held.value
-        best = [np.empty(0)] * len(ids), [np.empty(0, np.int64)] * len(ids)
+        rows = np.arange(len(ids))[:, None]
+        best, best_ids = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
             items = batch.column(0).to_numpy()
-            for a in range(0, len(items), 8192):
-                sims = np.round(similarities(queries, sizes, batch.column(1)[a : a + 8192]), DIGITS)
-                some = items[a : a + 8192]
-                for q in range(len(ids)):
-                    rows = np.flatnonzero(sims[q] >= np.partition(sims[q], -k)[-k]) if len(some) > k else np.arange(len(some))
-                    s, i = np.concatenate([best[0][q], sims[q][rows]]), np.concatenate([best[1][q], some[rows]])
-                    order = np.lexsort((i, -s))[:k]
-                    best[0][q], best[1][q] = s[order], i[order]
-        n = [len(x) for x in best[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(best[1])), pa.array(np.concatenate(best[0]))], names=["query_id", "item_id", "similarity"])
+            for a in range(0, len(items) if len(ids) else 0, 4096):
+                sims = np.round(similarities(queries, sizes, batch.column(1)[a : a + 4096]), DIGITS)
+                some = items[a : a + 4096]
+                # item ids in order, so that of equal similarities the smaller ids stand first in a stable sort
+                order = np.argsort(some, kind="stable")
+                some, sims = some[order], sims[:, order]
+                if len(some) > k:
+                    kth = np.partition(sims, len(some) - k, 1)[:, len(some) - k, None]
+                    # all above the kth, and of those equal to it as many as are left, from the left
+                    above, equal = sims > kth, sims == kth
+                    take = above | (equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
+                    at = np.nonzero(take)[1].reshape(len(ids), k)
+                else:
+                    at = np.broadcast_to(np.arange(len(some)), (len(ids), len(some)))
+                s, i = np.concatenate([best, sims[rows, at]], 1), np.concatenate([best_ids, some[at]], 1)
+                order = np.lexsort((i, -s), 1)[:, :k]
+                best, best_ids = s[rows, order], i[rows, order]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], names=["query_id", "item_id", "similarity"])
 
     return run
 

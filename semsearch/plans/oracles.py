@@ -74,6 +74,17 @@ def _stats(period: str, limit: int = 30) -> str:
     return sql(f"SELECT period, {label} AS label, total FROM (SELECT {key} AS period, count(*) AS total, max(created_at) AS last FROM history GROUP BY 1 ORDER BY last DESC LIMIT {limit})", "history")
 
 
+# the three best items of a search with their query
+_FORMATTED = f"""f AS (SELECT query_id, rank, round(h.s * 100, 1) AS score, concat('the of item ', query_id) AS query, i.*, {BLOCK} AS content FROM hits h JOIN items i USING (item_id) WHERE rank <= 3),
+  g AS (SELECT *, {_TEXT.format(c='content')} AS plain, list_filter(string_split(lower(query), ' '), lambda t: t NOT IN ('', '0')) AS terms,
+    list_filter(regexp_split_to_array({_strip("trim(regexp_extract(content, '(?s)DESCRIÇÃO:[ \\t\\n\\r]*(.*?)(\\n\\n|\\z)', 1))")}, '\\s+'), lambda x: x <> '') AS words FROM f),
+  asked AS (SELECT item_id AS query_id, concat('the of item ', item_id) AS query FROM vectors WHERE item_id % 20 = 0)"""
+
+
+def _formatted(query: str) -> str:
+    return _search("", "items").rstrip() + ", " + _FORMATTED + " " + query
+
+
 _PREFIXED = "SELECT list_sort(collections_used) AS used, count(*) AS n FROM history WHERE len(collections_used) > 0 GROUP BY 1"
 _TOP = "SELECT collection, CAST(sum(n) AS BIGINT) AS total FROM (SELECT unnest(used) AS collection, n FROM c) GROUP BY 1 ORDER BY total DESC, collection LIMIT 10"
 _WORDS = "len(regexp_extract_all({c}, '[A-Za-z''-]+')) * 4"
@@ -87,7 +98,16 @@ def oracle_sql() -> dict[str, str]:
     facet_rows = f"{found}, f AS (SELECT query_id, i.collection_name, i.m_year, i.m_type FROM hits h JOIN items i USING (item_id) WHERE rank <= 10)"
     asked = f"""asked AS (SELECT item_id % 40 AS b, min(array_to_string(string_split(text, ' ')[1:3], ' ')) AS query FROM benchmark GROUP BY 1),
       a AS (SELECT i.*, query, {_TEXT.format(c='description')} AS plain, list_filter(string_split(lower(query), ' '), lambda t: t NOT IN ('', '0')) AS terms FROM items i JOIN asked ON i.item_id % 40 = b)"""
+    semantic = f"""WITH {_hashed('documents', 'doc_id', 'text')}, {_hashed('benchmark', 'item_id', 'text').replace('terms', 'terms2').replace('counts', 'counts2').replace('lengths', 'lengths2')},
+            dots AS (SELECT b.k AS query_id, a.k AS item_id, sum(a.n * b.n) AS d FROM counts a JOIN counts2 b ON a.b = b.b GROUP BY 1, 2),
+            alle AS (SELECT b.item_id AS query_id, a.doc_id AS item_id FROM documents a, benchmark b),
+            s AS (SELECT query_id, item_id, round(coalesce(d / (x.length * y.length), 0), 12) AS s FROM alle LEFT JOIN dots USING (query_id, item_id) LEFT JOIN lengths x ON x.k = item_id LEFT JOIN lengths2 y ON y.k = query_id)"""
+    examples = f"""SELECT id, concat('{{"messages":[{{"role":"system","content":', to_json('{DEFAULT.system_prompt}'), '}},{{"role":"user","content":', to_json(query), '}},{{"role":"assistant","content":', to_json(response), '}}]}}') AS value
+            FROM training_pairs WHERE feedback = 1"""
     return {
+        "composed_search": semantic + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s QUALIFY rank <= 5)
+            SELECT query_id, any_value(b.text) AS query, string_agg(CAST(r.item_id AS VARCHAR), ',' ORDER BY rank) AS items, count(*) AS total_results FROM r JOIN benchmark b ON b.item_id = query_id GROUP BY query_id""",
+        "exported_examples": sql(f", e AS ({examples}) SELECT value FROM e", "training_pairs"),
         "topk_single": sql(", " + _ONE.format(rows="vectors", where=""), "vectors"),
         "topk_filtered": sql(", " + _ONE.format(rows="vectors", where="WHERE collection_id IN (1, 2, 3)"), "vectors"),
         "topk_candidate_cap": sql(", " + _ONE.format(rows="(SELECT * FROM vectors ORDER BY item_id LIMIT 30)", where=""), "vectors"),
@@ -110,15 +130,49 @@ def oracle_sql() -> dict[str, str]:
         "snippets": f"WITH items AS ({SQL['items']}), {asked} SELECT item_id, {_snippet('plain', 'terms')} AS snippet FROM a",
         "hash_embed": f"""WITH {_hashed('documents', 'doc_id', 'text')}, grid AS (SELECT doc_id AS k, unnest(range(16)) AS b FROM documents)
             SELECT k AS item_id, string_agg(CAST({_DOT} AS VARCHAR), ' ' ORDER BY b) AS vector FROM grid LEFT JOIN counts USING (k, b) LEFT JOIN lengths USING (k) GROUP BY k""",
-        "semantic_search": f"""WITH {_hashed('documents', 'doc_id', 'text')}, {_hashed('benchmark', 'item_id', 'text').replace('terms', 'terms2').replace('counts', 'counts2').replace('lengths', 'lengths2')},
-            dots AS (SELECT b.k AS query_id, a.k AS item_id, sum(a.n * b.n) AS d FROM counts a JOIN counts2 b ON a.b = b.b GROUP BY 1, 2),
-            alle AS (SELECT b.item_id AS query_id, a.doc_id AS item_id FROM documents a, benchmark b),
-            s AS (SELECT query_id, item_id, round(coalesce(d / (x.length * y.length), 0), 12) AS s FROM alle LEFT JOIN dots USING (query_id, item_id) LEFT JOIN lengths x ON x.k = item_id LEFT JOIN lengths2 y ON y.k = query_id)
-            SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank, round(s, 6) AS similarity, round(s * 100, 1) AS score FROM s QUALIFY rank <= 10""",
+        "semantic_search": semantic + " SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank, round(s, 6) AS similarity, round(s * 100, 1) AS score FROM s QUALIFY rank <= 10",
         "facet_counts": f"""{facet_rows}, g AS (SELECT query_id, 'collection' AS facet, collection_name AS value FROM f UNION ALL SELECT query_id, 'year', m_year FROM f UNION ALL SELECT query_id, 'type', m_type FROM f),
             n AS (SELECT query_id, facet, value, count(*) AS n FROM g GROUP BY 1, 2, 3), v AS (SELECT query_id, facet, count(*) AS k FROM n GROUP BY 1, 2)
             SELECT n.query_id, n.facet, value, n, n.facet IN ('collection', 'year') AND v.k > 1 AND c.k > 1 AS shown FROM n JOIN v USING (query_id, facet) JOIN v c ON c.query_id = n.query_id AND c.facet = 'collection'""",
         "facet_filter": f"""{facet_rows} SELECT query_id, count(*) FILTER (m_type IN ('en', 'de') AND collection_name IN ({', '.join(f"'src{k}'" for k in range(10))})) AS visible, count(*) AS total FROM f GROUP BY 1""",
+        "format_hits": _formatted(f"SELECT query_id, rank, item_id AS id, title, {_META_KV} AS metadata, {_snippet('plain', 'terms')} AS snippet, collection_name AS collection, score FROM g"),
+        "build_prompts": _formatted(
+            f"""SELECT query_id, '{DEFAULT.system_prompt}' AS system, concat('Items:', chr(10), chr(10), coalesce(string_agg(concat('[', rank, '] ', title, chr(10), 'Collection: ', collection_name, chr(10),
+            CASE WHEN len(words) > 0 THEN concat('Description: ', array_to_string(words[1:20], ' '), CASE WHEN len(words) > 20 THEN '…' ELSE '' END, chr(10)) ELSE '' END,
+            'Metadata: ', {_meta("', '")}, chr(10), 'Link: ', url), chr(10) || chr(10) ORDER BY rank) FILTER (WHERE item_id IS NOT NULL), ''), chr(10), chr(10), 'Question: ', any_value(a.query)) AS user_prompt FROM asked a LEFT JOIN g USING (query_id) GROUP BY query_id"""),
+        "search_log": _formatted(
+            f"""SELECT query_id, any_value(a.query) AS query, coalesce(any_value(CASE WHEN rank = 1 THEN {_snippet('plain', 'terms')} END), '') AS response, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS items,
+            string_agg(CASE WHEN is_first THEN collection_name END, ',' ORDER BY rank) AS collections, count(item_id) AS total_results
+            FROM asked a LEFT JOIN (SELECT *, rank = min(rank) OVER (PARTITION BY query_id, collection_name) AS is_first FROM g) USING (query_id) GROUP BY query_id"""),
+        "index_items": sql(
+            f""", d AS (SELECT item_id, {BLOCK} AS c FROM items), e AS (SELECT *, substr(c, 1, 2048) AS cut FROM d), f AS (SELECT *, length(cut) - strpos(reverse(cut), '.') AS dot FROM e),
+            n AS (SELECT item_id, CASE WHEN length(c) <= 2048 THEN length(c) WHEN strpos(cut, '.') > 0 AND dot > 0.8 * 2048 THEN dot + 1 ELSE 2048 END AS chars FROM f)
+            SELECT item_id, item_id % 10 AS collection_id, CASE WHEN v.vec_id IS NULL THEN 'indexed' ELSE 'skipped' END AS outcome, CASE WHEN v.vec_id IS NULL THEN CAST(chars AS BIGINT) END AS chars, 1.0::DOUBLE AS norm
+            FROM n LEFT JOIN embeddings v ON v.vec_id = item_id""", "items"),
+        "item_exists": "SELECT doc_id AS item_id, doc_id % 10 AS collection_id, doc_id IN (SELECT vec_id FROM embeddings) AS indexed FROM documents",
+        "embedding_batches": "WITH RECURSIVE items AS (" + SQL["items"] + f"""), d AS (SELECT item_id, length({BLOCK}) / 4.0::DOUBLE AS tokens, row_number() OVER (ORDER BY item_id) AS k FROM items),
+            r AS (SELECT k, item_id, tokens, CAST(0 AS BIGINT) AS batch, 1 AS texts, tokens AS total FROM d WHERE k = 1
+            UNION ALL SELECT d.k, d.item_id, d.tokens, CASE WHEN texts >= {DEFAULT.batch_texts} OR total + d.tokens > {DEFAULT.batch_tokens} THEN batch + 1 ELSE batch END,
+            CASE WHEN texts >= {DEFAULT.batch_texts} OR total + d.tokens > {DEFAULT.batch_tokens} THEN 1 ELSE texts + 1 END, CASE WHEN texts >= {DEFAULT.batch_texts} OR total + d.tokens > {DEFAULT.batch_tokens} THEN d.tokens ELSE total + d.tokens END
+            FROM r JOIN d ON d.k = r.k + 1) SELECT item_id, CAST(0 AS BIGINT) AS bucket, batch, tokens FROM r""",
+        "browser_pages": sql(
+            """, n AS (SELECT collection_id, item_id, row_number() OVER (PARTITION BY collection_id ORDER BY item_id) AS k, count(*) OVER (PARTITION BY collection_id) AS n FROM items),
+            s AS (SELECT *, CASE WHEN n < 50 THEN 5 WHEN n < 200 THEN 10 WHEN n < 1000 THEN 20 ELSE 30 END AS size FROM n)
+            SELECT collection_id, item_id, CAST(size AS BIGINT) AS batch_size, CAST(floor((k - 1) / size) + 1 AS BIGINT) AS page FROM s""", "items"),
+        "selected_collections": sql("SELECT id, name, id IN (SELECT user_id % 5 FROM events WHERE event_type = 'error') AS selected FROM collections", "collections"),
+        "history_of_user": sql("SELECT id, query FROM history WHERE user_id = 5", "history"),
+        "history_without_accents": sql("SELECT id, concat(CASE WHEN id % 2 = 0 THEN 'Coleção ' ELSE 'colecao ' END, query) AS query FROM history WHERE contains(lower(query), 'view') AND starts_with(query, 'view')", "history"),
+        "history_last_days": sql("SELECT id, created_at FROM history WHERE created_at >= TIMESTAMP '2024-01-13' AND created_at < TIMESTAMP '2024-01-21'", "history"),
+        "history_items": sql("SELECT id, CASE WHEN feedback IS NULL THEN 0 ELSE len(collections_used) END AS n_items FROM history", "history"),
+        "catalogue": sql("SELECT id, name, '' AS description, '' AS url, CAST(CASE WHEN id % 2 = 0 THEN items_count ELSE 0 END AS BIGINT) AS items_count FROM collections", "collections"),
+        "one_collection": sql("SELECT id, name, items_count FROM collections WHERE id = 3", "collections"),
+        "read_items": sql("SELECT item_id, collection_id, title, length(description) AS chars, m_type FROM items", "items"),
+        "metadata_defs": sql("SELECT DISTINCT collection_id, CAST(k AS BIGINT) AS id, CASE k WHEN 1 THEN 'type' ELSE 'year' END AS name, 'text' AS type, '' AS description FROM items, (VALUES (1), (2)) t(k)", "items"),
+        "exported_index": sql("SELECT item_id, collection_name, array_to_string(list_transform(vector, lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ' ') AS vector FROM vectors", "vectors"),
+        "exported_history": sql("SELECT id, query, feedback, array_to_string(list_sort(collections_used), ',') AS collections FROM history", "history"),
+        "appended_history": sql("SELECT id, created_at, CAST(created_at AS DATE) AS created_date FROM history WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-21'", "history"),
+        "config_row": sql(f"SELECT count(*) AS collections, CAST({DEFAULT.max_items} AS BIGINT) AS max_items, CAST({DEFAULT.chunk_size} AS BIGINT) AS chunk_size FROM collections", "collections"),
+        "snapshot": sql("SELECT item_id, collection_id, collection_name FROM vectors", "vectors"),
         "total_vectors": "SELECT count(*) AS total FROM embeddings",
         "vectors_by_collection": sql("SELECT collection_id, collection_name, count(*) AS total FROM vectors GROUP BY 1, 2", "vectors"),
         "collection_stats": sql("SELECT collection_id, count(*) AS total, min(last_updated) AS first_update, max(last_updated) AS last_update, count(DISTINCT item_id) AS items, max(collection_name) AS collection_name FROM vectors GROUP BY 1", "vectors"),
@@ -173,9 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "client_address": """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN concat('10.0.0.', user_id) WHEN event_id % 2 = 0 THEN concat('10.0.1.', user_id) ELSE concat('10.0.2.', user_id) END AS address FROM events""",
         "training_kpis": sql(
             f"SELECT count(*) AS examples, CAST(sum({_TOKENS}) AS BIGINT) AS tokens, round(sum({_TOKENS})::DOUBLE / count(*), 0) AS mean_tokens, round(sum({_TOKENS})::DOUBLE / 1000 * {DEFAULT.cost_per_1000_tokens}, 2) AS cost FROM training_pairs", "training_pairs"),
-        "fine_tuning_examples": sql(
-            f"""SELECT id, concat('{{"messages":[{{"role":"system","content":', to_json('{DEFAULT.system_prompt}'), '}},{{"role":"user","content":', to_json(query), '}},{{"role":"assistant","content":', to_json(response), '}}]}}') AS value
-            FROM training_pairs WHERE feedback = 1""", "training_pairs"),
+        "fine_tuning_examples": sql(examples, "training_pairs"),
         "trim_words": sql(
             """, w AS (SELECT item_id, list_filter(regexp_split_to_array(description, '\\s+'), lambda x: x <> '') AS w FROM items)
             SELECT item_id, concat(array_to_string(w[1:12], ' '), CASE WHEN len(w) > 12 THEN '…' ELSE '' END) AS text FROM w""", "items"),

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -19,7 +16,8 @@ from ..operators import present as P
 from ..operators import runs as R
 from ..operators import search as S
 from ..operators import training as TR
-from ..sources import ingest
+from ..scratch import scratch_path
+from ..sources import export, ingest
 from ..streaming import stream
 from . import views as V
 
@@ -228,9 +226,24 @@ def delete_collections(spark, d):
     return X.delete_collections(V.vectors(spark, d), [1, 2]).select("item_id", "collection_id")
 
 
+def _own_items(spark, d):
+    """Items and the vectors of some of them, both with the id's last digit as collection."""
+    items = V.items(spark, d).withColumn("collection_id", F.col("item_id") % 10)
+    v = V.vectors(spark, d).select("item_id", (F.col("item_id") % 10).alias("collection_id"), "collection_name", F.lit(None).cast("string").alias("content"), "permalink")
+    return items, v.withColumns({"vector": F.array(F.lit(1.0)), "norm": F.lit(1.0), "last_updated": F.current_timestamp()})
+
+
 def index_items(spark, d):
-    made = X.index_items(V.items(spark, d), V.vectors(spark, d).limit(0), E.HashEmbedder(16))
-    return made.select("item_id", "collection_id", F.length("content").cast(LONG).alias("chars"), F.round("norm", 6).alias("norm"))
+    """Every item's outcome when those without a vector are indexed, with what its new vector row holds."""
+    items, have = _own_items(spark, d)
+    after, outcomes = X.index_collections(items, have, E.HashEmbedder(16))
+    rows = after.select("item_id", "collection_id", F.length("content").cast(LONG).alias("chars"), F.round("norm", 6).alias("norm"))
+    return outcomes.join(rows, X.KEY, "left").select("item_id", "collection_id", "outcome", "chars", "norm")
+
+
+def item_exists(spark, d):
+    items, have = _own_items(spark, d)
+    return X.with_vector(items, have).select("item_id", "collection_id", "indexed")
 
 
 def outcome_counts(spark, d):
@@ -241,18 +254,23 @@ def outcome_counts(spark, d):
 
 def apply_changes(spark, d):
     c = V.changes(spark, d)
-    return X.live_items(X.apply_changes(c.limit(0), c)).select("item_id", "seq", "op", F.round("value", 6).alias("value"))
+    state = X.apply_changes(c.limit(0), c.where("seq % 3 <> 1"))  # the changes of two thirds first, later ones among them
+    return X.live_items(X.apply_changes(state, c.where("seq % 3 = 1"))).select("item_id", "seq", "op", F.round("value", 6).alias("value"))
 
 
 def embedding_batches(spark, d):
     docs = D.build_documents(V.items(spark, d))
-    return E.assign_embedding_batches(docs, buckets=4, config=Config(batch_texts=100, batch_tokens=20_000))
+    return E.assign_embedding_batches(docs).select("item_id", F.col("bucket").cast(LONG).alias("bucket"), F.col("batch").cast(LONG).alias("batch"), "tokens")
 
 
 def item_pages(spark, d):
     return E.item_pages(V.items(spark, d))
 
 
+def browser_pages(spark, d):
+    return E.item_pages(V.items(spark, d), rule="browser")
+
+
 def search_history(spark, d):
     return H.search_history(V.history(spark, d), "2024-01-05", "2024-01-20", collection="c3", search="PURCHASE", feedback=1).select("id", "created_at", "user_id", "query")
 
@@ -365,15 +383,123 @@ def search_ivf(spark, d):
     return _hits(S.search_ivf(S.assign_clusters(v, model), V.query_vectors(spark, d), model, 10, 12))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def composed_search(spark, d):
+    """Every benchmark text asked of all items: the log's row of each."""
+    items = V.items(spark, d)
+    vectors = E.embed_documents(items.select("item_id", "collection_id", "description"), "description", E.HashEmbedder(16))
+    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    _, log = P.search(asked, items, vectors, 5, embedder=E.HashEmbedder(16))
+    return log.select("query_id", "query", F.array_join(F.transform("items_used", lambda h: h["id"].cast("string")), ",").alias("items"), "total_results")
+
+
+def selected_collections(spark, d):
+    chosen = V.table(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 5).alias("collection_id"))
+    return P.selected_marks(V.collections(spark, d), chosen).select("id", "name", "selected")
+
+
+def history_of_user(spark, d):
+    return H.search_history(V.history(spark, d), user_id=5).select("id", "query")
+
+
+def history_without_accents(spark, d):
+    h = V.history(spark, d).withColumn("query", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Coleção "), "query")).otherwise(F.concat(F.lit("colecao "), "query")))
+    return H.search_history(h, search="COLEÇAO view", accents=False).select("id", "query")
+
+
+def history_last_days(spark, d):
+    return H.last_days(V.history(spark, d), 7, "2024-01-20").select("id", "created_at")
+
+
+def history_items(spark, d):
+    h = V.history(spark, d).withColumn("items_used", F.when(F.col("feedback").isNotNull(), F.col("collections_used")))
+    return H.items_per_search(h).select("id", F.col("n_items").cast(LONG).alias("n_items"))
+
+
+def catalogue(spark, d):
+    """Collections written as a JSON catalogue with some values left out, and read again."""
+    path = scratch_path(spark, "catalogue")
+    entry = F.struct("id", "name", F.when(F.col("id") % 2 == 0, F.col("items_count")).alias("items_count"))
+    pages = V.collections(spark, d).groupBy((F.col("id") % 4).alias("page")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    pages.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return ingest.read_collections(spark, path)
+
+
+def one_collection(spark, d):
+    return ingest.get_collection(V.collections(spark, d), 3).select("id", "name", "items_count")
+
+
+def read_items(spark, d):
+    """Item pages written as JSON files of each collection, and read again."""
+    path = scratch_path(spark, "item-pages")
+    meta = F.array(F.struct(F.lit("type").alias("name"), F.col("m_type").alias("value_as_string")))
+    item = F.struct(F.col("item_id").alias("id"), "title", "description", "url", meta.alias("metadata"))
+    pages = V.items(spark, d).groupBy("collection_id", F.floor(F.col("item_id") / 50).alias("page")).agg(F.collect_list(item).alias("items"))
+    pages.select("collection_id", "items").write.option("maxRecordsPerFile", 1).partitionBy("collection_id").json(path)
+    return ingest.read_items(spark, path).select("item_id", "collection_id", "title", F.length("description").cast(LONG).alias("chars"), F.col("metadata")["type"].alias("m_type"))
+
+
+def metadata_defs(spark, d):
+    path = scratch_path(spark, "metadata-defs")
+    fields = V.items(spark, d).select("collection_id", F.explode(F.array(F.lit("type"), F.lit("year"))).alias("name")).distinct()
+    defs = fields.select("collection_id", F.when(F.col("name") == "type", 1).otherwise(2).cast(LONG).alias("id"), "name", F.lit("text").alias("metadata_type"))
+    defs.repartition("collection_id").write.partitionBy("collection_id").json(path)
+    return ingest.read_metadata_defs(spark, path, lines=True).select("collection_id", "id", "name", "type", "description")
+
+
+def exported_index(spark, d):
+    """The vector table exported as CSV, its vectors as JSON text, and decoded again."""
+    path = scratch_path(spark, "index-csv")
+    export.export_index(V.vectors(spark, d).select("item_id", "collection_name", "vector"), path, "csv")
+    back = spark.read.schema("item_id long, collection_name string, vector string").option("header", True).option("escape", '"').csv(path)
+    digits = F.transform("vector", lambda x: F.round(x * 1000).cast(LONG).cast("string"))
+    return ingest.decode_vectors(back).select("item_id", "collection_name", F.array_join(digits, " ").alias("vector"))
+
+
+def exported_history(spark, d):
+    """The log exported as JSON and as CSV, both read back; lists are decoded from the text of the latter."""
+    h = V.history(spark, d).select("id", "query", "collections_used", "feedback")
+    js, csv = scratch_path(spark, "history-json"), scratch_path(spark, "history-csv")
+    export.export_history(h, js)
+    export.export_history(h, csv, "csv")
+    a = spark.read.schema("id long, query string, feedback int").json(js)
+    b = ingest.decode_list(spark.read.schema("id long, query string, collections_used string, feedback int").option("header", True).option("escape", '"').csv(csv), "collections_used")
+    return a.join(b.select("id", F.array_join(F.array_sort("collections_used"), ",").alias("collections")), "id")
+
+
+def exported_examples(spark, d):
+    path = scratch_path(spark, "examples")
+    export.export_examples(TR.fine_tuning_examples(V.training_pairs(spark, d)), path)
+    return spark.read.text(path)
+
+
+def appended_history(spark, d):
+    """Searches appended to the log in two parts; days are found again by their folders."""
+    path = scratch_path(spark, "history-days")
+    h = V.history(spark, d).select("id", "created_at")
+    for k in range(2):
+        export.append_history(h.where(F.col("id") % 2 == k), path)
+    return H.search_history(spark.read.parquet(path), "2024-01-05", "2024-01-20").select("id", "created_at", "created_date")
+
+
+def config_row(spark, d):
+    """The settings as exported, with the number of collections they apply to."""
+    n = V.collections(spark, d).agg(F.count("*").alias("collections"))
+    c = export.config_table(spark)
+    return n.crossJoin(F.broadcast(c)).select("collections", F.col("max_items").cast(LONG).alias("max_items"), F.col("chunk_size").cast(LONG).alias("chunk_size"))  # one row each
+
+
+def snapshot(spark, d):
+    """Two snapshots of the vector table, of which the newer one is read."""
+    root = scratch_path(spark, "snapshots")
+    v = V.vectors(spark, d).select("item_id", "collection_id", "collection_name")
+    X.write_snapshot(v.limit(0), root, "a")
+    X.write_snapshot(v, root, "b")
+    return X.read_snapshot(spark, root).select("item_id", F.col("collection_id").cast(LONG).alias("collection_id"), "collection_name")
 
 
 def stream_search_counts(spark, d):
     """The log as a stream of files; equal to the counts per day once the watermark has passed."""
-    root = _shared(spark)
+    root = scratch_path(spark, "stream")
     h = V.history(spark, d).select("id", "created_at")
     h.write.parquet(f"{root}/in")
     # a last search far ahead lets the watermark pass all days
@@ -392,7 +518,7 @@ def stream_search_counts(spark, d):
 
 def stream_index(spark, d):
     """Changes as a stream of files in four micro-batches; equal to applying them at once."""
-    root = _shared(spark)
+    root = scratch_path(spark, "stream")
     c = V.changes(spark, d)
     c.repartitionByRange(4, "seq").write.parquet(f"{root}/in")
     source = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
@@ -411,7 +537,9 @@ def queries() -> dict:
         index_health, index_coverage, enabled_collections, resolve_collections, pending_items, upsert_vectors, remove_orphans, delete_collections, index_items, outcome_counts,
         apply_changes, embedding_batches, item_pages, search_history, history_page, search_detail, recent_periods, top_collections, top_collections_prelimit, dashboard_kpis,
         latest_search_ids, apply_feedback, client_address, training_kpis, fine_tuning_examples, trim_words, id_lists, content_previews, run_totals, latest_runs, prune_runs,
-        last_errors, log_levels, log_tail, item_metadata, search_ivf, stream_search_counts, stream_index,
+        last_errors, log_levels, log_tail, item_metadata, search_ivf, stream_search_counts, stream_index, item_exists, browser_pages, composed_search, selected_collections,
+        history_of_user, history_without_accents, history_last_days, history_items, catalogue, one_collection, read_items, metadata_defs, exported_index, exported_history,
+        exported_examples, appended_history, config_row, snapshot,
     ]
     found = {f.__name__: f for f in named}
     found |= {"documents_block": _document_query("block"), "documents_inline": _document_query("inline"), "documents_custom_fields": _document_query("inline", custom)}

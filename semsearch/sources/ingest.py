@@ -17,9 +17,9 @@ def _defaults(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(c, F.lit("" if t == "string" else 0)).cast(t).alias(c) for c, t in df.dtypes))
 
 
-def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue from JSON files, each an array of collections or one collection a line."""
-    return _defaults(spark.read.schema(COLLECTIONS).option("multiLine", True).json(path))
+def read_collections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The catalogue from JSON files, each an array of collections, or with ``lines`` one collection a line."""
+    return _defaults(spark.read.schema(COLLECTIONS).option("multiLine", not lines).json(path))
 
 
 def get_collection(collections: DataFrame, collection_id: int) -> DataFrame:
@@ -49,9 +49,9 @@ def flat_items(pages: DataFrame) -> DataFrame:
     )
 
 
-def read_metadata_defs(spark: SparkSession, path: str) -> DataFrame:
-    """Field definitions under ``collection_id=<id>`` folders; the last file's of equal ids stays."""
-    raw = spark.read.schema(METADATA_DEFS + ", collection_id long").option("multiLine", True).option("basePath", path).json(path)
+def read_metadata_defs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Field definitions under ``collection_id=<id>`` folders, arrays or one a line; the last file's of equal ids stays."""
+    raw = spark.read.schema(METADATA_DEFS + ", collection_id long").option("multiLine", not lines).option("basePath", path).json(path)
     raw = raw.withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     last = Window.partitionBy("collection_id", "id").orderBy(F.desc("_at"))
     return _defaults(raw.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_at").withColumnRenamed("metadata_type", "type"))

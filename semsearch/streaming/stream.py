@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.index import apply_changes
+from ..scratch import remove
 
 
 def stream_search_counts(history: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -26,6 +27,8 @@ def stream_index(changes: DataFrame, root: str, checkpoint: str) -> StreamingQue
         spark = batch.sparkSession
         old = read_state(spark, f"{root}/{number - 1}", batch) if number else batch.limit(0)
         apply_changes(old, batch).write.mode("overwrite").parquet(f"{root}/{number}")
+        if number > 1:
+            remove(spark, f"{root}/{number - 2}")  # the one before stays, as this batch may be run again
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -12,8 +13,10 @@ from semsearch.operators import index as X
 from semsearch.operators import present as P
 from semsearch.operators import search as S
 from semsearch.operators import training as TR
+from semsearch.plans import queries
 from semsearch.sources import export, ingest
 
+SF = "/root/testdata/sf0.001"
 ITEM = "item_id long, collection_id long, collection_name string, title string, description string, metadata map<string,string>, url string"
 
 
@@ -79,6 +82,76 @@ def test_clusters_recall(spark):
     assert every == exact
 
 
+def test_queries_without_a_vector_and_many_blocks(spark, monkeypatch):
+    df, _ = vectors(spark, 60)
+    asked = df.where("item_id % 7 = 0").select(F.col("item_id").alias("query_id"), "vector")
+    asked = asked.unionByName(spark.createDataFrame([(1000, None)], "query_id long, vector array<double>"))
+    key = lambda rows: sorted((r.query_id, r.rank, r.item_id, round(r.similarity, 9)) for r in rows)
+    once = key(S.search_vectors(df, asked, 4).collect())
+    monkeypatch.setattr(S, "QUERY_BLOCK", 2)
+    assert key(S.search_vectors(df, asked, 4).collect()) == once and len(once) == 9 * 4
+    assert S.search_vectors(df.limit(0), asked, 4).count() == 0
+
+
+def test_equal_similarities_go_to_the_smaller_ids(spark):
+    df = spark.createDataFrame([(k, [1.0, float(k % 3 == 0)]) for k in range(40, 0, -1)], "item_id long, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<double>")
+    got = [(r.query_id, r.item_id) for r in S.search_vectors(df, asked, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, k) for k in (1, 2, 4, 5, 7)] + [(2, k) for k in (3, 6, 9, 12, 15)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_recall_of_the_registered_cluster_search(spark):
+    key = lambda name: {(r.query_id, r.item_id) for r in queries.queries()[name](spark, SF).collect()}
+    exact = key("topk_multi")
+    assert len(exact & key("search_ivf")) >= 0.9 * len(exact)
+
+
+def test_pages_of_a_large_collection(spark):
+    rows = [(7, k) for k in range(0, 900, 3)] + [(8, 5), (None, 1), (None, 2)]
+    items = spark.createDataFrame(rows, "collection_id long, item_id long").repartition(5)
+    got = {r.item_id: (r.batch_size, r.page) for r in E.item_pages(items).where("collection_id = 7").collect()}
+    assert got == {k: (30, 1 + i // 30) for i, k in enumerate(range(0, 900, 3))}
+    assert {r.batch_size for r in E.item_pages(items, rule="browser").where("collection_id = 7").collect()} == {20}
+    assert E.item_pages(items.limit(0)).count() == 0
+
+
+def test_index_of_collections(spark, items):
+    none = X.index_items(items, spark.createDataFrame([], "item_id long, collection_id long"), E.HashEmbedder(8)).limit(0)
+    after, outcomes = X.index_collections(items, none, E.HashEmbedder(8))
+    again, skipped = X.index_collections(items, after, E.HashEmbedder(8))
+    assert {r.item_id: r.outcome for r in outcomes.collect()} == {1: "indexed", 2: "failed", 3: "indexed"}  # the second has no text of its own
+    assert {r.item_id: r.outcome for r in skipped.collect()} == {1: "skipped", 2: "failed", 3: "skipped"} and again.count() == after.count() == 2
+    blank = items.withColumns({"title": F.lit(""), "description": F.lit(None).cast("string"), "metadata": F.lit(None).cast("map<string,string>")})
+    assert {r.outcome for r in X.index_collections(blank, none, E.HashEmbedder(8))[1].collect()} == {"failed"}
+
+
+def test_newest_pointer_wins(spark, tmp_path):
+    v = spark.createDataFrame([(1, 1), (2, 1)], "item_id long, collection_id long")
+    for version, n in (("b", 1), ("a", 2), ("b2", 0)):
+        X.write_snapshot(v.limit(n), str(tmp_path), version, writer_rows=1)
+        assert X.read_snapshot(spark, str(tmp_path)).count() == n
+
+
+def test_search_from_texts_to_log(spark, items):
+    index = X.index_items(items, spark.createDataFrame([], "item_id long, collection_id long"), E.HashEmbedder(16))
+    asked = spark.createDataFrame([(1, "stone"), (2, None)], "query_id long, query string")
+    hits, log = P.search(asked, items, index, 2, embedder=E.HashEmbedder(16))
+    assert hits.where("query_id = 1").count() == 2
+    assert {r.query_id: r.total_results for r in log.collect()} == {1: 2, 2: 2}
+    _, log = P.search(asked, items, index, 2, embedder=E.HashEmbedder(16), answer=lambda systems, users: ["an answer"] * len(users))
+    assert {r.response for r in log.collect()} == {"an answer"}
+
+
+def test_log_of_days_and_accents(spark):
+    rows = [(1, "2024-01-05 10:00:00", "Coleção"), (2, "2024-01-09 10:00:00", "COLECAO"), (3, "2024-01-09 11:00:00", "other")]
+    h = spark.createDataFrame(rows, "id long, created_at string, query string").withColumns({"created_at": F.to_timestamp("created_at"), "response": F.lit(None).cast("string"), "created_date": F.to_date("created_at")})
+    ids = lambda **k: sorted(r.id for r in H.search_history(h, **k).collect())
+    assert ids(search="colecao", accents=False) == [1, 2] and ids(search="coleção") == [1]
+    assert ids(start="2024-01-06", end="2024-01-09") == [2, 3]
+    assert sorted(r.id for r in H.last_days(h, 3, "2024-01-08").collect()) == [1]
+
+
 def test_resolve_collections(spark):
     collections = spark.createDataFrame([(1, True), (2, False), (3, True)], "id long, enabled boolean")
     asked = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, None)], "query_id long, collection_id long")
