@@ -13,6 +13,21 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of a batch of rows that is sent to a Python worker.
+BATCH_BYTES = 6_000_000
+
+
+def for_python(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python workers in batches of about ``BATCH_BYTES``.
+
+    Spark's own bound is ten times that, which the JVM and the worker both hold more than once.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB") if spark.conf.get(name).rstrip("bB").isdigit() else BATCH_BYTES + 1) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,7 +9,9 @@ library encodes few of them and the rest are looked up.
 from __future__ import annotations
 
 import ctypes
+import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from tokenizers import Tokenizer
 _LIBC = ctypes.CDLL(None)
 
 #: Pieces that a worker remembers before it starts anew; bounds its memory, not its results.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 
 #: What the split at single blanks and line feeds cannot take: runs of white space, other
 #: white space, white space at either end, and the separator itself (RE2 syntax).
@@ -38,8 +40,8 @@ STEM_END = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x
 class _Places(dict):
     """Piece -> its number; a new piece gets the next number and waits in ``fresh``."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, known=()):
+        super().__init__(known)
         self.fresh = []
 
     def __missing__(self, piece):
@@ -78,13 +80,19 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         # a vocabulary with a normalizer drops white space, so its units are plain words
         self.drops_space = self.tokenizer.normalizer is not None
-        self._forget()
-
-    def _forget(self) -> None:
         self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _forget(self, kept: np.ndarray) -> None:
+        """Forget all pieces but those at these places, which the last texts hold."""
+        names, sizes = list(self.places), np.diff(self.starts)[kept]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.flat = np.concatenate([ids, np.empty(1 << 16, np.uint32)])
+        self.starts = np.concatenate([[0], ends])
+        self.places = _Places((names[k], i) for i, k in enumerate(kept.tolist()))
+
     def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The units of all texts, and where each text's units end."""
         texts = pc.fill_null(texts, "")
@@ -108,14 +116,12 @@ class UnitEncoder:
             ends = self.starts[-1] + np.cumsum(sizes)
             while ends[-1] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.starts[-1] : ends[-1]] = [x for one in ids for x in one]
+            self.flat[self.starts[-1] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             self.starts = np.concatenate([self.starts, ends])
         fresh.clear()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids end. A null text is empty."""
-        if len(self.places) > REMEMBERED:
-            self._forget()
         units, ends = self._units(texts)
         units = units.dictionary_encode()
         stems, tails = _stems_and_tails(units.dictionary)
@@ -126,13 +132,18 @@ class UnitEncoder:
         sizes = self.starts[places + 1] - first
         after = np.cumsum(sizes)
         total = int(after[-1]) if len(after) else 0
-        ids = self.flat[np.repeat(first - (after - sizes), sizes) + np.arange(total)]
+        at = np.repeat(first - (after - sizes), sizes)
+        at += np.arange(total)
+        ids = self.flat[at]
+        if len(self.places) > REMEMBERED:
+            self._forget(np.unique(places))
         return ids, np.concatenate([[0], after])[2 * ends]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> UnitEncoder:
-    """The encoder of a worker process for a vocabulary file."""
+    """The encoder of a worker process for a vocabulary file; a task has one core, so the library has one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return UnitEncoder(path)
 
 

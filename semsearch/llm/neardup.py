@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, is_small, small_or_not, stored
+from .common import discard, for_python, free_name, is_small, small_or_not, stored
 from .encode import in_slices
 from .words import words
 
@@ -40,7 +40,7 @@ TOKEN_BITS = 48
 #: Classes to a doubling of the number of documents.  The last class is for tokens in more than ``HOT`` documents of a chunk.
 CLASSES, LAST_CLASS, HOT = 16, 255, 64
 #: Bytes of text in a chunk, and in a range of tokens that one task counts.
-CHUNK_BYTES, RANGE_BYTES = 4_000_000, 8_000_000
+CHUNK_BYTES, RANGE_BYTES = 6_000_000, 8_000_000
 #: Stands for a hot token's documents, which stay with their chunk.  A chunk has fewer documents.
 ALL_DOCUMENTS = (1 << 16) - 1
 
@@ -159,7 +159,7 @@ def chunks(df: DataFrame, ranges: int) -> DataFrame:
                     yield from _chunk(*(batch.column(k)[a:b] for k in range(3)), row, chunk, edges)
                     row, chunk = row + b - a, chunk + 1
 
-    return df.mapInArrow(run, PARTS)
+    return for_python(df).mapInArrow(run, PARTS)
 
 
 def _shared(held: list[tuple[int, bytes]]) -> pa.RecordBatch:

@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import for_python
 from .encode import encoder, in_slices
 
 #: Bytes of text that are packed together, largest piece first.
-SLICE_BYTES = 24_000_000
+SLICE_BYTES = 6_000_000
 
 
 class OpenSequences:
@@ -70,7 +71,7 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             for a, b in in_slices(batch.column(1), SLICE_BYTES):
                 yield _packed(codec, room, batch.column(0)[a:b], batch.column(1)[a:b], end_id)
 
-    return df.select(df[id_col].cast("long"), df[text_col].cast("string")).mapInArrow(pack, schema)
+    return for_python(df.select(df[id_col].cast("long"), df[text_col].cast("string"))).mapInArrow(pack, schema)
 
 
 def _packed(codec, room: OpenSequences, doc_ids: pa.Array, texts: pa.Array, end_id: int) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_or_not, stored
+from .common import BROADCAST_ROWS, for_python, small_or_not, stored
 from .encode import in_slices
 from .words import windows, words
 
@@ -97,7 +97,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     host = F.coalesce(df[host_col].cast("string"), F.lit(""))
     text = df[text_col].cast("string")
-    return df.select(df[id_col].cast("long"), host, F.xxhash64(text), text).mapInArrow(run, MEASURES)
+    return for_python(df.select(df[id_col].cast("long"), host, F.xxhash64(text), text)).mapInArrow(run, MEASURES)
 
 
 def frequent_lines(docs: DataFrame, max_share: float, min_documents: int, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
@@ -193,4 +193,4 @@ def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "
     names = df.columns
     text = F.xxhash64(F.coalesce(df[host_col].cast("string"), F.lit("")), F.xxhash64(df[text_col].cast("string")))
     joined = df.withColumn("_text", text).join(F.broadcast(per_text) if few else per_text, "_text", "left")
-    return joined.mapInArrow(strip, df.schema)
+    return for_python(joined).mapInArrow(strip, df.schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_not
+from .common import for_python, small_or_not
 from .encode import encoder, in_slices
 
 #: Tokens after which a shard ends, at the next end of a document.
@@ -215,7 +215,7 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for a, b in in_slices(batch.column(1), min(3_000_000, 3 * shard_tokens)):
+            for a, b in in_slices(batch.column(1), min(6_000_000, 3 * shard_tokens)):
                 some, ends = codec.encode(batch.column(1)[a:b])
                 doc_ids += batch.column(0)[a:b].to_pylist()
                 ids.append(np.insert(some, ends, end_id))
@@ -232,7 +232,7 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
     order = F.asc_nulls_last("doc_id")
     # rows without an id are dealt by how their texts begin, in the order of the whole texts
     dealt = docs.repartitionByRange(order, F.when(F.col("doc_id").isNull(), F.left("text", F.lit(64))).asc())
-    dealt.sortWithinPartitions(order, "text").mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
+    for_python(dealt.sortWithinPartitions(order, "text")).mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, without_id: bool = False) -> DataFrame:
