@@ -1,7 +1,8 @@
 """Brown class-based bigrams: log10 P(text) = sum of log10 P(class | class before) P(word | class).
 
-The most frequent words are put into classes by exchange clustering; all other words
+All words seen often enough are put into classes by exchange clustering; all other words
 fall into a class by their last character, and the end of a text is a class of its own.
+Words never seen share what their class holds back by their spelling.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from .common import stored
 from .encode import in_slices
 from .words import words
 
-#: Words sent to every task at most, words that are clustered, classes they are put into, rounds of exchange.
-FREQUENT, CLUSTERED, CLASSES, ROUNDS = 1 << 18, 4096, 96, 6
+#: Words sent to every task at most, and how often a word must occur to be clustered.
+FREQUENT, LEAST = 1 << 18, 100
+#: Classes to the fourth root of the number of clustered words.
+CLASSES = 12
+#: Rounds of exchange end when the likelihood of the classes rises by a smaller share than this.
+GAIN = 1e-3
 #: Weight of a class's overall share against what follows the class before.
 TRANSITION_PRIOR = 20.0
 #: Classes of the other words by what they end with: a full stop, a comma, a letter or digit, anything else.
@@ -143,63 +148,130 @@ def class_counts(around: DataFrame, classes: np.ndarray, total: int) -> np.ndarr
     return sums
 
 
-def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, counts: np.ndarray, n_movable: int) -> int:
+def best_class(own: int, after: np.ndarray, before: np.ndarray, itself: float, counts: np.ndarray, n_movable: int, logs: np.ndarray | None = None) -> int:
     """The class whose likelihood gains most from a word; it stays on equal gains.
 
     ``after`` and ``before`` count the classes on its right and left; ``counts`` are
-    those of all classes, the word still in ``own``.
+    those of all classes, the word still in ``own``, and ``logs`` their x log x.  Only
+    classes next to the word make a difference.
     """
-    after, before, counts = after.astype(float), before.astype(float), counts.copy()
-    counts[own] -= after
-    counts[:, own] -= before
-    counts[own, own] += itself  # it was taken away twice
-    after[own] -= itself
-    before[own] -= itself
-    # what stands left of the word counts for its class whatever class the word is in, and so on its right
-    left, right = (counts.sum(1) + before)[:n_movable], (counts.sum(0) + after)[:n_movable]
-    rows, cols = counts[:n_movable], counts[:, :n_movable].T
-    gain = (_xlogx(rows + after) - _xlogx(rows)).sum(1) + (_xlogx(cols + before) - _xlogx(cols)).sum(1)
+    logs = _xlogx(counts) if logs is None else logs
+    after, before = after.astype(float), before.astype(float)
+    n_after, n_before = after.sum(), before.sum()
+
+    def side(counts, logs, beside, across):
+        """What a row of counts gains if the word's neighbours on one side are added to it; the word is taken away first."""
+        alone = beside.copy()
+        alone[own] -= itself
+        at = np.flatnonzero(alone)
+        rows, base = counts[:n_movable, at], logs[:n_movable, at]
+        rows[own] -= beside[at]
+        base[own] = _xlogx(rows[own])
+        if alone[own]:
+            k = int(np.searchsorted(at, own))
+            rows[:, k] -= across[:n_movable]
+            rows[own, k] += itself  # it was taken away twice
+            base[:, k] = _xlogx(rows[:, k])
+        return alone, (_xlogx(rows + alone[at]) - base).sum(1)
+
+    right, gain = side(counts, logs, after, before)
+    left, gain_left = side(counts.T, logs.T, before, after)
+    gain += gain_left
     k = np.arange(n_movable)
-    corner = counts[k, k]  # a class before or after itself is in both sums
-    gain += _xlogx(corner + after[k] + before[k] + itself) - _xlogx(corner + after[k]) - _xlogx(corner + before[k]) + _xlogx(corner)
-    gain -= _xlogx(left + after.sum() + itself) - _xlogx(left) + _xlogx(right + before.sum() + itself) - _xlogx(right)
+    corner = counts[k, k].copy()  # a class before or after itself is in both sums
+    if own < n_movable:
+        corner[own] += itself - after[own] - before[own]
+    gain += _xlogx(corner + right[k] + left[k] + itself) - _xlogx(corner + right[k]) - _xlogx(corner + left[k]) + _xlogx(corner)
+    # what stands left of the word counts for its class whatever class the word is in, and so on its right
+    for total, n in ((counts.sum(1)[:n_movable], n_after), (counts.sum(0)[:n_movable], n_before)):
+        if own < n_movable:
+            total[own] -= n
+        gain -= _xlogx(total + n) - _xlogx(total)
     best = int(np.argmax(gain))
     return best if gain[best] > gain[own] + 1e-9 else own
 
 
-def exchange(around: DataFrame, clustered: int, n_classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def exchange(around: DataFrame, clustered: int, n_classes: int, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the items and the counts of class pairs, from ``contexts``.
 
     In a round every task finds the best class of its words against the same
     counts; half of the words, the others in the next round, move, as words that
-    move together would follow each other.  The round of highest likelihood is taken.
+    move together would follow each other.  Rounds end when two of them together
+    raise the likelihood by a share below ``gain``.
     """
-    total = n_classes + SHAPES + 1
+    spark, total = around.sparkSession, n_classes + SHAPES + 1
     classes = np.concatenate([np.arange(clustered) % n_classes, np.arange(n_classes, total)])
-    best = (-np.inf, classes, np.zeros((total, total)))
-    for turn in range(rounds + 1):
+    best, before_last, turn = (-np.inf, classes, np.zeros((total, total))), -np.inf, 0
+    while True:
         counts = class_counts(around, classes, total)
         likelihood = _xlogx(counts).sum() - _xlogx(counts.sum(0)).sum() - _xlogx(counts.sum(1)).sum()
+        if turn % 2 == 0:
+            stop = turn and likelihood - before_last < gain * abs(before_last)
+            before_last = likelihood
         if likelihood > best[0]:
             best = (likelihood, classes, counts)
-        if turn == rounds or clustered < 2 or n_classes < 2:
-            break
+        if stop or clustered < 2 or n_classes < 2:
+            return best[1], best[2]
+        held = spark.sparkContext.broadcast((classes, counts))
 
-        def choose(batches, classes=classes, counts=counts, turn=turn):
+        def choose(batches, held=held, turn=turn):
+            classes, counts = held.value
+            logs = _xlogx(counts)
             for batch in batches:
                 items = batch.column(0).to_numpy()
                 batch = batch.filter(pa.array((items < clustered) & ((items // n_classes + items + turn) % 2 == 0)))
-                after, before = _by_class(batch, 0, classes, total), _by_class(batch, 1, classes, total)
                 chosen = []
-                for k, item in enumerate(batch.column(0).to_pylist()):
-                    others, n = batch.column(1)[k].values.to_numpy(), batch.column(2)[k].values.to_numpy()
-                    chosen.append(best_class(int(classes[item]), after[k], before[k], float(n[others == item].sum()), counts, n_classes))
+                for a in range(0, len(batch), 1024):
+                    part = batch.slice(a, 1024)
+                    after, before = _by_class(part, 0, classes, total), _by_class(part, 1, classes, total)
+                    for k, item in enumerate(part.column(0).to_pylist()):
+                        others, n = part.column(1)[k].values.to_numpy(), part.column(2)[k].values.to_numpy()
+                        chosen.append(best_class(int(classes[item]), after[k], before[k], float(n[others == item].sum()), counts, n_classes, logs))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.int32())], names=["item", "class"])
 
         classes = classes.copy()
         for r in around.mapInArrow(choose, "item int, class int").collect():  # a row per clustered word at most
             classes[r["item"]] = r["class"]
-    return best[1], best[2]
+        held.destroy()
+        turn += 1
+
+
+def byte_pairs(words_: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte before each byte of the words (256 before the first), the bytes, and where words end."""
+    at = np.frombuffer(words_.buffers()[1], np.int32)[words_.offset : words_.offset + len(words_) + 1].astype(np.int64)
+    data = np.frombuffer(words_.buffers()[2], np.uint8)[at[0] : at[-1]].astype(np.int64)
+    before = np.concatenate([[256], data[:-1]])[: len(data)]
+    before[at[:-1] - at[0]] = 256
+    return before, data, at[1:] - at[0]
+
+
+def spelling(words_: DataFrame, weight: float = 0.1) -> np.ndarray:
+    """log10 P(byte | byte before) over the distinct words (one string column), 257 x 257; 256 is the edge of a word."""
+
+    def count(batches):
+        sums = np.zeros((257, 257), np.int64)
+        for batch in batches:
+            if len(batch):
+                before, data, ends = byte_pairs(batch.column(0))
+                np.add.at(sums, (before, data), 1)
+                np.add.at(sums, (data[ends - 1], np.full(len(ends), 256)), 1)
+        a, b = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sums[a, b])], names=["a", "b", "n"])
+
+    sums = np.full((257, 257), weight)
+    sums[256, 256] = 0  # a word has a byte
+    for r in words_.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        sums[r.a, r.b] += r.n
+    return np.log10(np.maximum(sums, 1e-300) / sums.sum(1, keepdims=True))
+
+
+def spelled(words_: pa.Array, table: np.ndarray) -> np.ndarray:
+    """log10 of each word's probability by its spelling."""
+    if not len(words_):
+        return np.empty(0)
+    before, data, ends = byte_pairs(words_)
+    sums = np.concatenate([[0], np.cumsum(table[before, data])])
+    return np.diff(sums[np.concatenate([[0], ends])]) + table[data[ends - 1], 256]
 
 
 @dataclass
@@ -216,52 +288,50 @@ class BrownModel:
     transitions: np.ndarray  #: log10 P(class | class before)
     emissions: np.ndarray  #: log10 P(word | class) of the frequent words
     shapes: list[tuple[float, float, float]] = field(default_factory=list)  #: discount, log10 of tokens, log10 of the unseen share
+    spelling: np.ndarray | None = None  #: log10 P(byte | byte before), by which unseen words divide that share
     rare: DataFrame | None = None
 
 
-def fit(texts: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES, rounds: int = ROUNDS) -> BrownModel:
+def fit(texts: DataFrame, frequent: int = FREQUENT, least: int = LEAST, classes: int | None = None, gain: float = GAIN) -> BrownModel:
     """Learn from all ``texts`` (one string column).
 
     Counts of all words stay a table; at most ``frequent`` of them, the bound of
-    what is sent to tasks, are read by the driver, and class tables of fixed size.
-    Words under a shape give up a discount (from their words seen once and twice),
-    the share of words never seen.
+    what is sent to tasks, are read by the driver, and class tables.  Of these all
+    that occur ``least`` times are clustered, into ``CLASSES`` times the fourth root
+    of their number unless ``classes`` are given.  Words under a shape give up a
+    discount (from their words seen once and twice), the share of words never seen,
+    of which each one gets its part by its spelling.
     """
     spark = texts.sparkSession
     vocabulary = stored(count_words(texts), "vocabulary")
     n_ends = texts.count()
-    by_count = vocabulary.groupBy("n").agg(F.count("*").alias("of")).orderBy(F.desc("n")).collect()
-    n_words, n_distinct = sum(r.n * r.of for r in by_count), sum(r.of for r in by_count)
+    step = F.floor(F.log2("n") * 16)
+    by_count = vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("of"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()  # a thousand steps at most
+    n_words, n_distinct = sum(r.n for r in by_count), sum(r.of for r in by_count)
     bar, so_far = float("inf"), 0
     for r in by_count:  # all words with a count from ``bar`` on are no more than ``frequent``
         so_far += r.of
         if so_far > frequent:
             break
-        bar = r.n
+        bar = r.least
     top = [] if bar == float("inf") else vocabulary.where(F.col("n") >= bar).orderBy(F.desc("n"), "word").collect()
     names, counts = pa.array([r.word for r in top], pa.string()), np.array([r.n for r in top], np.int64)
-    clustered = min(clustered, len(names))
+    clustered = int((counts >= least).sum())
+    classes = classes or round(CLASSES * clustered**0.25)
     classes = max(1, min(classes, clustered))
     held = spark.sparkContext.broadcast((names, clustered))
     around = stored(contexts(count_pairs(texts, held), clustered + SHAPES + 1), "contexts")
-    of, between = exchange(around, clustered, classes, rounds)
+    of, between = exchange(around, clustered, classes, gain)
 
     total = between.sum()
     share = (between.sum(0) + 1) / (total + len(between))
     transitions = np.log10((between + TRANSITION_PRIOR * share) / (between.sum(1, keepdims=True) + TRANSITION_PRIOR))
     in_class = np.bincount(of[:clustered], counts[:clustered], len(between))
 
-    rare = vocabulary if not clustered else vocabulary.where(F.col("n") <= int(counts[clustered - 1]))
+    rare = vocabulary.where(F.col("n") < (int(counts[clustered - 1]) if clustered else 1 << 62))  # all that are not clustered
     measures = rare.groupBy(shape_column(F.col("word")).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("of"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
     found = {r["shape"]: [float(r["n"]), r["of"], r["one"], r["two"]] for r in measures.collect()}
     shape = shape_of(names)
-    # clustered words as frequent as the last one were counted with the rest
-    for k in range(clustered):
-        if counts[k] <= counts[clustered - 1]:
-            found[int(shape[k])][0] -= counts[k]
-            found[int(shape[k])][1] -= 1
-            found[int(shape[k])][2] -= counts[k] == 1
-            found[int(shape[k])][3] -= counts[k] == 2
     shapes = []
     for k in range(SHAPES):
         n, of_, one, two = found.get(k, [0.0, 0, 0, 0])
@@ -274,7 +344,7 @@ def fit(texts: DataFrame, frequent: int = FREQUENT, clustered: int = CLUSTERED,
         emissions[under] = np.log10(counts[under] - shapes[k][0]) - shapes[k][1]
     return BrownModel(
         n_tokens=int(n_words + n_ends), n_distinct=int(n_distinct + (n_ends > 0)), n_ends=n_ends, frequent=names, counts=counts, clustered=clustered,
-        classes=of, transitions=transitions, emissions=emissions, shapes=shapes, rare=vocabulary.where(F.col("n") < (bar if top else 1 << 62)),
+        classes=of, transitions=transitions, emissions=emissions, shapes=shapes, spelling=spelling(rare.select("word")), rare=vocabulary.where(F.col("n") < (bar if top else 1 << 62)),
     )
 
 
@@ -286,13 +356,13 @@ def score(df: DataFrame, model: BrownModel, text_col: str = "text", carry: list[
     """
     carry = carry or []
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast((model.frequent, model.counts, model.clustered, model.classes, model.transitions, model.emissions))
+    held = spark.sparkContext.broadcast((model.frequent, model.counts, model.clustered, model.classes, model.transitions, model.emissions, model.spelling))
     n_ends = model.n_ends
     kinds = df.select(*carry).schema
-    partial = "_row long, n_tokens long, _known long, _base double, _score double, _rare array<struct<word: string, n: int>>"
+    partial = "_row long, n_tokens long, _known long, _base double, _score double, _rare array<struct<word: string, n: int, spelled: float>>"
 
     def add_up(batches):
-        frequent, counts, clustered, classes, transitions, emissions = held.value
+        frequent, counts, clustered, classes, transitions, emissions, table = held.value
         row, end = TaskContext.get().partitionId() << 36, clustered + SHAPES
         logs = np.log10(counts + 1.0)
         for batch in batches:
@@ -313,7 +383,9 @@ def score(df: DataFrame, model: BrownModel, text_col: str = "text", carry: list[
                 doc = np.repeat(np.arange(len(ends)), ends - starts)[other].astype(np.int64)
                 pair, n = np.unique(doc * max(1, len(known)) + numbers[other], return_counts=True)
                 at = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(known)), minlength=len(ends)))]).astype(np.int32)
-                rare = pa.StructArray.from_arrays([known.take(pa.array(pair % max(1, len(known)))), pa.array(n.astype(np.int32))], names=["word", "n"])
+                word = pair % max(1, len(known))
+                by_letters = spelled(known, table).astype(np.float32)
+                rare = pa.StructArray.from_arrays([known.take(pa.array(word)), pa.array(n.astype(np.int32)), pa.array(by_letters[word])], names=["word", "n", "spelled"])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k)[a:b] for k in range(len(carry))), pa.array(row + np.arange(len(ends))), pa.array(ends - starts + 1), pa.array(sums[2].astype(np.int64) + (n_ends > 0)),
                      pa.array(sums[0] + np.log10(n_ends + 1)), pa.array(sums[1] + moves), pa.ListArray.from_arrays(pa.array(at), rare)],
@@ -324,11 +396,11 @@ def score(df: DataFrame, model: BrownModel, text_col: str = "text", carry: list[
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), partial])
     rows = stored(df.select(*carry, df[text_col].cast("string")).mapInArrow(add_up, schema), "partial-scores")
     word = F.col("word")
-    used = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", F.col("r.n").alias("_n"))
+    used = rows.select("_row", F.explode("_rare").alias("r")).select("_row", "r.word", "r.spelled", F.col("r.n").alias("_n"))
     met = used.join(model.rare.select("word", F.col("n").alias("_c")), "word", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
     shape, emission = shape_column(word), F.lit(0.0)
     for k, (discount, tokens, unseen) in enumerate(model.shapes):
-        emission = F.when(shape == k, F.when(F.col("_c") > 0, F.log10(F.col("_c") - discount) - tokens).otherwise(unseen)).otherwise(emission)
+        emission = F.when(shape == k, F.when(F.col("_c") > 0, F.log10(F.col("_c") - discount) - tokens).otherwise(F.col("spelled") + unseen)).otherwise(emission)
     n = F.col("_n")
     rest = met.groupBy("_row").agg(
         F.sum(n * F.log10(F.col("_c") + 1.0)).alias("_base2"), F.sum(n * emission).alias("_score2"), F.sum(F.when(F.col("_c") > 0, n).otherwise(0)).alias("_known2")
