@@ -205,20 +205,27 @@ def learn_weights(pages: DataFrame, html_col: str = "html", most: int = LABELLED
     return weights | {k: max(0.0, min(CONTAINER_GAIN, v)) if k == "container in" else max(-CONTAINER_LOSS, min(0.0, v)) for k, v in odds.items()}
 
 
-def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int]:
-    """The first and last+1 of the page's runs with the highest sum of weights."""
-    best, best_at, score, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, what, inside, aside, *at) in enumerate(page.runs):
+def gains(page: Page, weights: dict[str, float]) -> list[float]:
+    """What each run of a page adds to a region that holds it."""
+    out = []
+    for kind, what, inside, aside, *at in page.runs:
         if aside:  # never returned; its words part what stands around them, unless that is one container
-            gain = 0.0 if inside or kind == "tag" else -0.2 * len(what.split())
+            out.append(0.0 if inside or kind == "tag" else -0.2 * len(what.split()))
         elif kind == "tag":
             light = what in INLINE or inside or what in CONTAINER
-            gain = weights.get(f"tag {what}", -LEAST_PENALTY if light else -0.5)
+            out.append(weights.get(f"tag {what}", -LEAST_PENALTY if light else -0.5))
         else:
             weight = weights.get(f"word {at[1]}", 1.0)
             if page.has_container:
                 weight += weights.get("container in" if inside else "container out", 0.0)
-            gain = len(what.split()) * max(-1.0, min(1.0, weight))
+            out.append(len(what.split()) * max(-1.0, min(1.0, weight)))
+    return out
+
+
+def best_run(page: Page, weights: dict[str, float]) -> tuple[int, int]:
+    """The first and last+1 of the page's runs with the highest sum of gains, by one scan."""
+    best, best_at, score, start = 0.0, (0, 0), 0.0, 0
+    for i, gain in enumerate(gains(page, weights)):
         if score <= 0:
             score, start = 0.0, i
         score += gain

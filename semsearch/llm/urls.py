@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_or_not, stored
 
 #: The transaction item that stands for a bad label; no URL token has a blank.
 BAD = "bad label"
@@ -40,6 +40,17 @@ def _prefixed(texts: Column, prefix: str) -> Column:
     return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.concat(F.lit(prefix), x))
 
 
+def alike_tokens(labelled: DataFrame) -> DataFrame:
+    """token, alike: the least of all tokens that stand in exactly the same rows of ``labelled`` (_row, tokens).
+
+    The rows of a token are compared by their number and two sums of 64-bit hashes.
+    """
+    rows = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("_row").alias("_h"))
+    in_rows = rows.groupBy("token").agg(F.count("*").alias("_n"), F.bit_xor("_h").alias("_x"), F.sum(F.shiftright("_h", 32)).alias("_s"))
+    least = in_rows.groupBy("_n", "_x", "_s").agg(F.min("token").alias("alike"))
+    return in_rows.join(least, ["_n", "_x", "_s"]).select("token", "alike")
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """Token combinations that foretell a bad label: rule_id, antecedent, confidence, support.
 
@@ -64,15 +75,21 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_count: int =
     return stored(rules.join(within.select("rule_id").distinct(), "rule_id", "left_anti"), "url-rules")
 
 
-def matching_rules(urls: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
+def matching_rules(urls: DataFrame, rules: DataFrame, id_col: str, alike: DataFrame | None = None) -> DataFrame:
     """Ids of ``urls`` (``id_col``, ``tokens``) that some rule matches, through an inverted index.
 
-    Every rule is listed under its least common token; a URL looks its tokens up
-    and only the rules found there are compared with it.
+    Only tokens of some rule are looked at; ``alike`` gives the token that a rule has
+    in place of others.  Every rule is listed under its least common token; a URL looks
+    its tokens up and only the rules found there are compared with it.
     """
+    used = rules.select(F.explode("antecedent").alias("alike")).distinct()
+    names = used.select(F.col("alike").alias("token"), "alike") if alike is None else alike.join(used, "alike").select("token", "alike")
+    names = small_or_not(stored(names, "rule-tokens"))
+    urls = urls.select(id_col, F.explode("tokens").alias("token")).join(names, "token").groupBy(id_col).agg(F.collect_set("alike").alias("tokens"))
     listed = rules.select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
     common = listed.groupBy("token").agg(F.count("*").alias("n"))
     index = listed.join(common, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"), F.first("antecedent").alias("antecedent"))
+    index = small_or_not(stored(index.select("token", "antecedent"), "rule-index"))
     looked_up = urls.select(id_col, "tokens", F.explode("tokens").alias("token")).join(index, "token")
     return looked_up.where(F.size(F.array_except("antecedent", "tokens")) == 0).select(id_col).distinct()
 
@@ -97,9 +114,14 @@ def judge_urls(pages: DataFrame, lists: list[tuple[str, str]], labels: DataFrame
         rule, verdict = F.when(fits, F.lit(entry)).otherwise(rule), F.when(fits, F.lit(kind)).otherwise(verdict)
     urls = urls.withColumn("rule", rule).withColumn("_listed", verdict)
     marked = labels.select(labels[id_col].alias("_id"), labels["bad"].cast("boolean").alias("bad")).where("bad is not null")
-    mined = mine_rules(urls.join(marked, "_id").select(tokens(F.col("_url")).alias("tokens"), "bad"), **mining)
+    labelled = urls.join(marked, "_id").select(tokens(F.col("_url")).alias("tokens"), "bad").withColumn("_row", F.monotonically_increasing_id())
+    labelled = stored(labelled, "labelled-urls")
+    # tokens of the same rows, as those of one template, are mined as one, or all their combinations would be
+    alike = stored(alike_tokens(labelled), "alike-tokens")
+    as_one = labelled.select("_row", "bad", F.explode_outer("tokens").alias("token")).join(alike, "token", "left").groupBy("_row", "bad").agg(F.collect_set("alike").alias("tokens"))
+    mined = mine_rules(stored(as_one.select("tokens", "bad"), "transactions"), **mining)
     open_urls = urls.where("_listed is null").select("_url", tokens(F.col("_url")).alias("tokens")).where("_url is not null").distinct()
-    blocked = matching_rules(open_urls, mined, "_url").select("_url", F.lit(True).alias("_blocked"))
+    blocked = matching_rules(open_urls, mined, "_url", alike).select("_url", F.lit(True).alias("_blocked"))
     return urls.join(blocked, "_url", "left").select(
         F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_listed", F.when(F.col("_blocked"), F.lit("block")), F.lit("allow")).alias("verdict")
     )

@@ -1,6 +1,8 @@
 """Exact search, page text and URL rules against plain versions."""
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -120,6 +122,19 @@ def test_long_page_is_linear():
     assert extract.main_text(page, {}).count("\n") == 59_999
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a>", "</a>", "<article>", "</article>", "<nav>", "</nav>", "one two three ", "word "]), max_size=14), st.integers(0, 99))
+def test_scan_finds_the_best_of_all_regions(parts, seed):
+    rng = random.Random(seed)
+    weights = {f"{kind} {tag}": rng.uniform(-2, 2) if kind == "word" else -rng.uniform(0, 2) for kind in ("word", "tag") for tag in ("", "p", "div", "a", "article", "nav")}
+    weights |= {"container in": rng.uniform(0, 1), "container out": -rng.uniform(0, 1)}
+    page = extract.Page("".join(parts))
+    gain = extract.gains(page, weights)
+    start, stop = extract.best_run(page, weights)
+    best = max((sum(gain[i:j]) for i in range(len(gain) + 1) for j in range(i, len(gain) + 1)), default=0.0)
+    assert sum(gain[start:stop]) == pytest.approx(best)
+
+
 def test_weights_are_learned_from_labelled_pages(spark):
     pages = [(k, f"u{k}", f"<div><a>x</a></div><article><p>one two three</p></article><div>{k}</div>") for k in range(30)]
     df = spark.createDataFrame(pages + [(40, None, None), (41, "u", "<p>no label</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -171,6 +186,40 @@ def test_mined_rules(spark):
     assert sorted(got, key=str) == sorted([(k, "block" if b else "allow") for k, _, b in rows] + [(None, "allow")] + [(5000, "block")] * 2, key=str)
 
 
+def minimal_rules(rows, n, min_count, min_confidence):
+    """Plain version: every set of tokens with enough bad rows of a high share, without those that contain another one."""
+    found = {}
+    for tokens, _ in rows:
+        for k in range(1, len(tokens) + 1):
+            for part in itertools.combinations(sorted(tokens), k):
+                if part not in found:
+                    having = [bad for t, bad in rows if set(part) <= set(t)]
+                    found[part] = sum(having) >= min_count and sum(having) >= min_confidence * len(having)
+    good = [set(p) for p, ok in found.items() if ok]
+    return {tuple(sorted(p)) for p in good if not any(q < p for q in good)}
+
+
+def test_rules_and_verdicts_against_every_combination(spark):
+    """Labels that depend on one token, on two, and on tokens of one template that always stand together."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(500):
+        host, a, b, query = rng.choice("pqrs"), rng.choice("xyz"), rng.choice("uvw"), rng.choice(["", "?id=1", "?ref=2&id=3"])
+        bad = host == "p" or (a == "x" and b == "u") or (query.startswith("?ref") and b == "w" and rng.random() < 0.9)
+        url = f"https://{host}.org/{a}/{b}{query}" if k % 10 else f"https://t.org/{'/'.join(f'part{j}' for j in range(28))}/{a}"
+        rows.append((k, url, bad if k % 10 else True))
+    pages = spark.createDataFrame([(k, u) for k, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(k, bad) for k, _, bad in rows if k < 400], "page_id long, bad boolean")
+    tokens = {r.page_id: r.t for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
+    # the 28 parts and the host of the template stand in the same rows: for the plain version one of them
+    plain = {k: {x for x in t if not x.startswith("path:part") or x == "path:part0"} - {"host:t"} for k, t in tokens.items()}
+    expected = minimal_rules([(plain[k], bad) for k, _, bad in rows if k < 400], 400, 20, 0.8)
+    assert ("host:p",) in expected and ("path:u", "path:x") in expected and ("path:part0",) in expected
+    got = {r.page_id: r.verdict for r in urls.judge_urls(pages, [], labels).collect()}
+    assert got == {k: "block" if any(set(p) <= plain[k] for p in expected) else "allow" for k in plain}
+    assert urls.judge_urls(pages.limit(0), [], labels).count() == 0
+
+
 def test_rules_of_two_tokens(spark):
     rows = [(k, f"https://{'ab'[k % 2]}.org/{'xy'[k // 2 % 2]}", k % 4 == 3) for k in range(400)]
     labelled = spark.createDataFrame(rows, "page_id long, url string, bad boolean").select(urls.tokens(F.col("url")).alias("tokens"), "bad")
