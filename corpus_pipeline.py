@@ -20,7 +20,11 @@ MIXTURE_PERCENT = 90
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that many documents of their source share."""
+    """Documents that the quality rules keep, without the lines that many documents of their source share.
+
+    Null, empty and blank texts go, as they have too few words; repeated rows go or stay
+    alike; rows without an id or source are judged as others; an empty table stays empty.
+    """
     kept = quality.kept_documents(docs)
     if "n_chars" not in docs.columns:
         return kept
@@ -28,17 +32,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of the smallest id, or any one if none has an id.
+
+    Of repeated rows one stays.  Texts without a word are in no group and all stay.
+    """
     return neardup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture."""
+    """Documents of the mixture, each at most once.
+
+    A null language or source is the value ``''``; texts without words go with what
+    precedes them in their leaf's order; repeated rows are taken or left together.
+    """
     return mixing.mixed_documents(docs, mixing_levels(), MIXING_WEIGHTS, MIXTURE_PERCENT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 2048 tokens, with their ids."""
+    """Pieces of documents in sequences of at most 2048 tokens, with their ids.
+
+    A null or empty text is a single end; repeated rows are packed as often as they
+    occur; only texts longer than a sequence are cut.
+    """
     return pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_not, stored
+from .common import free_name, small_or_not, stored
 
 #: Words are counted as tokens.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,8 +100,12 @@ def mix(
 
 
 def mixed_documents(df: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], budget_percent: int, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that a mixture of one epoch takes, with all their columns."""
-    chosen = stored(mix(df, levels, weights, budget_percent, 1, seed, id_col, text_col).select("_row").distinct(), "mixture")
+    """The rows of ``df`` that a mixture of one epoch takes, with all their columns.
+
+    Nulls, repeated rows and empty tables are as in ``mix``; columns of clashing names stay.
+    """
+    name = free_name(df, "_row")
+    chosen = stored(mix(df, levels, weights, budget_percent, 1, seed, id_col, text_col).select(F.col("_row").alias(name)).distinct(), "mixture")
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     row = F.xxhash64(df[id_col].cast("long"), F.xxhash64(text), *(F.coalesce(c.cast("string"), F.lit("")) for c in levels.values()))
-    return df.join(small_or_not(chosen), row == chosen["_row"], "left_semi")
+    return df.join(small_or_not(chosen), row == chosen[name], "left_semi")

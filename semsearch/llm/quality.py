@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, for_python, small_or_not, stored
+from .common import BROADCAST_ROWS, for_python, free_name, small_or_not, stored
 from .encode import in_slices
 from .words import windows, words
 
@@ -137,13 +137,17 @@ def judge_documents(
 def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``df`` that ``judge_documents`` keeps, without the frequent lines of their host.
 
-    Rejected rows are named by hash and filtered out; other columns stay as they are.
+    Rejected rows are named by hash and filtered out; other columns stay as they are,
+    whatever their names.  Null, empty and blank texts fail the base rules and go;
+    repeated rows are kept or go alike; rows without an id are judged as others; a null
+    host is the host ``''``; an empty table gives no rows.
     """
     docs, frequent = _measured(df, id_col, text_col, host_col)
-    gone = stored(_judged(docs, frequent).where("not kept").select("_row").distinct(), "rejected")
+    name = free_name(df, "_row")
+    gone = stored(_judged(docs, frequent).where("not kept").select(F.col("_row").alias(name)).distinct(), "rejected")
     host = F.coalesce(df[host_col].cast("string"), F.lit(""))
-    keyed = df.withColumn("_row", F.xxhash64(df[id_col].cast("long"), host, F.xxhash64(df[text_col].cast("string"))))
-    kept = keyed.join(small_or_not(gone, 1_000_000), "_row", "left_anti").drop("_row")
+    keyed = df.withColumn(name, F.xxhash64(df[id_col].cast("long"), host, F.xxhash64(df[text_col].cast("string"))))
+    kept = keyed.join(small_or_not(gone, 1_000_000), name, "left_anti").drop(name)
     return without_frequent_lines(kept, frequent, text_col, host_col, docs)
 
 
@@ -174,11 +178,13 @@ def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "
     A row meets only the frequent lines that it holds itself, from ``docs``, the
     measures of these or more rows; texts are shuffled only if those lines are too many to broadcast.
     """
-    docs = measure(df.withColumn("_id", F.lit(0)), "_id", text_col, host_col) if docs is None else docs
+    if docs is None:
+        docs = measure(df.select(F.lit(0).alias("id"), df[text_col].alias("text"), df[host_col].alias("host")), "id", "text", "host")
+    key, found = free_name(df, "_text"), free_name(df, "_frequent")
     lines = docs.select("host", "text_key", F.explode("lines.line").alias("line")).join(small_or_not(frequent), ["host", "line"])
-    held = stored(lines.select(F.xxhash64("host", "text_key").alias("_text"), "line").distinct(), "held-lines")
+    held = stored(lines.select(F.xxhash64("host", "text_key").alias(key), "line").distinct(), "held-lines")
     few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    per_text = held.groupBy("_text").agg(F.collect_list("line").alias("_frequent"))
+    per_text = held.groupBy(key).agg(F.collect_list("line").alias(found))
 
     def strip(batches):
         for batch in batches:
@@ -186,11 +192,11 @@ def without_frequent_lines(df: DataFrame, frequent: DataFrame, text_col: str = "
                 part = batch.slice(a, b - a)
                 texts = [
                     t if t is None or bad is None else "\n".join(x for x in t.split("\n") if not (n := normal_line(x)) or xxhash.xxh3_64_intdigest(n) - (1 << 63) not in bad)
-                    for t, bad in zip(part[text_col].to_pylist(), part["_frequent"].to_pylist(), strict=True)
+                    for t, bad in zip(part[text_col].to_pylist(), part[found].to_pylist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else part[n] for n in names], names=names)
 
     names = df.columns
     text = F.xxhash64(F.coalesce(df[host_col].cast("string"), F.lit("")), F.xxhash64(df[text_col].cast("string")))
-    joined = df.withColumn("_text", text).join(F.broadcast(per_text) if few else per_text, "_text", "left")
+    joined = df.withColumn(key, text).join(F.broadcast(per_text) if few else per_text, key, "left")
     return for_python(joined).mapInArrow(strip, df.schema)
