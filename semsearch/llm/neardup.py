@@ -30,7 +30,7 @@ from .words import words
 #: Words of a shingle, percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
 #: A token with more nodes in its list is frequent.
-RARE = 32
+RARE = 512
 #: How often frequent tokens are combined with another one before all pairs of a list are compared.
 ROUNDS = 3
 #: Members that are verified against a node by one task.
@@ -205,7 +205,16 @@ def shared_tokens(parts: DataFrame, ranges: int) -> DataFrame:
     return parts.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, PARTS)
 
 
-SETS = "_row long, node long, n long, s long, weight double, tokens binary, prefix array<long>"
+#: Words of 64 parity bits that stand for a set's shared tokens.
+PARITY_WORDS = 8
+
+SETS = "_row long, node long, n long, s long, weight double, tokens binary, prefix array<long>, bits array<long>"
+
+
+def parity_words(tokens: np.ndarray) -> np.ndarray:
+    """One parity bit per slot of tokens; two sets differ in at least as many tokens as bits."""
+    slots = 64 * PARITY_WORDS
+    return np.packbits((np.bincount(tokens & (slots - 1), minlength=slots) & 1).astype(bool)).view("<i8")
 
 
 def similar_sets(parts: DataFrame) -> DataFrame:
@@ -236,7 +245,8 @@ def similar_sets(parts: DataFrame) -> DataFrame:
         place = place[kept]
         return pa.RecordBatch.from_arrays(
             [pa.array(rows[place]), pa.array(nodes[place]), pa.array(n[place]), pa.array(s[kept]), pa.array([float((x >> TOKEN_BITS).mean()) for x in own], pa.float64()),
-             pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x[: len(x) - required(int(k)) + 1] for x, k in zip(own, n[place], strict=True)], pa.list_(pa.int64()))],
+             pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x[: len(x) - required(int(k)) + 1] for x, k in zip(own, n[place], strict=True)], pa.list_(pa.int64())),
+             pa.array([parity_words(x) for x in own], pa.list_(pa.int64()))],
             names=[x.split()[0] for x in SETS.split(", ")],
         )
 
@@ -356,24 +366,33 @@ class _Search:
             left = stored(left.withColumn("shared", F.coalesce("shared", "s")), "mixed-rows")  # a pivot shares all with itself
             last = turn == ROUNDS - 1
             rare = left if last else left.where(F.col("length") <= RARE)
-            self.link(self.met(pairs_in(rare)))
+            self.link(self.met(pairs_in(rare.join(self.nodes.select("node", "bits"), "node"))))
             frequent = stored(left.where(F.col("length") > RARE).select("pivot", "pivot_n", "node", "n", "s", "weight").distinct(), "frequent")
             if last or not frequent.limit(1).count():
                 return
-            # a pair that shares no more than each of it shares with the pivot: none is larger than the pivot, or it isn't joined to it
             rows = self.with_labels(self.with_labels(frequent), "pivot", "_pivot_label").join(met.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "shared", "extra"), ["pivot", "node"])
-            within = (100 * F.col("shared") >= PERCENT * F.col("n")) & ((F.col("label") != F.col("_pivot_label")) | (F.col("n") < F.col("pivot_n")))
-            extra = F.when(within, F.array_append("extra", F.lit(-1).cast("long"))).otherwise(F.col("extra"))
+            # a pair that the pivot's component doesn't hold shares at least ``need`` tokens besides the pivot's; those within it need only what one outside does
+            outside, need = F.col("label") != F.col("_pivot_label"), F.greatest(F.ceil(F.col("n") * PERCENT / 100) - F.col("shared"), F.lit(1))
+            rows = stored(rows.select("pivot", "pivot_n", "node", "n", "s", "weight", "shared", "extra", outside.alias("outside"), need.alias("need")), "around-pivots")
+            rows = rows.join(small_or_not(stored(rows.where("outside").groupBy("pivot").agg(F.min("need").alias("least")), "needs")), "pivot")
+            fewer = F.when(F.col("outside"), F.lit(0)).otherwise(F.greatest(F.col("least") - F.col("need"), F.lit(0)))
+            extra = F.slice("extra", F.lit(1), F.greatest(F.size("extra") - fewer, F.lit(0)).cast("int"))
+            # or it shares no more than each of it shares with the pivot, and one of it is smaller than the pivot
+            within = (100 * F.col("shared") >= PERCENT * F.col("n")) & (F.col("outside") | (F.col("n") < F.col("pivot_n")))
+            extra = F.when(within, F.array_append(extra, F.lit(-1).cast("long"))).otherwise(extra)
             rows = rows.select(F.explode(extra).alias("token"), "pivot", "node", "n", "s", "weight")
             rows = rows.select(F.xxhash64("pivot", "token").alias("key"), "node", "n", "s", "weight")
 
 
 def pairs_in(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in one list that are not yet joined, unless what they share with others and with the pivot is too little."""
-    side = lambda x: rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "s", "label", "shared")))
+    """Pairs (a, b) of nodes in one list that are not yet joined, unless what they share with others and with the pivot, or their parity bits, rule it out."""
+    side = lambda x: rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "s", "label", "shared", "bits")))
     met = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
+    # similar sets share at least PERCENT / (100 + PERCENT) of the sum of their sizes
+    least, whole = PERCENT * (F.col("n_a") + F.col("n_b")), 100 + PERCENT
     most = F.least("shared_a", "shared_b") + F.least(F.col("s_a") - F.col("shared_a"), F.col("s_b") - F.col("shared_b"))
-    possible = (PERCENT * (F.col("n_a") + F.col("n_b")) <= (100 + PERCENT) * most) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+    possible = (least <= whole * most) & (2 * least <= whole * (F.col("s_a") + F.col("s_b") - differ)) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     return met.where(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
