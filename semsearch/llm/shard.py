@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import numbered, small_or_not, stored
 
 
+#: Copies from which on a text's rows are not shuffled to meet its shard.
+HOT_ROWS = 10_000
+
+
 def lpt(sizes: list[tuple[int, int]], shards: int) -> list[list[int]]:
     """Schedule ``(size, how many groups of that size)``, given by falling size.
 
@@ -49,7 +53,8 @@ def shard_documents(df: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     Groups are sized where the rows are and only digests are shuffled.  The
     schedule needs how many groups there are of each size: distinct sizes of total
     B are fewer than sqrt(2 B), so this table alone goes through the driver.
-    Groups of one size are numbered in chunks and dealt out by that number.
+    Groups of one size are numbered in chunks and dealt out by that number.  A text
+    with more than ``HOT_ROWS`` copies finds its rows where they are.
     A null text counts as an empty one and joins its group; repeated rows are kept;
     an empty table gives no rows.  Other columns are not read.
     """
@@ -61,13 +66,16 @@ def shard_documents(df: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         ),
         "digests",
     )
-    groups = stored(docs.groupBy("_key").agg(F.sum("size").alias("_bytes")), "groups")
+    groups = stored(docs.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "groups")
     sizes = [(r[0], r[1]) for r in groups.groupBy("_bytes").count().orderBy(F.desc("_bytes")).collect()]
     plan = spark.createDataFrame([(s, p) for (s, _), p in zip(sizes, lpt(sizes, shards), strict=True)], "_bytes long, _upto array<long>")
     ranked = numbered(groups, ["_bytes"], F.xxhash64("_key"), [F.col("_key")], "_rank0")
     plan = F.broadcast(plan) if len(sizes) <= 50_000 else plan
-    placed = stored(ranked.join(plan, "_bytes").select("_key", F.expr("size(filter(_upto, x -> x <= _rank0))").alias("shard")), "placed")
-    dealt = stored(docs.join(small_or_not(placed, 20_000), "_key").drop("_key"), "dealt")
+    placed = stored(ranked.join(plan, "_bytes").select("_key", "_rows", F.expr("size(filter(_upto, x -> x <= _rank0))").alias("shard")), "placed")
+    # groups of many copies are few and are sent to their rows, so that no task gets all copies of a text
+    hot = small_or_not(stored(placed.where(F.col("_rows") > HOT_ROWS).select("_key", "shard"), "hot-groups"))
+    rest = docs.join(hot, "_key", "left_anti").join(small_or_not(placed.where(F.col("_rows") <= HOT_ROWS).select("_key", "shard"), 20_000), "_key")
+    dealt = stored(docs.join(hot, "_key").unionByName(rest).drop("_key"), "dealt")
     return numbered(dealt, ["shard"], F.xxhash64("doc_id", "text_crc32"), [F.col("doc_id"), F.col("text_crc32")], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
