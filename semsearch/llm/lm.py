@@ -116,13 +116,23 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+#: Bits of an item's number beside the count and the side in an entry of ``contexts``.
+ITEM_BITS = 22
+
+
 def contexts(pairs: DataFrame, size: int) -> DataFrame:
-    """Each item's neighbours, as arrays no longer than there are items: item, after, n_after, before, n_before."""
-    a, b = F.floor(F.col("pair") / size).cast("int"), (F.col("pair") % size).cast("int")
-    sides = pairs.select(F.explode(F.array(F.struct(a.alias("item"), b.alias("other"), F.lit(0).alias("side")), F.struct(b.alias("item"), a.alias("other"), F.lit(1).alias("side")))).alias("s"), "n")
-    lists = sides.groupBy("s.item").agg(F.collect_list(F.struct("s.side", "s.other", "n")).alias("l"))
-    of = lambda side, name: F.transform(F.filter("l", lambda x: x["side"] == side), lambda x: x[name])
-    return lists.select("item", of(0, "other").alias("after"), of(0, "n").alias("n_after"), of(1, "other").alias("before"), of(1, "n").alias("n_before"))
+    """Each item's neighbours, as arrays no longer than there are items: item, after, n_after, before, n_before.
+
+    A neighbour is shuffled as one number: its count, its item, its side.
+    """
+    a, b = F.floor(F.col("pair") / size), F.col("pair") % size
+    entry = lambda other, side: F.shiftleft("n", ITEM_BITS + 1) + other.cast("long") * 2 + side
+    both = F.array(F.struct(a.cast("int").alias("item"), entry(b, 0).alias("e")), F.struct(b.cast("int").alias("item"), entry(a, 1).alias("e")))
+    lists = pairs.select(F.explode(both).alias("s")).groupBy("s.item").agg(F.collect_list("s.e").alias("l"))
+    on = lambda side: F.filter("l", lambda x: x.bitwiseAND(F.lit(1)) == side)
+    other = lambda side: F.transform(on(side), lambda x: F.shiftright(x, 1).bitwiseAND(F.lit((1 << ITEM_BITS) - 1)).cast("int"))
+    count = lambda side: F.transform(on(side), lambda x: F.shiftright(x, ITEM_BITS + 1))
+    return lists.select("item", other(0).alias("after"), count(0).alias("n_after"), other(1).alias("before"), count(1).alias("n_before"))
 
 
 def _by_class(batch: pa.RecordBatch, side: int, classes: np.ndarray, total: int) -> np.ndarray:

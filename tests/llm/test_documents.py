@@ -338,7 +338,7 @@ def test_parity_bits_never_differ_more_than_the_sets(common, a, b):
     rng = np.random.default_rng(common * 1000 + a * 61 + b)
     x = np.unique(rng.integers(0, 1 << 56, common + a + b))
     left, right = neardup.parity_words(x[: common + a]), neardup.parity_words(np.concatenate([x[:common], x[common + a :]]))
-    assert int(np.bitwise_count(left ^ right).sum()) <= a + b
+    assert int(np.bitwise_count((left ^ right).view(np.uint64)).sum()) <= a + b
 
 
 def test_components_of_chains(spark):
@@ -415,6 +415,14 @@ def test_model_is_a_distribution_and_base_is_exact(spark):
     assert np.allclose((10.0**model.spelling).sum(1), 1) and model.spelling[256, 256] < -200
 
 
+def test_contexts_are_the_neighbours(spark):
+    size = 7
+    pairs = {(0, 1): 3, (1, 0): 5_000_000_000, (2, 2): 4, (6, 0): 1}
+    df = spark.createDataFrame([(a * size + b, n) for (a, b), n in pairs.items()], "pair long, n long")
+    got = {r.item: (dict(zip(r.after, r.n_after)), dict(zip(r.before, r.n_before))) for r in lm.contexts(df, size).collect()}
+    assert got == {i: ({b: n for (a, b), n in pairs.items() if a == i}, {a: n for (a, b), n in pairs.items() if b == i}) for i in (0, 1, 2, 6)}
+
+
 def test_random_letters_score_below_known_texts(spark):
     rng = random.Random(8)
     syllables = ["ka", "to", "mi", "re", "su", "no"]
