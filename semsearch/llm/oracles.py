@@ -85,10 +85,39 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(1 AS BIGINT) AS copies, CAST
 UNION ALL SELECT doc_id, domain, lang, source, n_tokens, 1, CAST(whole AS INTEGER) FROM last WHERE rest > 0 AND running <= rest"""
 
 
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKING = rf"""
+WITH d AS (SELECT doc_id, {_TERMS.format(_LOWER.format("coalesce(text, '')"))} AS t FROM documents),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+m AS (SELECT doc_id, t, 50 + (50 * len(t) * n_docs) // n_terms AS m FROM d, total WHERE len(t) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format(_LOWER.format("coalesce(text, '')"))}) AS term FROM benchmark),
+postings AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(t) AS term FROM m) SEMI JOIN asked USING (term) GROUP BY 1, 2, 3),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, total GROUP BY 1),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50"""
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SHARED_LINES = rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, {_LOWER.format(f"trim(line, {_WHITE})")} AS key FROM l),
+frequent AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, last IS NOT NULL AND doc_id <> last AS dropped FROM k LEFT JOIN frequent USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_vector_approximation": VECTORS,
         "op7_line_frequency": LINES,
         "op8_hierarchical_budgets": MIXTURE,
         "op9_ngram_jaccard": COMPONENTS,
+        "op12_stratified_ranking": RANKING,
+        "op13_line_runs": SHARED_LINES,
     }

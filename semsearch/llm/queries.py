@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, lm, mixing, neardup, pack, quality, repair, shard, urls, vafile
+from . import extract, lines, lm, mixing, neardup, pack, quality, rank, repair, shard, urls, vafile, whiten
 from .common import scratch_path
 
 
@@ -85,6 +85,21 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whiten all embeddings onto the four components of most variance."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
+def op12_stratified_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop the lines that three documents or more share from all but the last of them."""
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_brown_bigrams": op1_brown_bigrams,
@@ -97,4 +112,7 @@ def queries() -> dict:
         "op8_hierarchical_budgets": op8_hierarchical_budgets,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op5_sum_of_squares_packing": op5_sum_of_squares_packing,
+        "op11_cholesky_whitening": op11_cholesky_whitening,
+        "op12_stratified_ranking": op12_stratified_ranking,
+        "op13_line_runs": op13_line_runs,
     }
