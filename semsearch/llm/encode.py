@@ -159,6 +159,11 @@ def in_slices(texts: pa.Array, most: int = 10_000_000):
         stop = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield start, stop
         start = stop
+    give_memory_back()
+
+
+def give_memory_back() -> None:
+    """Freed memory of a worker goes back to the system, as other tasks of the executor may need it."""
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)

@@ -25,7 +25,7 @@ from .common import is_small, n_chunks, scratch_path, small_or_not, stored
 SPACE, LEAST_LENGTH, LEAST_DOCUMENTS = " \t\n\v\f\r", 20, 3
 
 #: Batches of a table, and runs of a level that are compacted into one of the next.
-BATCHES, FANOUT = 6, 2
+BATCHES, FANOUT = 4, 2
 
 #: Stands for a missing id: such rows are one document that comes before all others.
 NO_ID = -(1 << 63)
@@ -73,7 +73,7 @@ class LineRuns:
 
     def _write(self, rows: DataFrame, level: int) -> Run:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.select(*KEY, "docs", "last").write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", scratch_path(self.spark, name)).saveAsTable(name)
+        rows.select(*KEY, "docs", "last").write.format("parquet").option("compression", "none").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", scratch_path(self.spark, name)).saveAsTable(name)
         return Run(name, level)
 
     def _read(self, run: Run) -> DataFrame:
@@ -86,7 +86,7 @@ class LineRuns:
         Counts are formed before the shuffle, so a line of a third of all
         documents is a row per task there.
         """
-        keys = stored(batch.groupBy(*KEY).agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("last")), "batch-keys")
+        keys = stored(batch.groupBy(*KEY).agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("last")), "batch-keys", "none")
         fresh = keys
         for run in self.runs:
             fresh = fresh.join(self._read(run).select(*KEY).hint("merge"), KEY, "left_anti")
@@ -126,7 +126,7 @@ class LineRuns:
         """Keys of at least so many documents with the last one: h1, h2, docs, last. Stored, as the runs go with it."""
         if not self.runs:
             return self.spark.range(0).select(*(F.col("id").alias(c) for c in (*KEY, "docs", "last")))
-        rows = stored(self._merged(self.runs).where(F.col("docs") >= least_documents), "frequent-lines")
+        rows = stored(self._merged(self.runs).where(F.col("docs") >= least_documents), "frequent-lines", "none")
         for run in self.runs:
             self._drop(run)
         self.runs = []
@@ -178,11 +178,11 @@ def without_shared_lines(
     Other columns are not read, whatever their names.
     """
     spark = df.sparkSession
-    occurrences = stored(line_occurrences(df, id_col, text_col, least_length), "line-occurrences")
+    occurrences = stored(line_occurrences(df, id_col, text_col, least_length), "line-occurrences", "none")
     runs = LineRuns(spark)
     for batch in batches(occurrences, n_batches):
         runs.add(batch)
-    lost = stored(dropped_lines(occurrences, runs.frequent(least_documents)), "dropped-lines")
+    lost = stored(dropped_lines(occurrences, runs.frequent(least_documents)), "dropped-lines", "none")
     text = df[text_col].cast("string")
     rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(text).alias("row"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import for_python, small_or_not, stored
-from .encode import in_slices
+from .encode import give_memory_back, in_slices
 from .words import words
 
 #: Bytes of text that are counted at once; documents and postings in a block; questions asked at once.
@@ -105,7 +105,7 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Inde
     ``BLOCK_DOCS`` documents or ``BLOCK_POSTINGS`` postings, so one length in a third
     of all rows is many blocks.  Texts are read once; their terms are shuffled once.
     """
-    counted = stored(count_terms(df, id_col, text_col).where("n > 0"), "counted-terms")
+    counted = stored(count_terms(df, id_col, text_col).where("n > 0"), "counted-terms", "zstd")
     total = counted.agg(F.count("*").alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     m = (F.lit(50) + F.expr(f"(50 * n * {total.N}) div {max(1, total.L)}")).cast("long")
     sized = counted.select(m.alias("m"), F.size("tfs").cast("long").alias("postings")).groupBy("m").agg(F.count("*").alias("docs"), F.sum("postings").alias("postings"))
@@ -130,11 +130,12 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Inde
                 tfs = batch.column(4)[a:b]
                 ends = np.cumsum(pc.list_value_length(tfs).to_numpy(zero_copy_only=False))
                 waiting[2].extend(np.split(tfs.flatten().to_numpy(), ends[:-1]))
+            give_memory_back()
         if key is not None:
             yield _block(int(key[0]), *waiting)
 
     blocks = for_python(dealt.select("m", "part", "doc_id", "terms", "tfs")).mapInArrow(run, BLOCKS)
-    return Index(stored(blocks, "stratified-index"), strata, total.N)
+    return Index(stored(blocks, "stratified-index", "zstd"), strata, total.N)
 
 
 def weight(documents: int, df: int) -> int:
@@ -163,6 +164,7 @@ def _asked_terms(index: Index, asked: pa.Array) -> DataFrame:
                     [pa.array(np.full(len(here), batch.column(0)[row].as_py())), pa.array(found.to_numpy(zero_copy_only=False)[here].astype(np.int32)), pa.array(counts[here].astype(np.int64)), pa.array(tfs[ends[here] - 1].astype(np.int64))],
                     names=["m", "t", "df", "most"],
                 )
+            give_memory_back()
 
     found = for_python(index.blocks.select("m", "terms", "groups", "tfs", "holders")).mapInArrow(run, "m long, t int, df long, most long")
     return found.groupBy("m", "t").agg(F.sum("df").alias("df"), F.max("most").alias("most"))
@@ -218,11 +220,12 @@ def _visit(index: Index, visitors: DataFrame, asked: pa.Array, questions: list[t
                     some = np.flatnonzero(scores >= top.least())
                     if len(some):
                         top.add(scores[some], docs[some])
+            give_memory_back()
         for q, top in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top.docs), q, np.int32)), pa.array(top.docs), pa.array(top.scores)], names=["q", "doc_id", "score"])
 
     joined = index.blocks.join(small_or_not(visitors, 20_000), "m")
-    return stored(for_python(joined.select("m", "docs", "terms", "groups", "tfs", "holders", "places", "visitors")).mapInArrow(run, HITS), "ranked-hits")
+    return stored(for_python(joined.select("m", "docs", "terms", "groups", "tfs", "holders", "places", "visitors")).mapInArrow(run, HITS), "ranked-hits", "zstd")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
