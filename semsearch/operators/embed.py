@@ -60,30 +60,76 @@ def embed_documents(df: DataFrame, column: str = "content", embedder: Embedder |
     return df.mapInArrow(run, f"{schema}, `{out}` array<double>")
 
 
-def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", buckets: int | None = None, bucket_rows: int = 100_000, config: Config = DEFAULT) -> DataFrame:
+#: Rows in a bucket that batches are filled in, about.
+BUCKET_ROWS = 8_192
+
+
+def fill_batches(tokens: np.ndarray, config: Config = DEFAULT) -> np.ndarray:
+    """The batch of each text in turn, from 0: a batch ends before it would have more texts or estimated tokens than an embedder takes."""
+    batch, texts, total, out = 0, 0, 0.0, np.zeros(len(tokens), np.int32)
+    for i, t in enumerate(tokens.tolist()):
+        if texts and (texts >= config.batch_texts or total + t > config.batch_tokens):
+            batch, texts, total = batch + 1, 0, 0.0
+        texts, total = texts + 1, total + t
+        out[i] = batch
+    return out
+
+
+def _bucketed(df: DataFrame, column: str, id_col: str, buckets: int | None, bucket_rows: int, config: Config) -> DataFrame:
+    buckets = buckets or max(1, -(-df.count() // bucket_rows))
+    tokens = char_tokens(F.coalesce(column, F.lit("")), config.chars_per_token).cast("double")
+    return df.withColumns({"tokens": tokens, "bucket": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")})
+
+
+def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", buckets: int | None = None, bucket_rows: int = BUCKET_ROWS, config: Config = DEFAULT) -> DataFrame:
     """item ids with the batch that a greedy fill puts them in: bucket, batch, tokens.
 
-    A batch ends before it would have more texts or estimated tokens than an
-    embedder takes.  The fill is sequential, so it runs within hash buckets, unless
-    told otherwise as many as give each about ``bucket_rows`` rows (an id and a number).
+    The fill is sequential by id, so it runs within hash buckets, unless told
+    otherwise as many as give each about ``bucket_rows`` rows (an id and a number).
     """
-    buckets = buckets or max(1, -(-df.count() // bucket_rows))
-    sized = df.select(F.col(id_col).alias("item_id"), char_tokens(F.coalesce(column, F.lit("")), config.chars_per_token).cast("double").alias("tokens"))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int"))
+    sized = _bucketed(df, column, id_col, buckets, bucket_rows, config).select(F.col(id_col).cast("long").alias("item_id"), "tokens", "bucket")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item_id", kind="stable")
-        batch, texts, tokens, out = 0, 0, 0.0, []
-        for t in pdf["tokens"]:
-            if texts and (texts >= config.batch_texts or tokens + t > config.batch_tokens):
-                batch, texts, tokens = batch + 1, 0, 0.0
-            texts, tokens = texts + 1, tokens + t
-            out.append(batch)
-        return pdf.assign(batch=np.array(out, "int32"))[["item_id", "bucket", "batch", "tokens"]]
+        return pdf.assign(batch=fill_batches(pdf["tokens"].to_numpy(), config))[["item_id", "bucket", "batch", "tokens"]]
 
     return sized.groupBy("bucket").applyInPandas(fill, "item_id long, bucket int, batch int, tokens double")
 
 
+def embed_in_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", embedder: Embedder | None = None, out: str = "vector", buckets: int | None = None, bucket_rows: int = BUCKET_ROWS, config: Config = DEFAULT) -> DataFrame:
+    """``df`` with bucket, batch, a vector per row and error: one call of the embedder gets the texts of exactly one batch.
+
+    Batches are those of ``assign_embedding_batches``: at most ``config.batch_texts``
+    texts and ``config.batch_tokens`` estimated tokens, unless one text alone has
+    more.  A call that raises, or gives other than a vector per text, fails its batch
+    alone: these rows have no vector and the error's text.  A null text is an empty one.
+    """
+    embedder = embedder or HashEmbedder()
+    names = df.columns
+    sized = _bucketed(df, column, id_col, buckets, bucket_rows, config)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(id_col, "ascending")])
+        batches, texts = fill_batches(table["tokens"].to_numpy(), config), [t or "" for t in table[column].to_pylist()]
+        vectors, errors, a = [], [], 0
+        for n in np.bincount(batches).tolist():
+            try:
+                made = np.asarray(embedder(texts[a : a + n]), float)
+                if made.ndim != 2 or len(made) != n:
+                    raise ValueError(f"{n} texts gave vectors of shape {made.shape}")
+                vectors += list(made)
+                errors += [None] * n
+            except Exception as e:  # the batch fails, whatever it was; the others go on
+                vectors += [None] * n
+                errors += [f"{type(e).__name__}: {e}"] * n
+            a += n
+        lists = pa.array(vectors, pa.list_(pa.float64()))
+        return pa.table([*(table[c] for c in names), table["bucket"], pa.array(batches, pa.int32()), lists, pa.array(errors, pa.string())], names=[*names, "bucket", "batch", out, "error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return sized.select(*names, "tokens", "bucket").groupBy("bucket").applyInArrow(run, f"{schema}, bucket int, batch int, `{out}` array<double>, error string")
+
+
 def batch_size(items: Column, config: Config = DEFAULT, rule: str = "server") -> Column:
     """Items of an indexing batch for a collection's size, by the ``server`` rule or the ``browser`` one."""
     if rule not in ("server", "browser"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import inclusive_days, period_key, period_label
@@ -93,8 +93,8 @@ def latest_search_ids(history: DataFrame) -> DataFrame:
 
 def apply_feedback(history: DataFrame, events: DataFrame) -> DataFrame:
     """History with the latest feedback (id, seq, feedback, feedback_notes) of each search put in."""
-    last = Window.partitionBy("id").orderBy(F.desc("seq"))
-    latest = events.withColumn("_k", F.row_number().over(last)).where("_k = 1").select("id", F.col("feedback").alias("_f"), F.col("feedback_notes").alias("_n"), F.lit(True).alias("_given"))
+    newest = F.max_by(F.struct("feedback", "feedback_notes"), F.struct("seq", "feedback", "feedback_notes"))
+    latest = events.groupBy("id").agg(newest.alias("_l")).select("id", F.col("_l.feedback").alias("_f"), F.col("_l.feedback_notes").alias("_n"), F.lit(True).alias("_given"))
     joined = history.join(latest, "id", "left")
     for column, new in (("feedback", "_f"), ("feedback_notes", "_n")):
         if column in history.columns:

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, Config
 from ..functions.text import is_blank
 from ..functions.vectors import norm
-from ..scratch import exists
+from ..scratch import exists, scratch_path
 from .documents import build_documents, truncated
-from .embed import Embedder, embed_documents
+from .embed import Embedder, embed_documents, embed_in_batches
 
 KEY = ["item_id", "collection_id"]
 POINTER = "number long, version string, schema string"
@@ -29,8 +29,10 @@ def pending_items(items: DataFrame, vectors: DataFrame, force: bool = False) ->
 
 
 def latest_of_key(rows: DataFrame, keys: list[str] = KEY, order: str = "seq") -> DataFrame:
-    """The row of the highest ``order`` for each key."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_k = 1").drop("_k")
+    """The row of the highest ``order`` for each key, formed before the shuffle; of equal ones the largest by its other columns' hash."""
+    others = [c for c in rows.columns if c not in keys]
+    highest = F.max_by(F.struct(*others), F.struct(F.col(order), F.xxhash64(*others)))
+    return rows.groupBy(*keys).agg(highest.alias("_r")).select(*(F.col(c) if c in keys else F.col(f"_r.`{c}`").alias(c) for c in rows.columns))
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
@@ -73,19 +75,35 @@ def index_items(items: DataFrame, vectors: DataFrame, embedder: Embedder | None
     return embedded.withColumn("norm", norm(F.col("vector"))).withColumn("last_updated", F.current_timestamp())
 
 
-def index_collections(items: DataFrame, vectors: DataFrame, embedder: Embedder | None = None, force: bool = False, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Index the items without a vector (all with ``force``): the vector table after that, and each item's outcome.
+def index_batch(items: DataFrame, vectors: DataFrame, embedder: Embedder | None = None, force: bool = False, config: Config = DEFAULT) -> DataFrame:
+    """One row per item: KEY, outcome, error, and what its new vector row holds (nulls unless indexed).
 
-    An item is ``skipped`` if it has a vector, ``failed`` if there is no text of its own
-    (title, description and metadata blank), else ``indexed``.  The outcomes (KEY,
-    outcome) can be counted by ``outcome_counts``.
+    An item is ``skipped`` if it has a vector (and not ``force``), ``failed`` if there is
+    no text of its own (title, description and metadata blank) or the embedder failed on its
+    batch, else ``indexed``.
     """
     has = vectors.select(*KEY).distinct().withColumn("_has", F.lit(True))
     blank = is_blank(F.col("title")) & is_blank(F.col("description")) & (F.coalesce(F.size("metadata"), F.lit(0)) <= 0)
     there = F.lit(False) if force else F.coalesce("_has", F.lit(False))
     judged = items.join(has, KEY, "left").withColumn("outcome", F.when(there, "skipped").when(blank, "failed").otherwise("indexed"))
-    new = index_items(judged.where("outcome = 'indexed'").drop("_has", "outcome"), vectors, embedder, True, config)
-    return upsert_vectors(vectors, new), judged.select(*KEY, "outcome")
+    texts = truncated(build_documents(judged.where("outcome = 'indexed'"), "block", config), config)
+    made = embed_in_batches(texts.select(*KEY, "collection_name", "content", F.col("url").alias("permalink")), embedder=embedder, config=config)
+    good = F.col("error").isNull()
+    made = made.withColumns({"outcome": F.when(good, "indexed").otherwise("failed"), "norm": norm(F.col("vector")), "last_updated": F.when(good, F.current_timestamp())}).drop("bucket", "batch")
+    others = judged.where("outcome <> 'indexed'").select(*KEY, "outcome", F.when(F.col("outcome") == "failed", "no text").alias("error"))
+    return made.unionByName(others, allowMissingColumns=True)
+
+
+def index_collections(items: DataFrame, vectors: DataFrame, embedder: Embedder | None = None, force: bool = False, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Index the items without a vector (all with ``force``): the vector table after that, and each item's outcome.
+
+    The outcomes of ``index_batch`` (KEY, outcome) can be counted by ``outcome_counts``; each text is embedded once.
+    """
+    path = scratch_path(items.sparkSession, "indexed-items")
+    rows = index_batch(items, vectors, embedder, force, config)
+    rows.write.parquet(path)
+    rows = items.sparkSession.read.schema(rows.schema).parquet(path)
+    return upsert_vectors(vectors, rows.where("outcome = 'indexed'")), rows.select(*KEY, "outcome")
 
 
 def with_vector(items: DataFrame, vectors: DataFrame) -> DataFrame:

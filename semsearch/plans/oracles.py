@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..config import DEFAULT
+from . import upkeep
 from .views import SQL, sql
 
 # the text of an item in each layout
@@ -104,7 +105,7 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT query_id, item_id, round(coalesce(d / (x.length * y.length), 0), 12) AS s FROM alle LEFT JOIN dots USING (query_id, item_id) LEFT JOIN lengths x ON x.k = item_id LEFT JOIN lengths2 y ON y.k = query_id)"""
     examples = f"""SELECT id, concat('{{"messages":[{{"role":"system","content":', to_json('{DEFAULT.system_prompt}'), '}},{{"role":"user","content":', to_json(query), '}},{{"role":"assistant","content":', to_json(response), '}}]}}') AS value
             FROM training_pairs WHERE feedback = 1"""
-    return {
+    core = {
         "composed_search": semantic + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s QUALIFY rank <= 5)
             SELECT query_id, any_value(b.text) AS query, string_agg(CAST(r.item_id AS VARCHAR), ',' ORDER BY rank) AS items, count(*) AS total_results FROM r JOIN benchmark b ON b.item_id = query_id GROUP BY query_id""",
         "exported_examples": sql(f", e AS ({examples}) SELECT value FROM e", "training_pairs"),
@@ -249,3 +250,4 @@ def oracle_sql() -> dict[str, str]:
         "item_metadata": sql("SELECT item_id, collection_id, title, m_type, m_year, CAST(2 AS BIGINT) AS entries FROM items", "items"),
         "stream_search_counts": sql("SELECT CAST(created_at AS DATE) AS day, count(*) AS total FROM history GROUP BY 1", "history"),
     }
+    return core | upkeep.oracle_sql(core["embedding_batches"])

@@ -19,6 +19,7 @@ from ..operators import training as TR
 from ..scratch import scratch_path
 from ..sources import export, ingest
 from ..streaming import stream
+from . import upkeep
 from . import views as V
 
 LONG = "long"
@@ -522,10 +523,8 @@ def stream_index(spark, d):
     c = V.changes(spark, d)
     c.repartitionByRange(4, "seq").write.parquet(f"{root}/in")
     source = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    q = stream.stream_index(source, f"{root}/state", f"{root}/checkpoint")
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    state = spark.read.schema(c.schema).parquet(f"{root}/state/{last}")
+    stream.stream_index(source, f"{root}/state", f"{root}/checkpoint", 16).awaitTermination()
+    state = stream.state_table(spark, f"{root}/state", c.schema, 16).read()
     return X.live_items(state).select("item_id", "seq", "op", F.round("value", 6).alias("value"))
 
 
@@ -543,4 +542,4 @@ def queries() -> dict:
     ]
     found = {f.__name__: f for f in named}
     found |= {"documents_block": _document_query("block"), "documents_inline": _document_query("inline"), "documents_custom_fields": _document_query("inline", custom)}
-    return found | {f"search_stats_{p}": _stats(p) for p in ("day", "week", "month")}
+    return found | {f"search_stats_{p}": _stats(p) for p in ("day", "week", "month")} | upkeep.queries()

@@ -73,6 +73,20 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened to the indexing runs of ten collections."""
+    event = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "cancel").otherwise("progress")
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("collection_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), event.alias("event"))
+
+
+def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three events on each of the first searches, some of them long after it."""
+    return table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 3).alias("id"), F.col("ts").cast("timestamp").alias("given_at"), F.col("event_id").alias("seq"), (F.col("event_id") % 2).cast("int").alias("feedback"),
+        F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("feedback_notes"),
+    )
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("event_id") % 4 == 0, "[other] ").otherwise("[app] ")
     level = F.when(F.col("event_type") == "error", "[ERROR] ").when(F.col("event_type") == "view", "[DEBUG] ").otherwise("")
@@ -97,6 +111,8 @@ SQL = {
     "changes": """SELECT user_id AS item_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'updated' END AS op, value FROM events""",
     "runs": """SELECT user_id%10 AS collection_id, CAST(ts AS DATE) AS run_day, count(*) AS total, sum(CASE WHEN event_type<>'error' THEN 1 ELSE 0 END) AS success,
       sum(CASE WHEN event_type='error' THEN 1 ELSE 0 END) AS failed FROM events GROUP BY user_id%10, CAST(ts AS DATE)""",
+    "run_events": """SELECT user_id%10 AS collection_id, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'cancel' ELSE 'progress' END AS event FROM events""",
+    "feedback_events": """SELECT CAST(floor(event_id/3) AS BIGINT) AS id, ts AS given_at, event_id AS seq, CAST(event_id%2 AS INTEGER) AS feedback, concat('note ',event_id) AS feedback_notes FROM events""",
     "log_lines": """SELECT event_id AS line_no, concat(CASE WHEN event_id%4=0 THEN '[other] ' ELSE '[app] ' END,
       CASE event_type WHEN 'error' THEN '[ERROR] ' WHEN 'view' THEN '[DEBUG] ' ELSE '' END, event_type) AS value FROM events""",
 }

@@ -41,9 +41,22 @@ def export_history(history: DataFrame, path: str, kind: str = "json") -> None:
     write_export(history, path, kind)
 
 
-def append_history(searches: DataFrame, path: str) -> None:
-    """Append searches to the log, a folder per day."""
-    searches.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(path)
+def append_history(searches: DataFrame, path: str, batch: int | str | None = None) -> None:
+    """Append searches to the log, a folder per day.
+
+    With ``batch`` they lie in a folder of that name, which replaces what an earlier
+    attempt at the same batch left there, so a repeated append adds nothing; read the log with ``read_history``.
+    """
+    dated = searches.withColumn("created_date", F.to_date("created_at"))
+    if batch is None:
+        dated.write.mode("append").partitionBy("created_date").parquet(path)
+    else:
+        dated.write.mode("overwrite").partitionBy("created_date").parquet(f"{path}/batch={batch}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The log of ``append_history`` with its days; appended batches are one log."""
+    return spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
 def export_examples(examples: DataFrame, path: str) -> None:
