@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity, score
@@ -134,17 +134,80 @@ def fit_clusters(vectors: DataFrame, clusters: int, seed: int = 42) -> KMeansMod
     return KMeans(k=clusters, seed=seed, featuresCol="_features", predictionCol="cluster").fit(vectors.select(array_to_vector("vector").alias("_features")))
 
 
-def assign_clusters(vectors: DataFrame, model: KMeansModel) -> DataFrame:
-    """Vectors with their ``cluster``; write them partitioned by it."""
-    return model.transform(vectors.withColumn("_features", array_to_vector("vector"))).drop("_features")
+#: Steps of a quantised residual to either side, and candidates per wanted hit that are compared exactly.
+STEPS, CANDIDATES = 127, 5
 
 
-def search_ivf(clustered: DataFrame, queries: DataFrame, model: KMeansModel, k: int = 10, nprobe: int = 8) -> DataFrame:
-    """As ``search_vectors``, but a query meets only the vectors of its ``nprobe`` nearest clusters: recall may be below 1."""
-    centers = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
-    distance = F.transform(centers, lambda c, i: F.struct(F.aggregate(F.zip_with(c, "vector", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d"), i.alias("cluster")))
-    probes = queries.select("query_id", F.col("vector").alias("_q"), F.explode(F.slice(F.array_sort(distance), 1, nprobe)).alias("p"))
-    probes = probes.select("query_id", "_q", F.col("p.cluster").alias("cluster"))
-    met = clustered.select("item_id", "vector", "cluster").join(probes, "cluster")
-    hits = met.select("query_id", "item_id", F.round(cosine_similarity(F.col("_q"), F.col("vector")), DIGITS).alias("similarity"))
+def _centres(model: KMeansModel) -> Column:
+    return F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
+
+
+def build_lists(vectors: DataFrame, model: KMeansModel, path: str) -> None:
+    """Inverted lists: a folder per cluster with each vector's residual from the centre in a byte a component, its step, and its norm.
+
+    Exact vectors stay where they are; the lists have a quarter of the bytes of floats.
+    """
+    placed = model.transform(vectors.select("item_id", "vector", array_to_vector("vector").alias("_features"))).drop("_features")
+    residual = F.zip_with("vector", F.element_at(_centres(model), F.col("cluster") + 1), lambda x, c: x.cast("double") - c)
+    rows = placed.select("item_id", "cluster", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"), residual.alias("_r"))
+    step = F.greatest(F.array_max(F.transform("_r", F.abs)) / STEPS, F.lit(1e-30))
+    rows = rows.withColumn("step", step).select("item_id", "norm", "step", F.transform("_r", lambda x: F.round(x / F.col("step")).cast("tinyint")).alias("codes"), "cluster")
+    rows.repartition("cluster", F.pmod(F.xxhash64("item_id"), F.lit(8))).write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
+def probes_of(queries: DataFrame, model: KMeansModel, nprobe: int) -> DataFrame:
+    """query_id, vector and each of the ``nprobe`` nearest clusters."""
+    distance = F.transform(_centres(model), lambda c, i: F.struct(F.aggregate(F.zip_with(c, "vector", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d"), i.alias("cluster")))
+    return queries.where("vector is not null").select("query_id", "vector", F.explode(F.slice(F.array_sort(distance), 1, nprobe)).alias("p")).select("query_id", "vector", F.col("p.cluster").alias("cluster"))
+
+
+def search_lists(spark: SparkSession, path: str, vectors: DataFrame, queries: DataFrame, model: KMeansModel, k: int = 10, nprobe: int = 8, candidates: int = CANDIDATES) -> DataFrame:
+    """As ``search_vectors``, over the lists of each query's ``nprobe`` nearest clusters: recall may be below 1, similarities are exact.
+
+    Queries go to the tasks in blocks, with the clusters they probe; only the folders of
+    these clusters are read. A task keeps ``candidates * k`` rows per query by their
+    quantised similarity before anything is shuffled; these alone meet ``vectors`` for the exact one.
+    """
+    centres, wanted = np.array(model.clusterCenters()), candidates * k
+    lists = spark.read.schema("item_id long, norm double, step double, codes array<tinyint>, cluster int").parquet(path)
+    n_blocks, found = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for b in range(n_blocks):
+        block: dict[int, list] = {}
+        for r in probes_of(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b), model, nprobe).collect():
+            block.setdefault(r.cluster, []).append((r.query_id, r.vector))
+        held = spark.sparkContext.broadcast({c: (np.array([q for q, _ in rows], np.int64), np.array([v for _, v in rows], float)) for c, rows in block.items()})
+        part = lists.where(F.col("cluster").isin(sorted(block))).mapInArrow(_list_scorer(held, centres, wanted), HITS)
+        found = part if found is None else found.unionByName(part)
+    best = ranked(found, ["query_id"]).where(F.col("rank") <= wanted).select("query_id", "item_id")
+    pairs = best.join(vectors.select("item_id", "vector"), "item_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
+    hits = pairs.select("query_id", "item_id", F.round(cosine_similarity(F.col("_q"), F.col("vector")), DIGITS).alias("similarity"))
     return ranked(hits, ["query_id"]).where(F.col("rank") <= k)
+
+
+def _list_scorer(held, centres, wanted):
+    def run(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            items, norms, steps = (batch.column(c).to_numpy() for c in (0, 1, 2))
+            clusters, codes = batch.column(4).to_numpy(), batch.column(3).flatten().to_numpy().reshape(len(batch), -1) if len(batch) else None
+            for c in np.unique(clusters).tolist():
+                rows = np.flatnonzero(clusters == c)
+                ids, queries = held.value[c]
+                near = codes[rows] * steps[rows, None] + centres[c]
+                lengths = np.sqrt((queries * queries).sum(1))[:, None] * norms[rows]
+                sims = np.divide(queries @ near.T, lengths, out=np.zeros_like(lengths), where=lengths > 0)
+                for q, s in zip(ids.tolist(), sims, strict=True):
+                    old = best.get(q, (np.empty(0), np.empty(0, np.int64)))
+                    s, i = np.concatenate([old[0], s]), np.concatenate([old[1], items[rows]])
+                    order = np.lexsort((i, -s))[:wanted]
+                    best[q] = s[order], i[order]
+        for q, (s, i) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q, np.int64)), pa.array(i), pa.array(s)], names=["query_id", "item_id", "similarity"])
+
+    return run
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """query_id and the share of its exact hits that were found."""
+    met = exact.select("query_id", "item_id").join(found.select("query_id", "item_id").withColumn("_found", F.lit(1)), ["query_id", "item_id"], "left")
+    return met.groupBy("query_id").agg((F.count("_found") / F.count("*")).alias("recall"))

@@ -173,6 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "exported_history": sql("SELECT id, query, feedback, array_to_string(list_sort(collections_used), ',') AS collections FROM history", "history"),
         "appended_history": sql("SELECT id, created_at, CAST(created_at AS DATE) AS created_date FROM history WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-21'", "history"),
         "config_row": sql(f"SELECT count(*) AS collections, CAST({DEFAULT.max_items} AS BIGINT) AS max_items, CAST({DEFAULT.chunk_size} AS BIGINT) AS chunk_size FROM collections", "collections"),
+        "inverted_lists": sql("SELECT item_id AS query_id, item_id, 1.0::DOUBLE AS similarity, true AS reached FROM vectors WHERE item_id % 20 = 0", "vectors"),
         "snapshot": sql("SELECT item_id, collection_id, collection_name FROM vectors", "vectors"),
         "total_vectors": "SELECT count(*) AS total FROM embeddings",
         "vectors_by_collection": sql("SELECT collection_id, collection_name, count(*) AS total FROM vectors GROUP BY 1, 2", "vectors"),

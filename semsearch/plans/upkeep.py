@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embed as E
+from ..operators import facets, pages, sketches
 from ..operators import history as H
 from ..operators import index as X
 from ..operators import runs as R
 from ..operators.buckets import BucketTable
 from ..scratch import scratch_path
-from ..sources import export
+from ..sources import export, ingest, tail
 from ..sources.ingest import ITEM_PAGE
 from ..streaming import indexing, stream
 from . import views as V
@@ -55,13 +56,13 @@ def indexing_run(spark, d):
     items = _page_items(spark, d)
     entry = F.struct(F.lit("type").alias("name"), F.col("m_type").alias("value_as_string"))
     item = F.struct(F.col("item_id").alias("id"), "title", "description", "url", F.array(entry).alias("metadata"))
-    pages = items.groupBy("collection_id", F.floor(F.col("item_id") / 500).alias("page")).agg(F.collect_list(item).alias("items"))
-    pages.write.parquet(f"{root}/all")
-    pages = spark.read.parquet(f"{root}/all")
+    made = items.groupBy("collection_id", F.floor(F.col("item_id") / 500).alias("page")).agg(F.collect_list(item).alias("items"))
+    made.write.parquet(f"{root}/all")
+    made = spark.read.parquet(f"{root}/all")
     have = items.where("item_id % 3 = 0").select("item_id", "collection_id", "collection_name").withColumns({"vector": F.array(F.lit(1.0)), "norm": F.lit(1.0), "last_updated": F.current_timestamp()})
     indexing.vector_table(spark, root, 16).change(have.withColumns({c: F.lit(None).cast("string") for c in ("content", "permalink")}), "before", indexing.put_vectors)
     for half in (0, 1):
-        pages.where(F.pmod(F.col("page") + F.col("collection_id"), F.lit(2)) == half).select("items", "collection_id").coalesce(1).write.mode("append").parquet(f"{root}/pages")
+        made.where(F.pmod(F.col("page") + F.col("collection_id"), F.lit(2)) == half).select("items", "collection_id").coalesce(1).write.mode("append").parquet(f"{root}/pages")
         source = spark.readStream.schema(ITEM_PAGE + ", collection_id long").parquet(f"{root}/pages")
         indexing.stream_indexing(source, root, f"{root}/checkpoint", embedder=E.HashEmbedder(16), buckets=16).awaitTermination()
     totals = items.groupBy("collection_id").agg(F.count("*").alias("total"))
@@ -154,8 +155,58 @@ def embedding_failures(spark, d):
     return got.select("item_id", F.col("bucket").cast(LONG).alias("bucket"), F.col("batch").cast(LONG).alias("batch"), F.col("vector").isNotNull().alias("embedded"), "error")
 
 
+def log_file_tail(spark, d):
+    """The application log written as one file, and the last tagged lines of its last bytes."""
+    path = scratch_path(spark, "app-log")
+    lines = V.log_lines(spark, d)
+    lines.withColumn("value", F.format_string("%09d %s", "line_no", "value")).repartitionByRange(1, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return ingest.log_tail(tail.read_tail(spark, path), "[app]").select("value", "level")
+
+
+_SELECTED = {"type": ["en", "de"], "collection": [f"src{k}" for k in range(10)]}
+
+
+def _facet_index(spark, d) -> DataFrame:
+    return facets.facet_index(V.items(spark, d), {"collection": "collection_name", "year": "m_year", "type": "m_type"})
+
+
+def _long_items(spark, d) -> DataFrame:
+    """The hits that facets are counted over: all items of more than 500 characters."""
+    return V.items(spark, d).where(F.length("description") > 500)
+
+
+def facet_bitmaps(spark, d):
+    """Facets of all hits that two chosen languages and ten collections leave."""
+    index = _facet_index(spark, d)
+    return facets.facet_totals(index, facets.visible(index, _long_items(spark, d), _SELECTED))
+
+
+def visible_bitmaps(spark, d):
+    index = _facet_index(spark, d)
+    return facets.count_visible(facets.visible(index, _long_items(spark, d), _SELECTED))
+
+
+def seek_page(spark, d):
+    """The log sorted into files, and a page that reads only those it lies in."""
+    path = scratch_path(spark, "sorted-log")
+    pages.write_sorted_log(V.history(spark, d).select("id", "created_at", "query", "feedback"), path, 2_000)
+    return pages.seek_page(spark, path, 50, 100).select("id", "created_at", "query")
+
+
+def merged_statistics(spark, d):
+    """Searches per collection over two weeks from counts and sketches per day, one day of them late; whether the estimates are within 5 %."""
+    path, h = scratch_path(spark, "daily"), V.history(spark, d)
+    late = F.to_date("created_at") == F.lit("2024-01-09").cast("date")
+    sketches.put_days(sketches.daily_stats(h.where(~late | (F.col("id") % 2 == 0))), path)
+    sketches.put_days(sketches.daily_stats(h.where(late)), path)
+    merged = sketches.merged_stats(sketches.read_days(spark, path), "2024-01-05", "2024-01-18")
+    exact = H.search_history(h, "2024-01-05", "2024-01-18").select(F.explode("collections_used").alias("collection"), "user_id", "query").groupBy("collection").agg(F.count_distinct("user_id").alias("u"), F.count_distinct("query").alias("q"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b) + 1
+    return merged.join(exact, "collection").select("collection", "searches", near("users", "u").alias("users_near"), near("queries", "q").alias("queries_near"))
+
+
 def queries() -> dict:
-    named = [indexing_run, run_transitions, run_states, stream_run_transitions, bucket_upsert, stream_feedback, repeated_appends, stream_log, embedding_failures]
+    named = [log_file_tail, facet_bitmaps, visible_bitmaps, seek_page, merged_statistics, indexing_run, run_transitions, run_states, stream_run_transitions, bucket_upsert, stream_feedback, repeated_appends, stream_log, embedding_failures]
     return {f.__name__: f for f in named}
 
 
@@ -168,10 +219,26 @@ _TRANSITIONS = f""", m AS (SELECT *, CASE WHEN event IN ('start', 'complete', 'c
     coalesce(last_value(CASE WHEN accepted THEN CASE event WHEN 'complete' THEN 'completed' WHEN 'cancel' THEN 'cancelled' ELSE 'processing' END END IGNORE NULLS) {_UPTO}, 'none') AS status FROM j)"""
 
 
+_TAIL = """, l AS (SELECT line_no, concat(lpad(CAST(line_no AS VARCHAR), 9, '0'), ' ', value) AS value FROM log_lines),
+  b AS (SELECT *, sum(strlen(value) + 1) OVER (ORDER BY line_no DESC) AS bytes, sum(strlen(value) + 1) OVER () AS total, row_number() OVER (ORDER BY line_no DESC) AS k FROM l)
+  SELECT value, CASE WHEN contains(value, '[ERROR]') THEN 'error' WHEN contains(value, '[DEBUG]') THEN 'debug' ELSE 'none' END AS level FROM b
+  WHERE (total <= 100000 OR bytes <= 50000) AND k <= 1000 AND contains(value, '[app]') ORDER BY line_no DESC LIMIT 50"""
+_SHOWN = """, v AS (SELECT * FROM items WHERE length(description) > 500 AND m_type IN ('en', 'de') AND collection_name IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9'))"""
+
+
 def oracle_sql(batches: str) -> dict[str, str]:
     """``batches`` is SQL of the batch that each item is embedded in."""
     transitions = sql(f"{_TRANSITIONS} SELECT collection_id, seq, event, accepted, run, status FROM t", "run_events")
     return {
+        "log_file_tail": sql(_TAIL, "log_lines"),
+        "facet_bitmaps": sql(
+            f"""{_SHOWN} SELECT 'collection' AS facet, collection_name AS value, count(*) AS n FROM v GROUP BY 2
+            UNION ALL SELECT 'year', m_year, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'type', m_type, count(*) FROM v GROUP BY 2""", "items"),
+        "visible_bitmaps": sql(f"{_SHOWN} SELECT count(*) AS visible FROM v", "items"),
+        "seek_page": sql("SELECT id, created_at, query FROM history ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "history"),
+        "merged_statistics": sql(
+            """, c AS (SELECT unnest(collections_used) AS collection FROM history WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-19')
+            SELECT collection, count(*) AS searches, true AS users_near, true AS queries_near FROM c GROUP BY 1""", "history"),
         "indexing_run": """WITH i AS (SELECT doc_id % 10 AS collection_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'indexed' END AS outcome FROM documents)
             SELECT collection_id, count(*) AS total, count(*) AS processed, count(*) FILTER (outcome = 'indexed') AS indexed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'failed') AS failed,
             100.0::DOUBLE AS progress, 'completed' AS status, count(*) FILTER (outcome <> 'failed') AS vectors FROM i GROUP BY 1""",

@@ -71,15 +71,36 @@ def test_ragged_zero_and_null_vectors(spark):
     assert S.search_vectors(df, queries.limit(0), 10).count() == 0
 
 
-def test_clusters_recall(spark):
+def test_lists_find_what_a_full_search_finds(spark, tmp_path, monkeypatch):
     df, _ = vectors(spark, 300)
     queries = df.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vector")
     model = S.fit_clusters(df, 6)
-    near = {(r.query_id, r.item_id) for r in S.search_ivf(S.assign_clusters(df, model), queries, model, 5, 4).collect()}
-    exact = {(r.query_id, r.item_id) for r in S.search_vectors(df, queries, 5).collect()}
-    assert len(near & exact) >= 0.8 * len(exact)
-    every = {(r.query_id, r.item_id) for r in S.search_ivf(S.assign_clusters(df, model), queries, model, 5, 6).collect()}
-    assert every == exact
+    S.build_lists(df, model, str(tmp_path / "lists"))
+    hits = lambda **k: S.search_lists(spark, str(tmp_path / "lists"), df, queries, model, 5, **k)
+    key = lambda rows: {(r.query_id, r.item_id, r.rank, round(r.similarity, 9)) for r in rows.collect()}
+    exact = S.search_vectors(df, queries, 5)
+    assert S.recall(hits(nprobe=4), exact).agg(F.avg("recall")).first()[0] >= 0.8
+    assert key(hits(nprobe=6)) == key(exact)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 4)
+    assert key(hits(nprobe=6)) == key(exact)
+
+
+def test_a_tenth_of_clustered_vectors_gives_nine_tenths_of_the_hits(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    rows = [(k, [float(x) for x in centres[k % 40] + rng.normal(scale=0.25, size=16)]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    queries = df.where("item_id % 100 = 7").select(F.col("item_id").alias("query_id"), "vector")
+    model = S.fit_clusters(df, 64)
+    S.build_lists(df, model, str(tmp_path / "lists"))
+    exact, sizes = S.search_vectors(df, queries, 10), {r.cluster: r["count"] for r in spark.read.parquet(str(tmp_path / "lists")).groupBy("cluster").count().collect()}
+    curve = []
+    for nprobe in (1, 2, 4):
+        probed = S.probes_of(queries, model, nprobe).groupBy("query_id").agg(F.collect_list("cluster").alias("c")).collect()
+        read = np.mean([sum(sizes[c] for c in r.c) for r in probed]) / len(rows)
+        curve.append((read, S.recall(S.search_lists(spark, str(tmp_path / "lists"), df, queries, model, 10, nprobe), exact).agg(F.avg("recall")).first()[0]))
+    print("share read and recall:", curve)
+    assert any(read <= 0.1 and found >= 0.9 for read, found in curve) and [r for _, r in curve] == sorted(r for _, r in curve)
 
 
 def test_queries_without_a_vector_and_many_blocks(spark, monkeypatch):

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from semsearch.config import Config
 from semsearch.operators import embed as E
+from semsearch.operators import facets, pages, sketches
+from semsearch.operators import history as H
 from semsearch.operators import index as X
 from semsearch.operators import runs as R
 from semsearch.operators.buckets import BucketTable
-from semsearch.sources import export
+from semsearch.sources import export, tail
 from semsearch.sources.ingest import ITEM_PAGE
 from semsearch.streaming import indexing, stream
 
@@ -250,3 +253,68 @@ def test_failed_batches_reach_the_outcomes(spark):
     after, outcomes = X.index_collections(items, none, refuses, config=Config(batch_texts=10))
     counts = X.outcome_counts(outcomes).first()
     assert counts.indexed == after.count() == 20 and counts.failed == 10
+
+
+def test_tail_reads_only_the_end(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    lines = [f"line {k} é" for k in range(3000)]
+    (folder / "a.log").write_text("\n".join(lines) + "\n")
+    (folder / "b.log").write_text("one\r\n\ntwo")
+    (folder / "_SUCCESS").write_text("no log")
+    (folder / "empty.log").write_text("")
+    key = lambda df: sorted((r.file, r.line_no, r.value) for r in df.collect())
+    whole = [("a.log", k - 3000, x) for k, x in enumerate(lines)] + [("b.log", -3, "one"), ("b.log", -2, ""), ("b.log", -1, "two")]
+    assert key(tail.read_tail(spark, str(folder), tailLines=5000)) == sorted(whole)
+    assert key(tail.read_tail(spark, str(folder))) == sorted(x for x in whole if x[1] >= -1000)
+    cut = key(tail.read_tail(spark, f"file://{folder}/a.log", wholeBytes=1000, tailBytes=500))
+    size, kept = 0, []
+    for k, x in reversed(list(enumerate(lines))):
+        size += len(x.encode()) + 1
+        if size <= 500:
+            kept.append(("a.log", k - 3000, x))
+    assert cut == sorted(kept)
+    exact = sum(len(x.encode()) + 1 for x in lines[-20:])  # the bytes begin at a line's first
+    assert len(key(tail.read_tail(spark, str(folder / "a.log"), wholeBytes=1, tailBytes=exact))) == 20
+
+
+def test_facet_bitmaps_count_all_hits(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(200_000), rng.choice("abc"), rng.choice(["x", "y", None])) for _ in range(500)]
+    rows = list({r[0]: r for r in rows}.values())
+    items = spark.createDataFrame(rows, "item_id long, kind string, place string")
+    index, hits = facets.facet_index(items, {"kind": "kind", "place": "place"}), items.where("item_id % 3 > 0")
+    for chosen in ({}, {"kind": ["a", "b"]}, {"kind": ["a"], "place": ["x"]}, {"kind": ["none"]}, {"kind": [], "place": ["y"]}):
+        left = [r for r in rows if r[0] % 3 and (not chosen.get("kind") or r[1] in chosen["kind"]) and (not chosen.get("place") or r[2] in chosen["place"])]
+        found = facets.visible(index, hits, chosen)
+        assert facets.count_visible(found).first().visible == len(left)
+        want = Counter(("kind", r[1]) for r in left) + Counter(("place", r[2]) for r in left if r[2])
+        assert {(r.facet, r.value): r.n for r in facets.facet_totals(index, found).collect()} == dict(want)
+
+
+def test_pages_read_at_most_two_files(spark, tmp_path):
+    h = spark.createDataFrame([(k, 1_700_000_000 + k * 7919 % 300) for k in range(1000)], "id long, t long").select("id", F.timestamp_seconds("t").alias("created_at"))
+    pages.write_sorted_log(h, str(tmp_path), 100)
+    assert spark.read.parquet(f"{tmp_path}/directory").count() >= 8
+    for order in ("DESC", "asc"):
+        for limit, offset in ((10, 0), (50, 120), (30, 985), (5, 5000)):
+            got = [r.id for r in pages.seek_page(spark, str(tmp_path), limit, offset, order).collect()]
+            assert got == [r.id for r in H.history_page(h, limit, offset, order).collect()]
+            assert len(pages.page_files(spark, str(tmp_path), limit, offset, order)[0]) <= 2
+    with pytest.raises(ValueError):
+        pages.page_files(spark, str(tmp_path), order="up")
+
+
+def test_statistics_merge_and_late_days_replace(spark, tmp_path):
+    rows = [(k, 1_700_000_000 + k * 3600, k % 37, f"q{k % 11}", ["a"] if k % 2 else ["a", "b"]) for k in range(400)]
+    h = spark.createDataFrame(rows, "id long, t long, user_id long, query string, collections_used array<string>").withColumn("created_at", F.timestamp_seconds("t"))
+    path = str(tmp_path / "daily")
+    sketches.put_days(sketches.daily_stats(h.where("id < 200")), path)
+    sketches.put_days(sketches.daily_stats(h.where("id >= 190")), path)  # the day of 190 comes again, in part
+    day = F.to_date("created_at")
+    again = h.where(day == F.to_date(F.timestamp_seconds(F.lit(1_700_000_000 + 190 * 3600))))
+    sketches.put_days(sketches.daily_stats(again), path)
+    sketches.put_days(sketches.daily_stats(h.where(day == F.to_date(F.timestamp_seconds(F.lit(1_700_000_000 + 199 * 3600))))), path)
+    merged = {r.collection: r for r in sketches.merged_stats(sketches.read_days(spark, path), "2000-01-01", "2100-01-01").collect()}
+    assert (merged["a"].searches, merged["b"].searches) == (400, 200)
+    assert abs(merged["a"].users - 37) <= 2 and abs(merged["a"].queries - 11) <= 1
