@@ -30,7 +30,9 @@ from .words import words
 #: Words of a shingle, percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
 #: A token with more nodes in its list is frequent.
-RARE = 512
+RARE = 48
+#: A node of at most so many lists carries them, so that a pair is given out in the first one that it shares alone.
+CARRIED = 256
 #: How often frequent tokens are combined with another one before all pairs of a list are compared.
 ROUNDS = 3
 #: Members that are verified against a node by one task.
@@ -366,7 +368,7 @@ class _Search:
             left = stored(left.withColumn("shared", F.coalesce("shared", "s")), "mixed-rows")  # a pivot shares all with itself
             last = turn == ROUNDS - 1
             rare = left if last else left.where(F.col("length") <= RARE)
-            self.link(self.met(pairs_in(rare.join(self.nodes.select("node", "bits"), "node"))))
+            self.link(self.met(pairs_in(rare.join(self.nodes.select("node", "bits"), "node"), carry=turn > 0)))
             frequent = stored(left.where(F.col("length") > RARE).select("pivot", "pivot_n", "node", "n", "s", "weight").distinct(), "frequent")
             if last or not frequent.limit(1).count():
                 return
@@ -384,15 +386,26 @@ class _Search:
             rows = rows.select(F.xxhash64("pivot", "token").alias("key"), "node", "n", "s", "weight")
 
 
-def pairs_in(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in one list that are not yet joined, unless what they share with others and with the pivot, or their parity bits, rule it out."""
-    side = lambda x: rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "s", "label", "shared", "bits")))
+def pairs_in(rows: DataFrame, carry: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes in one list that are not yet joined, unless what they share with others and with the pivot, or their parity bits, rule it out.
+
+    Nodes share a list for each pivot and token that they have in common.  With
+    ``carry`` a pair comes out of the first of these alone, if both nodes are in few enough.
+    """
+    lists = F.lit(None).cast("array<long>")
+    if carry:
+        of_node = rows.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("lists")).where(F.size("lists") <= CARRIED)
+        rows, lists = stored(rows.join(of_node, "node", "left"), "list-members"), F.col("lists")
+    rows = rows.withColumn("lists", lists)
+    side = lambda x: rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "s", "label", "shared", "bits", "lists")))
     met = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
     # similar sets share at least PERCENT / (100 + PERCENT) of the sum of their sizes
     least, whole = PERCENT * (F.col("n_a") + F.col("n_b")), 100 + PERCENT
     most = F.least("shared_a", "shared_b") + F.least(F.col("s_a") - F.col("shared_a"), F.col("s_b") - F.col("shared_b"))
     differ = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITY_WORDS)), F.lit(0))
     possible = (least <= whole * most) & (2 * least <= whole * (F.col("s_a") + F.col("s_b") - differ)) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    if carry:
+        possible &= F.coalesce(F.element_at(F.array_intersect("lists_a", "lists_b"), 1) == F.col("key"), F.lit(True))
     return met.where(possible).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 

@@ -27,7 +27,7 @@ lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line
 real AS (SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS normal FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM real GROUP BY 1),
 hosts AS (SELECT host, count(DISTINCT text) AS n_host FROM d GROUP BY 1),
-frequent AS (SELECT host, normal FROM real JOIN hosts USING (host) GROUP BY host, normal, n_host HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > n_host * 0.1),
+frequent AS (SELECT host, normal FROM real JOIN hosts USING (host) GROUP BY host, normal, n_host HAVING count(DISTINCT text) > 10 AND (count(DISTINCT text) > n_host * 0.1 OR count(DISTINCT text) > 100)),
 removed AS (SELECT doc_id, sum(len(string_split(normal, ' '))) AS n FROM real SEMI JOIN frequent USING (host, normal) GROUP BY 1),
 m AS (
   SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
