@@ -19,6 +19,8 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp")
+#: Those that start a new block; the others may stand inside a line.
+RAW_BLOCKS = frozenset(("xmp",))
 #: Elements that never hold main text, by name or role, or by a word of their class or id.
 ASIDE = frozenset("nav footer aside form head menu dialog select button object canvas fieldset datalist applet audio video map".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -82,26 +84,31 @@ class Page:
         self.runs: list[tuple] = []
         self.has_container = False
         open_tags: list[tuple[str, bool, int]] = []
+        open_blocks: list[int] = []  # places of block tags among them
+        places: dict[str, list[int]] = {}  # of each name
         asides = containers = block = n_words = 0
         maybe: list[list[int]] = []  # of elements that may be asides: first and last run, words before and at the end
 
         def close(k: int) -> None:
             nonlocal asides, containers
             for name, aside, of in open_tags[k:]:
+                places[name].pop()
                 asides -= aside
                 containers -= name in CONTAINER and not aside
                 if of >= 0:
                     maybe[of] += [len(self.runs), n_words]
             del open_tags[k:]
+            while open_blocks and open_blocks[-1] >= k:
+                open_blocks.pop()
 
         for raw, end1, name1, attributes1, end2, name2, attributes2, text in _TOKEN.findall(html):
             name = (name1 or name2).lower()
             if text:
-                tag = next((n for n, *_ in reversed(open_tags) if n not in INLINE), "")
+                tag = open_tags[open_blocks[-1]][0] if open_blocks else ""
                 self.runs.append(("text", text, containers > 0, asides > 0, block, tag))
                 n_words += 0 if asides else len(text.split())
             elif raw:
-                block += raw.lower() not in ("title",)
+                block += raw.lower() in RAW_BLOCKS
             elif name:
                 if name not in INLINE:
                     block += 1
@@ -109,19 +116,21 @@ class Page:
                     self.runs.append(("text", " ", containers > 0, asides > 0, block, ""))
                 self.runs.append(("tag", name, containers > 0, asides > 0))
                 if end1 or end2:
-                    k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), None)
-                    if k is not None:
-                        close(k)
+                    if places.get(name):
+                        close(places[name][-1])
                 elif name not in VOID:
                     if name not in INLINE:  # a new block ends an open paragraph, a new item an open item
-                        k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] not in INLINE), None)
-                        if k is not None and (open_tags[k][0] == "p" or open_tags[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                            close(k)
+                        last = open_tags[open_blocks[-1]][0] if open_blocks else ""
+                        if last == "p" or last == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                            close(open_blocks[-1])
                     attributes = _attributes(attributes1 or attributes2)
                     aside, of = _is_aside(name, attributes, containers > 0), -1
                     if not aside and not asides and _may_be_aside(name, attributes):
                         of = len(maybe)
                         maybe.append([len(self.runs), n_words])
+                    places.setdefault(name, []).append(len(open_tags))
+                    if name not in INLINE:
+                        open_blocks.append(len(open_tags))
                     open_tags.append((name, aside, of))
                     asides += aside
                     containers += name in CONTAINER and not aside

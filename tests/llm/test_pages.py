@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -122,6 +123,41 @@ def test_long_page_is_linear():
     assert extract.main_text(page, {}).count("\n") == 59_999
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 30_000 + "x</b>" * 30_000, "<span>x " * 40_000, "<div>" * 60_000 + "x</i>" * 20_000, "<b <i " * 50_000, "<p>" * 100_000 + "z", "<ul><li>x" * 30_000, "<a '>x" * 50_000, "</div>" * 50_000],
+)
+def test_unclosed_markup_is_linear(page):
+    began = time.process_time()
+    extract.main_text(page, {})
+    assert len(page) >= 270_000 and time.process_time() - began < 4  # under a second on a free machine; quadratic took minutes
+
+
+def test_scripts_inside_a_line_do_not_part_it():
+    page = "<article><p>one <script>x()</script>two <style>p{}</style>three<!-- c --> four</p><p>five six</p></article>"
+    assert extract.main_text(page, {}) == "one two three four\nfive six"
+
+
+def test_known_main_texts_are_found(spark):
+    """Articles of known text in four templates; only two of them label it."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice("amber basalt cedar delta ember fjord grove haven islet jetty".split()) for _ in range(n))
+    menu = "".join(f"<li><a href='/{k}'>{w}</a></li>" for k, w in enumerate(["Home", "News", "Contact us", "All sections"]))
+    templates = [
+        "<html><head><title>t</title></head><body><nav><ul>{m}</ul></nav><main><article>{t}</article></main><footer>All rights reserved</footer></body></html>",
+        "<body><header>Site name</header><article>{t}</article><aside>Read more about it</aside><footer>Imprint</footer></body>",
+        "<body><div class='navbar'><ul>{m}</ul></div><div class='content'>{t}</div><div class='footer'>Imprint and terms</div></body>",
+        "<body><ul class='menu'>{m}</ul><table><tr><td>{t}</td></tr></table><div id='comments'><p>so nice a text</p></div></body>",
+    ]
+    rows, known = [], {}
+    for k in range(80):
+        blocks = [words(rng.randrange(15, 60)) for _ in range(rng.randrange(2, 6))]
+        known[k] = "\n".join(blocks)
+        rows.append((k, "u", templates[k % 4].format(m=menu, t="".join(f"<p>{b}</p>" for b in blocks))))
+    got = {r.page_id: r.text for r in extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(got[k] == known[k] for k in known) >= 0.95 * len(known)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a>", "</a>", "<article>", "</article>", "<nav>", "</nav>", "one two three ", "word "]), max_size=14), st.integers(0, 99))
 def test_scan_finds_the_best_of_all_regions(parts, seed):
