@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A new path under ``spark.checkpoint.dir``.
+
+    Where that is unset and everything runs on this machine, a folder of our own
+    takes its place; on a cluster other machines would not see it, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
