@@ -251,4 +251,4 @@ def oracle_sql() -> dict[str, str]:
         "item_metadata": sql("SELECT item_id, collection_id, title, m_type, m_year, CAST(2 AS BIGINT) AS entries FROM items", "items"),
         "stream_search_counts": sql("SELECT CAST(created_at AS DATE) AS day, count(*) AS total FROM history GROUP BY 1", "history"),
     }
-    return core | upkeep.oracle_sql(core["embedding_batches"])
+    return core | {"hash_embed_native": core["hash_embed"]} | upkeep.oracle_sql(core["embedding_batches"])

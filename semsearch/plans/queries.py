@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from ..functions.vectors import cosine_similarity
+from ..functions.vectors import cosine_similarity, hash_embedding
 from ..operators import documents as D
 from ..operators import embed as E
 from ..operators import history as H
@@ -126,6 +126,12 @@ def hash_embed(spark, d):
     return e.select("item_id", F.array_join(F.transform("vector", lambda x: F.round(x * 10000).cast(LONG).cast("string")), " ").alias("vector"))
 
 
+def hash_embed_native(spark, d):
+    """The hashed embedding as a column expression; equal to the embedder's."""
+    vector = hash_embedding(F.col("description"), 16)
+    return V.items(spark, d).select("item_id", F.array_join(F.transform(vector, lambda x: F.round(x * 10000).cast(LONG).cast("string")), " ").alias("vector"))
+
+
 def semantic_search(spark, d):
     """Items by the similarity of their hashed embedding to every benchmark text."""
     items = E.embed_documents(V.items(spark, d).select("item_id", "description"), "description", E.HashEmbedder(16))
@@ -540,7 +546,7 @@ def queries() -> dict:
     custom = Config(index_fields=("title", "metadata", "m_type", "m_year"))
     named = [
         topk_single, topk_multi, topk_filtered, topk_candidate_cap, cosine_all, trace_hits, search_trace, ranked_report, truncate_text, extract_sections, strip_tags_pages,
-        snippets, hash_embed, semantic_search, facet_counts, facet_filter, format_hits, build_prompts, search_log, total_vectors, vectors_by_collection, collection_stats,
+        snippets, hash_embed, hash_embed_native, semantic_search, facet_counts, facet_filter, format_hits, build_prompts, search_log, total_vectors, vectors_by_collection, collection_stats,
         index_health, index_coverage, enabled_collections, resolve_collections, pending_items, upsert_vectors, remove_orphans, delete_collections, index_items, outcome_counts,
         apply_changes, embedding_batches, item_pages, search_history, history_page, search_detail, recent_periods, top_collections, top_collections_prelimit, dashboard_kpis,
         latest_search_ids, apply_feedback, client_address, training_kpis, fine_tuning_examples, trim_words, id_lists, content_previews, run_totals, latest_runs, prune_runs,

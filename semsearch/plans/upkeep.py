@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import embed as E
-from ..operators import facets, pages, sketches
+from ..operators import facets, pages, sketches, textindex
 from ..operators import history as H
 from ..operators import index as X
 from ..operators import runs as R
@@ -205,8 +205,16 @@ def merged_statistics(spark, d):
     return merged.join(exact, "collection").select("collection", "searches", near("users", "u").alias("users_near"), near("queries", "q").alias("queries_near"))
 
 
+def indexed_text_search(spark, d):
+    """The log's texts found through their trigrams; queries carry the day of the month."""
+    path = scratch_path(spark, "text-index")
+    h = V.history(spark, d).withColumn("query", F.concat("query", F.lit(" on day "), F.dayofmonth("created_at").cast("string")))
+    textindex.write_text_index(h.select("id", "created_at", "user_id", "query", "response"), path)
+    return textindex.indexed_search(spark, path, "19 ON DAY 17").select("id", "user_id", "query")
+
+
 def queries() -> dict:
-    named = [log_file_tail, facet_bitmaps, visible_bitmaps, seek_page, merged_statistics, indexing_run, run_transitions, run_states, stream_run_transitions, bucket_upsert, stream_feedback, repeated_appends, stream_log, embedding_failures]
+    named = [indexed_text_search, log_file_tail, facet_bitmaps, visible_bitmaps, seek_page, merged_statistics, indexing_run, run_transitions, run_states, stream_run_transitions, bucket_upsert, stream_feedback, repeated_appends, stream_log, embedding_failures]
     return {f.__name__: f for f in named}
 
 
@@ -234,6 +242,9 @@ def oracle_sql(batches: str) -> dict[str, str]:
         "facet_bitmaps": sql(
             f"""{_SHOWN} SELECT 'collection' AS facet, collection_name AS value, count(*) AS n FROM v GROUP BY 2
             UNION ALL SELECT 'year', m_year, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'type', m_type, count(*) FROM v GROUP BY 2""", "items"),
+        "indexed_text_search": sql(
+            """, q AS (SELECT id, user_id, concat(query, ' on day ', day(created_at)) AS query FROM history)
+            SELECT id, user_id, query FROM q WHERE contains(lower(query), '19 on day 17')""", "history"),
         "visible_bitmaps": sql(f"{_SHOWN} SELECT count(*) AS visible FROM v", "items"),
         "seek_page": sql("SELECT id, created_at, query FROM history ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "history"),
         "merged_statistics": sql(

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from datetime import date
 from pathlib import Path
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from semsearch.config import Config
 from semsearch.operators import embed as E
-from semsearch.operators import facets, pages, sketches
+from semsearch.operators import facets, pages, sketches, textindex
 from semsearch.operators import history as H
 from semsearch.operators import index as X
 from semsearch.operators import runs as R
@@ -318,3 +319,21 @@ def test_statistics_merge_and_late_days_replace(spark, tmp_path):
     merged = {r.collection: r for r in sketches.merged_stats(sketches.read_days(spark, path), "2000-01-01", "2100-01-01").collect()}
     assert (merged["a"].searches, merged["b"].searches) == (400, 200)
     assert abs(merged["a"].users - 37) <= 2 and abs(merged["a"].queries - 11) <= 1
+
+
+def test_texts_found_by_trigrams_are_those_of_a_scan(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abÇé ") for _ in range(rng.randrange(0, 9)))
+    rows = [(k, f"2024-01-{1 + k % 9:02d} 10:00:00", k % 3, word(), None if k % 7 == 0 else word()) for k in range(300)]
+    rows += [(1000, "2024-01-04 11:00:00", 1, "a rare Needle", "x"), (1001, None, 1, "no day", "needles")]
+    h = spark.createDataFrame(rows, "id long, created_at string, user_id long, query string, response string").withColumn("created_at", F.to_timestamp("created_at"))
+    textindex.write_text_index(h.where("created_at is not null"), str(tmp_path))
+    for part in ("ab", "aba", "ÇÉa", "b a", "NEEDLE", "never", "", "aaaa"):
+        want = sorted(r.id for r in H.search_history(h.where("created_at is not null"), search=part).collect())
+        assert sorted(r.id for r in textindex.indexed_search(spark, str(tmp_path), part).collect()) == want
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(textindex.indexed_search(spark, str(tmp_path), "aba", user_id=1)) == ids(H.search_history(h, search="aba", user_id=1))
+    # a rare part reads one day's folder and verifies one row
+    found = textindex.indexed_search(spark, str(tmp_path), "needle")
+    assert textindex.candidates(spark, str(tmp_path), "needle").count() == 1
+    assert {r[0] for r in found.select("created_date").distinct().collect()} == {date(2024, 1, 4)}
