@@ -1,4 +1,4 @@
-"""Vector expressions: cosine similarity, scores, the hashed embedder."""
+"""Vector expressions: norms, cosine similarity, scores."""
 
 from __future__ import annotations
 
@@ -25,16 +25,3 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 def score(similarity: Column, digits: int = 1) -> Column:
     """Percent."""
     return F.round(similarity * 100, digits)
-
-
-def hash_embedding(c: Column, dims: int) -> Column:
-    """Unit vector of term counts in ``dims`` buckets by md5; all zero without terms."""
-    terms = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    buckets = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    return unit(counts)
-
-
-def unit(v: Column) -> Column:
-    length = F.sqrt(_sum(F.transform(v, lambda x: x * x)))
-    return F.transform(v, lambda x: F.when(length == 0, F.lit(0.0)).otherwise(x / length))
