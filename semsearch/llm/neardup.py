@@ -30,7 +30,7 @@ from .words import words
 #: Words of a shingle, percent of the union that must be shared.
 SHINGLE, PERCENT = 5, 80
 #: A token with more nodes in its list is frequent.
-RARE = 48
+RARE = 64
 #: A node of at most so many lists carries them, so that a pair is given out in the first one that it shares alone.
 CARRIED = 256
 #: How often frequent tokens are combined with another one before all pairs of a list are compared.
@@ -392,7 +392,7 @@ def pairs_in(rows: DataFrame, carry: bool = False) -> DataFrame:
     Nodes share a list for each pivot and token that they have in common.  With
     ``carry`` a pair comes out of the first of these alone, if both nodes are in few enough.
     """
-    lists = F.lit(None).cast("array<long>")
+    rows, lists = stored(rows, "list-nodes"), F.lit(None).cast("array<long>")
     if carry:
         of_node = rows.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("lists")).where(F.size("lists") <= CARRIED)
         rows, lists = stored(rows.join(of_node, "node", "left"), "list-members"), F.col("lists")

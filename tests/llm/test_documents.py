@@ -304,6 +304,23 @@ def test_one_of_each(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({i: 2 if i == 502 else 1 for i, s in sets.items() if not s or expected[i] == i})
 
 
+def test_combinations_of_production_parameters(spark, monkeypatch):
+    """A passage in many documents: lists of more than ``RARE`` nodes are combined, and lose no link."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, rows = [word() for _ in range(200)], []
+    for _ in range(35):  # pairs that differ in a word, and from other pairs in all but the passage
+        tail = [word() for _ in range(45)]
+        rows += [passage + tail, passage + tail[:20] + [word()] + tail[21:]]
+    rows += [passage + rows[k][200:220] + rows[k + 2][220:] for k in range(0, 20, 2)]  # between two of them
+    rows = [(k, " ".join(w), "s") for k, w in enumerate(rows)]
+    combined, stored_ = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name, *rest: combined.append(stored_(df, name, *rest)) or combined[-1] if name == "around-pivots" else stored_(df, name, *rest))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == groups(rows)[0]
+    assert combined and all(x.count() > neardup.RARE for x in combined[:1])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     alone = neardup.near_duplicates(frame(spark, [(1, None, "s"), (2, "", "s"), (None, "a b", "s"), (3, "a b", "s")])).collect()
