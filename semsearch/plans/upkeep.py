@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
 from ..operators import embed as E
 from ..operators import facets, pages, sketches, textindex
 from ..operators import history as H
@@ -18,7 +19,7 @@ from ..sources import export, ingest, tail
 from ..sources.ingest import ITEM_PAGE
 from ..streaming import indexing, stream
 from . import views as V
-from .views import SQL, sql
+from .views import sql
 
 LONG = "long"
 
@@ -143,7 +144,6 @@ def stream_log(spark, d):
 
 def embedding_failures(spark, d):
     """Every item's batch, whether it has a vector, and the error: the embedder refuses the batches of two items."""
-    from ..operators import documents as D
 
     def refuses(texts: list[str]):
         if any(t.startswith(("TÍTULO: Item 7 ", "TÍTULO: Item 150 ")) for t in texts):
