@@ -383,7 +383,7 @@ class _Search:
             within = (100 * F.col("shared") >= PERCENT * F.col("n")) & (F.col("outside") | (F.col("n") < F.col("pivot_n")))
             extra = F.when(within, F.array_append(extra, F.lit(-1).cast("long"))).otherwise(extra)
             rows = rows.select(F.explode(extra).alias("token"), "pivot", "node", "n", "s", "weight")
-            rows = rows.select(F.xxhash64("pivot", "token").alias("key"), "node", "n", "s", "weight")
+            rows = stored(rows.select(F.xxhash64("pivot", "token").alias("key"), "node", "n", "s", "weight"), "combinations")
 
 
 def pairs_in(rows: DataFrame, carry: bool = False) -> DataFrame:
