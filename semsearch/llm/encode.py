@@ -83,15 +83,18 @@ class UnitEncoder:
         self.places = _Places()
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.recent = np.empty(0, np.int64)
 
-    def _forget(self, kept: np.ndarray) -> None:
-        """Forget all pieces but those at these places, which the last texts hold."""
+    def forget(self) -> None:
+        """Forget all pieces but those of the last texts, so that a worker that waits holds little memory."""
+        kept = self.recent
         names, sizes = list(self.places), np.diff(self.starts)[kept]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         self.flat = np.concatenate([ids, np.empty(1 << 16, np.uint32)])
         self.starts = np.concatenate([[0], ends])
         self.places = _Places((names[k], i) for i, k in enumerate(kept.tolist()))
+        self.recent = np.arange(len(kept))
 
     def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The units of all texts, and where each text's units end."""
@@ -135,8 +138,11 @@ class UnitEncoder:
         at = np.repeat(first - (after - sizes), sizes)
         at += np.arange(total)
         ids = self.flat[at]
+        held = np.zeros(len(self.places), bool)
+        held[places] = True
+        self.recent = np.flatnonzero(held)
         if len(self.places) > REMEMBERED:
-            self._forget(np.unique(places))
+            self.forget()
         return ids, np.concatenate([[0], after])[2 * ends]
 
 

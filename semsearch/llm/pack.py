@@ -8,11 +8,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import for_python
-from .encode import encoder, in_slices
+from .encode import encoder, give_memory_back, in_slices
 
 #: Bytes of text that are packed together, largest piece first.
 SLICE_BYTES = 6_000_000
 
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 3_000_000
+
 
 class OpenSequences:
     """The sequences of one task that still have room, by the room they have.
@@ -49,7 +52,9 @@ class OpenSequences:
         return sequence, self.size - room
 
 
-def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(
+    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0, keep_pieces: bool = True
+) -> DataFrame:
     """Pack the token ids of whole documents into sequences of at most ``max_tokens``.
 
     Returns one row per piece: doc_id, piece (from 0), start (the document's ids
@@ -61,6 +66,10 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     task is simply run again; each task leaves a handful of sequences with room.
     A null or empty text is a single ``end_id``; repeated rows are packed as often
     as they occur; an empty table gives no rows.  Other columns are not read.
+
+    With ``keep_pieces`` a worker remembers encoded pieces from one task to the next;
+    without, it forgets them after each task, which takes more time and less memory
+    where the same workers serve other stages.  The result is the same.
     """
     schema = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -70,13 +79,16 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for batch in batches:
             for a, b in in_slices(batch.column(1), SLICE_BYTES):
                 yield _packed(codec, room, batch.column(0)[a:b], batch.column(1)[a:b], end_id)
+        if not keep_pieces:
+            codec.forget()
+            give_memory_back()
 
     return for_python(df.select(df[id_col].cast("long"), df[text_col].cast("string"))).mapInArrow(pack, schema)
 
 
 def _packed(codec, room: OpenSequences, doc_ids: pa.Array, texts: pa.Array, end_id: int) -> pa.RecordBatch:
     parts, sizes = [], []
-    for a, b in in_slices(texts):
+    for a, b in in_slices(texts, ENCODE_BYTES):
         ids, ends = codec.encode(texts[a:b])
         parts.append(np.insert(ids, ends, end_id).astype("<u4"))
         sizes.append(np.diff(ends, prepend=0) + 1)

@@ -156,6 +156,26 @@ def test_packing(spark):
     assert pack.pack_documents(docs(spark, []), public_tokenizers.path(FILES[1])).count() == 0
 
 
+def test_packing_with_and_without_kept_pieces_is_alike(spark):
+    texts = [None, "", *(f"Some words, {i} of them! " * (i % 40 + 1) + chr(97 + i % 26) * (i % 9) for i in range(300))]
+    some = docs(spark, list(enumerate(texts))).repartition(5, "doc_id")
+    kept, forgotten = (
+        {tuple(r) for r in pack.pack_documents(some, public_tokenizers.path(FILES[1]), max_tokens=64, keep_pieces=k).drop("sequence_id", "offset").collect()}
+        for k in (True, False)
+    )
+    assert kept == forgotten and {r[0] for r in kept} == set(range(len(texts)))
+
+
+def test_forgetting_pieces_keeps_the_ids():
+    whole, small = UnitEncoder(public_tokenizers.path(FILES[1])), UnitEncoder(public_tokenizers.path(FILES[1]))
+    for k in range(4):
+        texts = pa.array([None, "", f"one two, three{k}!", " ".join(f"w{i}x{i * k}" for i in range(50))])
+        want, got = whole.encode(texts), small.encode(texts)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+        small.forget()
+        assert len(small.places) <= len(whole.places) and sorted(small.places.values()) == list(range(len(small.places)))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=80))
 def test_sequences_hold_what_fits(lengths):
