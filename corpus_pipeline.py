@@ -54,7 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is a single end; repeated rows are packed as often as they
     occur; only texts longer than a sequence are cut.
     """
-    return pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_pieces=False)
 
 
 STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", ngram_jaccard_join), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
