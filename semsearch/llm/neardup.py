@@ -354,6 +354,27 @@ class _Search:
         able = PERCENT * (F.col("n") + F.col("_least")) <= (100 + PERCENT) * F.col("s")
         return stored(rows.join(small_or_not(lists), "key").where(full | able).drop("_least", "label"), "list-rows")
 
+    def around_fewer(self, frequent: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """pivot, pivot_n, node, n, s, weight around fewer pivots, and what these have met.
+
+        Lists of one family choose many pivots, and a node would be combined around each
+        of them.  A node votes for that of its pivots which shares most with all its nodes,
+        and a pivot gives its nodes to the one that most of them vote for.  Combinations
+        find all pairs around one pivot, so nodes that meet around the old pivot meet
+        around the new one.
+        """
+        pivots = stored(frequent.groupBy("pivot").agg(F.first("pivot_n").alias("pivot_n"), F.sum("shared").alias("_of")), "pivots")
+        votes = frequent.select("pivot", "node").join(small_or_not(pivots), "pivot")
+        votes = votes.groupBy("node").agg(F.max(F.struct("_of", "pivot", "pivot_n")).alias("_to"))
+        leads = frequent.select("pivot", "node").join(votes, "node").groupBy("pivot", "_to").count()
+        leads = stored(leads.groupBy("pivot").agg(F.max(F.struct("count", "_to")).alias("_to")).select("pivot", F.col("_to._to.pivot").alias("leader"), F.col("_to._to.pivot_n").alias("leader_n")), "leads")
+        rows = frequent.drop("pivot_n", "shared").join(small_or_not(leads), "pivot")
+        rows = stored(rows.select(F.col("leader").alias("pivot"), F.col("leader_n").alias("pivot_n"), "node", "n", "s", "weight").distinct(), "around-fewer")
+        pairs = rows.where("pivot != node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        more = self.met(pairs.join(met.select("a", "b"), ["a", "b"], "left_anti"))
+        self.link(more)
+        return rows, met.unionByName(more)
+
     def look(self) -> None:
         """Find all links."""
         rows = self.nodes.select(F.explode("prefix").alias("key"), "node", "n", "s", "weight")
@@ -369,9 +390,10 @@ class _Search:
             last = turn == ROUNDS - 1
             rare = left if last else left.where(F.col("length") <= RARE)
             self.link(self.met(pairs_in(rare.join(self.nodes.select("node", "bits"), "node"), carry=turn > 0)))
-            frequent = stored(left.where(F.col("length") > RARE).select("pivot", "pivot_n", "node", "n", "s", "weight").distinct(), "frequent")
+            frequent = stored(left.where(F.col("length") > RARE).select("pivot", "pivot_n", "node", "n", "s", "weight", "shared").distinct(), "frequent")
             if last or not frequent.limit(1).count():
                 return
+            frequent, met = self.around_fewer(frequent, met)
             rows = self.with_labels(self.with_labels(frequent), "pivot", "_pivot_label").join(met.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "shared", "extra"), ["pivot", "node"])
             # a pair that the pivot's component doesn't hold shares at least ``need`` tokens besides the pivot's; those within it need only what one outside does
             outside, need = F.col("label") != F.col("_pivot_label"), F.greatest(F.ceil(F.col("n") * PERCENT / 100) - F.col("shared"), F.lit(1))

@@ -321,6 +321,31 @@ def test_combinations_of_production_parameters(spark, monkeypatch):
     assert combined and all(x.count() > neardup.RARE for x in combined[:1])
 
 
+def test_a_family_is_combined_around_few_pivots(spark, monkeypatch):
+    """Parts of a text and edited copies of it choose many pivots; nodes are combined around few of them, and lose no link."""
+    small_parts(monkeypatch, RARE=8)
+    rng = random.Random(3)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.randrange(3, 9)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(6)}"
+        a = rng.randrange(60) if k % 3 == 0 else 0
+        rows.append((k, " ".join(w[a : a + 90] if k % 3 == 0 else w), "s"))
+    kept, stored_ = [], neardup.stored
+
+    def store(df, name, *rest):
+        kept.append((name, stored_(df, name, *rest)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(neardup, "stored", store)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == groups(rows)[0]
+    before, after = (next(x for n, x in kept if n == name) for name in ("frequent", "around-pivots"))
+    nodes = before.select("node").distinct().count()
+    assert before.count() > 2 * nodes and after.count() <= 1.2 * nodes
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     alone = neardup.near_duplicates(frame(spark, [(1, None, "s"), (2, "", "s"), (None, "a b", "s"), (3, "a b", "s")])).collect()
