@@ -30,6 +30,8 @@ SHARD_TOKENS = 1 << 20
 PAIRS, LEAST = 16384, 8
 #: Slots that pairs are counted in before the frequent ones are counted exactly, as a power of 2.
 SLOT_BITS = 18
+#: So many pairs are sorted at once instead, as the slots would take longer.
+SORTED = 1 << 17
 
 SHARD_SCHEMA = (
     "part int, shard int, before long, n_docs int, n_tokens long, doc_ids binary, doc_ends binary, base int, "
@@ -52,6 +54,49 @@ def _frequent(keys: np.ndarray, pairs: int, least: int) -> np.ndarray:
     return found[np.lexsort((found, -n))[:pairs]]
 
 
+def _places(keys: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent keys as in ``_frequent``, where any of them stands, and which it is there."""
+    if len(keys) <= SORTED:
+        chosen = _frequent(keys, pairs, least)
+        if not len(chosen):
+            return chosen, chosen, chosen
+        order = np.argsort(chosen)
+        found = order[np.minimum(np.searchsorted(chosen, keys, sorter=order), len(chosen) - 1)]
+        at = np.flatnonzero(chosen[found] == keys)
+        return chosen, at, found[at].astype(np.int32)
+    slots = _slots(keys)
+    counts = np.bincount(slots, minlength=1 << SLOT_BITS)
+    # a slot may hold several keys, so its count only bounds theirs: those below can be left out
+    above = np.cumsum(np.bincount(counts)[::-1])[::-1]
+    bar = max(least, int(np.searchsorted(-above, -pairs, "right")) - 1)
+    maybe = (counts >= bar)[slots]
+    chosen = _frequent(keys[maybe], pairs, least)
+    if not len(chosen) and bar > least:  # only crowded slots were above the bar
+        maybe = (counts >= least)[slots]
+        chosen = _frequent(keys[maybe], pairs, least)
+    if not len(chosen):
+        return chosen, chosen, chosen
+    # a lookup is one comparison with the most frequent chosen key of a slot; others of the slot are searched for
+    chosen_slots = _slots(chosen)
+    first = np.zeros(len(chosen), bool)
+    first[np.unique(chosen_slots, return_index=True)[1]] = True
+    rank_at = np.full(1 << SLOT_BITS, len(chosen), np.int32)
+    rank_at[chosen_slots[first]] = np.flatnonzero(first)
+    at = np.flatnonzero(maybe)
+    rank = rank_at[slots[at]]
+    real = np.append(chosen, -1)[rank] == keys[at]
+    others = np.flatnonzero(~first)
+    if len(others):
+        others = others[np.argsort(chosen[others])]
+        shared = np.zeros(1 << SLOT_BITS, bool)
+        shared[chosen_slots[others]] = True
+        again = np.flatnonzero(~real & shared[slots[at]])
+        found = others[np.minimum(np.searchsorted(chosen[others], keys[at[again]]), len(others) - 1)]
+        hit = chosen[found] == keys[at[again]]
+        rank[again[hit]], real[again[hit]] = found[hit], True
+    return chosen, at[real], rank[real]
+
+
 def compress(ids: np.ndarray, base: int, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Sequence of symbols and rules (n x 2) whose expansion is ``ids``.
 
@@ -65,37 +110,9 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, pairs: int =
             break
         keys = sequence[:-1] << 32
         keys |= sequence[1:]
-        slots = _slots(keys)
-        counts = np.bincount(slots, minlength=1 << SLOT_BITS)
-        # a slot may hold several keys, so its count only bounds theirs: those below can be left out
-        above = np.cumsum(np.bincount(counts)[::-1])[::-1]
-        bar = max(least, int(np.searchsorted(-above, -pairs, "right")) - 1)
-        maybe = (counts >= bar)[slots]
-        chosen = _frequent(keys[maybe], pairs, least)
-        if not len(chosen) and bar > least:  # only crowded slots were above the bar
-            maybe = (counts >= least)[slots]
-            chosen = _frequent(keys[maybe], pairs, least)
+        chosen, at, rank = _places(keys, pairs, least)
         if not len(chosen):
             break
-        # a lookup is one comparison with the most frequent chosen key of a slot; others of the slot are searched for
-        chosen_slots = _slots(chosen)
-        first = np.zeros(len(chosen), bool)
-        first[np.unique(chosen_slots, return_index=True)[1]] = True
-        rank_at = np.full(1 << SLOT_BITS, len(chosen), np.int32)
-        rank_at[chosen_slots[first]] = np.flatnonzero(first)
-        at = np.flatnonzero(maybe)
-        rank = rank_at[slots[at]]
-        real = np.append(chosen, -1)[rank] == keys[at]
-        others = np.flatnonzero(~first)
-        if len(others):
-            others = others[np.argsort(chosen[others])]
-            shared = np.zeros(1 << SLOT_BITS, bool)
-            shared[chosen_slots[others]] = True
-            again = np.flatnonzero(~real & shared[slots[at]])
-            found = others[np.minimum(np.searchsorted(chosen[others], keys[at[again]]), len(others) - 1)]
-            hit = chosen[found] == keys[at[again]]
-            rank[again[hit]], real[again[hit]] = found[hit], True
-        at, rank = at[real], rank[real]
         # the rank of every place and its neighbours; places of no chosen pair rank last
         ranks = np.full(len(keys) + 2, len(chosen), np.int32)
         ranks[at + 1] = rank

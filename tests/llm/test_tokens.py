@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from semsearch.llm import pack, repair
 from semsearch.llm.common import scratch_path
-from semsearch.llm.encode import UnitEncoder, in_slices
+from semsearch.llm.encode import UnitEncoder, _stems_and_tails, in_slices
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ODD = [
@@ -96,6 +96,30 @@ def docs(spark, texts, **more):
     return spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, start string")
 
 
+@pytest.mark.parametrize("spread", [3, 40, 4000])
+def test_sorted_pairs_are_found_as_in_slots(monkeypatch, spread):
+    """Short sequences are sorted at once; all keys that occur often stand where the slots find them."""
+    rng = np.random.default_rng(spread)
+    ids = rng.integers(0, spread, 5000).astype(np.int64)
+    keys = ids[:-1] << 32 | ids[1:]
+    monkeypatch.setattr(repair, "SLOT_BITS", 6)
+    found = []
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(repair, "SORTED", most)
+        found.append(repair._places(keys, 1 << 14, 2))
+    for a, b in zip(*found, strict=True):
+        assert a.tolist() == b.tolist()
+    chosen, at, rank = found[0]
+    assert chosen[rank].tolist() == keys[at].tolist() and len(at) == np.isin(keys, chosen).sum()
+
+
+def test_tails_are_the_bytes_after_the_stems():
+    units = pa.array(["x", " é!?", "äß.", "", "日本。,", "a,b;", "...", " \U0001f600!", "Ж)"]).slice(1)
+    stems, tails = _stems_and_tails(units)
+    assert [s + t for s, t in zip(stems.to_pylist(), tails.to_pylist(), strict=True)] == units.to_pylist()
+    assert tails.to_pylist()[:2] == ["!?", "."] and [len(x) for x in _stems_and_tails(units[:0])] == [0, 0]
+
+
 def test_shards_round_trip(spark):
     texts = [(k * 3 % 29, t) for k, t in enumerate(ODD)] + [(5, "again"), (5, "again"), (None, "no place")]
     path = scratch_path(spark, "shards")
