@@ -26,6 +26,8 @@ from .encode import encoder, in_slices
 
 #: Tokens after which a shard ends, at the next end of a document.
 SHARD_TOKENS = 1 << 20
+#: Bytes of text that are encoded at once; more than a batch has, as each call looks through all known pieces.
+ENCODE_BYTES = 8_000_000
 #: Pairs replaced in a round, and how often a pair must occur: a rarer one saves less than the 12 bytes of its rule.
 PAIRS, LEAST = 16384, 8
 #: Slots that pairs are counted in before the frequent ones are counted exactly, as a power of 2.
@@ -232,14 +234,21 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for a, b in in_slices(batch.column(1), min(6_000_000, 3 * shard_tokens)):
+            for a, b in in_slices(batch.column(1), ENCODE_BYTES):
                 some, ends = codec.encode(batch.column(1)[a:b])
-                doc_ids += batch.column(0)[a:b].to_pylist()
-                ids.append(np.insert(some, ends, end_id))
-                sizes.append(np.diff(ends, prepend=0) + 1)
-                size += len(ids[-1])
-                if size >= shard_tokens:
-                    yield flush()
+                some, ends = np.insert(some, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                names, done = batch.column(0)[a:b].to_pylist(), 0
+                while done < len(names):
+                    # a shard ends with the document that fills it
+                    token = int(ends[done - 1]) if done else 0
+                    stop = min(len(names), int(np.searchsorted(ends, token + shard_tokens - size)) + 1)
+                    doc_ids += names[done:stop]
+                    ids.append(some[token : ends[stop - 1]])
+                    sizes.append(np.diff(ends[done:stop], prepend=token))
+                    size += len(ids[-1])
+                    done = stop
+                    if size >= shard_tokens:
+                        yield flush()
         if doc_ids:
             yield flush()
 

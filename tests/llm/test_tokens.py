@@ -229,3 +229,33 @@ def test_crc_of_ids_is_that_of_bytes(spark):
     got = {r.doc_id: r.ids_crc32 for r in op5_sum_of_squares_packing(spark, folder).collect()}
     for i, t in ((1, "some words"), (2, None)):
         assert got[i] == zlib.crc32(np.array([*plain_of(FILES[1])(t), 0], "<u4").tobytes())
+
+
+def test_single_words_go_to_the_model_alone():
+    """The whole of a text's new words must not pass the splitting of the library once more."""
+    codec, library, seen = UnitEncoder(public_tokenizers.path(FILES[0])), plain_of(FILES[0]), []
+    words = [chr(k) for k in [*range(33, 127), *range(0xC0, 0x530)]]
+    texts = [*words, *(f"{w}{w} {w}" for w in words), "it's over, isn't it? 12 34a <|endoftext|> 日本 x²"]
+    whole = codec.tokenizer
+
+    class Watched:
+        model = whole.model
+
+        def encode_batch_fast(self, pieces, **how):
+            seen.extend(pieces)
+            return whole.encode_batch_fast(pieces, **how)
+
+    codec.tokenizer = Watched()
+    assert split(*codec.encode(pa.array(texts))) == [library(t) for t in texts]
+    assert {"it's", " 日本", "<|endoftext|>"} & set(seen) and not {" over", " é", " Ж", "A", " 12", "?"} & set(seen)
+
+
+def test_a_shard_ends_with_the_document_that_fills_it(spark):
+    path = scratch_path(spark, "shards")
+    one_task = docs(spark, [(k, "word " * (k % 17)) for k in range(300)]).coalesce(1)
+    repair.write_shards(one_task, path, public_tokenizers.path(FILES[0]), shard_tokens=50)
+    rows = spark.read.parquet(path).orderBy("part", "shard").collect()
+    for r, after in zip(rows, [*rows[1:], None], strict=True):
+        ends = np.frombuffer(r.doc_ends, "<i8")
+        assert (len(ends) == 1 or ends[-2] < 50) and (ends[-1] >= 50 or after is None or after.part != r.part)
+    assert sum(r.n_docs for r in rows) == 300
