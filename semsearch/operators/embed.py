@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.text import char_tokens
 from ..scratch import numbered_in_order
+from .batches import assigned, sized
 
 #: Texts -> one vector each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -81,19 +81,25 @@ def _bucketed(df: DataFrame, column: str, id_col: str, buckets: int | None, buck
     return df.withColumns({"tokens": tokens, "bucket": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")})
 
 
-def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", buckets: int | None = None, bucket_rows: int = BUCKET_ROWS, config: Config = DEFAULT) -> DataFrame:
-    """item ids with the batch that a greedy fill puts them in: bucket, batch, tokens.
+#: Rows in a range of ids whose batches one task fills, about.
+RANGE_ROWS = 8_192
 
-    The fill is sequential by id, so it runs within hash buckets, unless told
-    otherwise as many as give each about ``bucket_rows`` rows (an id and a number).
-    """
-    sized = _bucketed(df, column, id_col, buckets, bucket_rows, config).select(F.col(id_col).cast("long").alias("item_id"), "tokens", "bucket")
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id", kind="stable")
-        return pdf.assign(batch=fill_batches(pdf["tokens"].to_numpy(), config))[["item_id", "bucket", "batch", "tokens"]]
+def _sized(df: DataFrame, column: str, id_col: str, buckets: int | None, range_rows: int, *others: Column) -> tuple[DataFrame, int]:
+    """Rows of ``batches.sized`` and how many ranges of ids a bucket has."""
+    buckets = buckets or 1
+    rows = sized(df, F.col(id_col).cast("long"), F.length(F.coalesce(column, F.lit(""))), buckets, *others)
+    return rows, -(-rows.count() // (range_rows * buckets))
+
 
-    return sized.groupBy("bucket").applyInPandas(fill, "item_id long, bucket int, batch int, tokens double")
+def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", buckets: int | None = None, range_rows: int = RANGE_ROWS, config: Config = DEFAULT) -> DataFrame:
+    """item ids with the batch that a greedy fill puts them in: bucket, batch, tokens.
+
+    The fill goes through all ids in order, or through those of each of ``buckets``
+    hash buckets; a task takes about ``range_rows`` rows (an id and a number) at once.
+    """
+    placed = assigned(*_sized(df, column, id_col, buckets, range_rows), config)
+    return placed.select(F.col("id").alias("item_id"), "bucket", "batch", (F.col("chars") / config.chars_per_token).alias("tokens"))
 
 
 def embed_in_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", embedder: Embedder | None = None, out: str = "vector", buckets: int | None = None, bucket_rows: int = BUCKET_ROWS, config: Config = DEFAULT) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -225,6 +226,38 @@ def test_greedy_batches(spark):
     assert [r.batch for r in got] == [0, 1, 2]
 
 
+def greedy(sized, config):
+    """The batch of each (id, characters) in turn, by a plain loop."""
+    batch, texts, total, out = 0, 0, 0.0, {}
+    for k, n in sized:
+        t = n / config.chars_per_token
+        if texts and (texts >= config.batch_texts or total + t > config.batch_tokens):
+            batch, texts, total = batch + 1, 0, 0.0
+        texts, total = texts + 1, total + t
+        out[k] = batch
+    return out
+
+
+def test_greedy_batches_cross_ranges(spark):
+    rng = random.Random(3)
+    sizes = [(k * 3, rng.choice((0, 1, 40, 160, 400, 500, 900))) for k in range(700)]
+    df = spark.createDataFrame([(k, "x" * n if n else None) for k, n in sizes], "item_id long, content string").repartition(5)
+    for config in (Config(batch_texts=7, batch_tokens=125), Config(batch_texts=300, batch_tokens=100_000), Config(batch_texts=1), Config(batch_tokens=30, chars_per_token=3)):
+        for rows in (9, 64):
+            got = E.assign_embedding_batches(df, range_rows=rows, config=config).collect()
+            assert {r.item_id: r.batch for r in got} == greedy(sizes, config) and len(got) == 700 and {r.bucket for r in got} == {0}
+            assert {r.item_id: r.tokens for r in got} == {k: n / config.chars_per_token for k, n in sizes}
+    same = spark.createDataFrame([(k, "x" * 10) for k in [1, None] * 50], "item_id long, content string")
+    got = sorted((r.item_id is None, r.batch) for r in E.assign_embedding_batches(same, range_rows=8, config=Config(batch_texts=30)).collect())
+    assert got == [(k >= 50, k // 30) for k in range(100)]
+    assert E.assign_embedding_batches(same.limit(0)).count() == 0
+
+
+def test_many_items_are_one_fill(spark):
+    df = spark.range(9_000).select(F.col("id").alias("item_id"), F.lit("text").alias("content"))
+    assert E.assign_embedding_batches(df).where("bucket = 0 AND batch = floor(item_id / 2048)").count() == 9_000
+
+
 def history(spark):
     rows = [(k, f"2024-01-{1 + k % 9:02d} 23:59:59", k % 3, "Query" if k % 2 else "other", "resp", [f"c{k % 4}", "c9"], 1 if k % 5 == 0 else None) for k in range(40)]
     return spark.createDataFrame(rows, "id long, created_at string, user_id long, query string, response string, collections_used array<string>, feedback int").withColumn("created_at", F.col("created_at").cast("timestamp"))
