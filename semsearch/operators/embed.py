@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import char_tokens
 from ..scratch import numbered_in_order
-from .batches import assigned, sized
+from .batches import IN_ORDER, assigned, followers, sized
 
 #: Texts -> one vector each.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -60,27 +59,6 @@ def embed_documents(df: DataFrame, column: str = "content", embedder: Embedder |
     return df.mapInArrow(run, f"{schema}, `{out}` array<double>")
 
 
-#: Rows in a bucket that batches are filled in, about.
-BUCKET_ROWS = 8_192
-
-
-def fill_batches(tokens: np.ndarray, config: Config = DEFAULT) -> np.ndarray:
-    """The batch of each text in turn, from 0: a batch ends before it would have more texts or estimated tokens than an embedder takes."""
-    batch, texts, total, out = 0, 0, 0.0, np.zeros(len(tokens), np.int32)
-    for i, t in enumerate(tokens.tolist()):
-        if texts and (texts >= config.batch_texts or total + t > config.batch_tokens):
-            batch, texts, total = batch + 1, 0, 0.0
-        texts, total = texts + 1, total + t
-        out[i] = batch
-    return out
-
-
-def _bucketed(df: DataFrame, column: str, id_col: str, buckets: int | None, bucket_rows: int, config: Config) -> DataFrame:
-    buckets = buckets or max(1, -(-df.count() // bucket_rows))
-    tokens = char_tokens(F.coalesce(column, F.lit("")), config.chars_per_token).cast("double")
-    return df.withColumns({"tokens": tokens, "bucket": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")})
-
-
 #: Rows in a range of ids whose batches one task fills, about.
 RANGE_ROWS = 8_192
 
@@ -102,23 +80,26 @@ def assign_embedding_batches(df: DataFrame, column: str = "content", id_col: str
     return placed.select(F.col("id").alias("item_id"), "bucket", "batch", (F.col("chars") / config.chars_per_token).alias("tokens"))
 
 
-def embed_in_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", embedder: Embedder | None = None, out: str = "vector", buckets: int | None = None, bucket_rows: int = BUCKET_ROWS, config: Config = DEFAULT) -> DataFrame:
+def embed_in_batches(df: DataFrame, column: str = "content", id_col: str = "item_id", embedder: Embedder | None = None, out: str = "vector", buckets: int | None = None, range_rows: int = RANGE_ROWS, config: Config = DEFAULT) -> DataFrame:
     """``df`` with bucket, batch, a vector per row and error: one call of the embedder gets the texts of exactly one batch.
 
     Batches are those of ``assign_embedding_batches``: at most ``config.batch_texts``
     texts and ``config.batch_tokens`` estimated tokens, unless one text alone has
     more.  A call that raises, or gives other than a vector per text, fails its batch
     alone: these rows have no vector and the error's text.  A null text is an empty one.
+    Rows of one range are filled and embedded by one task, those of more meet by their batch.
     """
     embedder = embedder or HashEmbedder()
     names = df.columns
-    sized = _bucketed(df, column, id_col, buckets, bucket_rows, config)
+    rows, ranges = _sized(df, column, id_col, buckets, range_rows, F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    placed = assigned(rows, ranges, config) if ranges > 1 else rows.withColumn("batch", F.lit(0))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(id_col, "ascending")])
-        batches, texts = fill_batches(table["tokens"].to_numpy(), config), [t or "" for t in table[column].to_pylist()]
-        vectors, errors, a = [], [], 0
-        for n in np.bincount(batches).tolist():
+        table = table.sort_by([(f"_{c}", way) for c, way in IN_ORDER])
+        texts, after = [t or "" for t in table[column].to_pylist()], followers(table["_chars"].to_numpy(), config)[1]
+        batches, vectors, errors, a = [], [], [], 0
+        while a < len(texts):
+            n = int(after[a]) - a
             try:
                 made = np.asarray(embedder(texts[a : a + n]), float)
                 if made.ndim != 2 or len(made) != n:
@@ -128,12 +109,14 @@ def embed_in_batches(df: DataFrame, column: str = "content", id_col: str = "item
             except Exception as e:  # the batch fails, whatever it was; the others go on
                 vectors += [None] * n
                 errors += [f"{type(e).__name__}: {e}"] * n
+            batches += [(batches[-1] if batches else table["_batch"][0].as_py() - 1) + 1] * n
             a += n
-        lists = pa.array(vectors, pa.list_(pa.float64()))
-        return pa.table([*(table[c] for c in names), table["bucket"], pa.array(batches, pa.int32()), lists, pa.array(errors, pa.string())], names=[*names, "bucket", "batch", out, "error"])
+        made = [pa.array(batches, pa.int32()), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())]
+        return pa.table([*(table[c] for c in names), table["_bucket"], *made], names=[*names, "bucket", "batch", out, "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return sized.select(*names, "tokens", "bucket").groupBy("bucket").applyInArrow(run, f"{schema}, bucket int, batch int, `{out}` array<double>, error string")
+    placed = placed.select("row.*", *(F.col(c).alias(f"_{c}") for c in ("bucket", "batch", "id", "chars")))
+    return placed.groupBy("_bucket", "_batch").applyInArrow(run, f"{schema}, bucket int, batch int, `{out}` array<double>, error string")
 
 
 def batch_size(items: Column, config: Config = DEFAULT, rule: str = "server") -> Column:

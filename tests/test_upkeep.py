@@ -241,6 +241,21 @@ def test_one_call_of_the_embedder_gets_one_batch(spark, tmp_path):
     assert all(r.vector is None and r.error.startswith("ValueError: 2 texts") for r in short)
 
 
+def test_batches_of_many_items_are_one_fill(spark, tmp_path):
+    df = spark.range(9_000).select((8_999 - F.col("id")).alias("item_id"), F.format_string("text %d", 8_999 - F.col("id")).alias("content"))
+
+    def recorded(batch):
+        (tmp_path / f"{random.random()}").write_text("\n".join(batch))
+        if "text 2048" in batch:
+            raise RuntimeError("refused")
+        return np.ones((len(batch), 2))
+
+    got = E.embed_in_batches(df, embedder=recorded).collect()
+    assert sorted((r.item_id, r.bucket, r.batch, r.content, r.error) for r in got) == [(k, 0, k // 2048, f"text {k}", "RuntimeError: refused" if k // 2048 == 1 else None) for k in range(9_000)]
+    calls = sorted((f.read_text().split("\n") for f in tmp_path.iterdir()), key=lambda c: int(c[0][5:]))
+    assert calls == [[f"text {k}" for k in range(a, min(a + 2048, 9_000))] for a in range(0, 9_000, 2048)]
+
+
 def test_failed_batches_reach_the_outcomes(spark):
     rows = [(k, 1, "A", f"title {k}", "text", {"a": "b"}, "u") for k in range(30)]
     items = spark.createDataFrame(rows, "item_id long, collection_id long, collection_name string, title string, description string, metadata map<string,string>, url string")
