@@ -6,12 +6,30 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
 
 
+def _wide(t: T.DataType) -> T.DataType:
+    """The type with doubles for floats, however nested."""
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_wide(t.elementType), t.containsNull)
+    if isinstance(t, T.MapType):
+        return T.MapType(_wide(t.keyType), _wide(t.valueType), t.valueContainsNull)
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _wide(f.dataType), f.nullable) for f in t])
+    return T.DoubleType() if isinstance(t, T.FloatType) else t
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Floats as doubles: the shortest text of a float, read as a double, is another number."""
+    return df.select(*(F.col(f"`{f.name}`").cast(_wide(f.dataType)).alias(f.name) for f in df.schema))
+
+
 def as_text(df: DataFrame) -> DataFrame:
-    """Nested columns as JSON text, for formats without them."""
+    """Nested columns as JSON text, for formats without them; numbers read as doubles are those written."""
+    df = widened(df)
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
     return df.select(*(F.to_json(c).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns))
 
@@ -21,7 +39,7 @@ def write_export(df: DataFrame, path: str, kind: str) -> None:
     if kind == "csv":
         as_text(df).write.option("header", True).option("escape", '"').csv(path)
     elif kind in ("json", "parquet"):
-        df.write.format(kind).save(path)
+        (widened(df) if kind == "json" else df).write.format(kind).save(path)
     else:
         raise ValueError(f"unknown format {kind!r}")
 

@@ -330,6 +330,17 @@ def test_sources(spark, tmp_path):
     assert ingest.decode_list(ingest.decode_vectors(dump), "used").first() == ([1.0, 2.0], ["a"])
 
 
+def test_exported_floats_are_the_same_numbers(spark, tmp_path):
+    values = [float(np.float32(x)) for x in (0.3195, -0.1, 1e-9, 16777217.0)]
+    df = spark.createDataFrame([(1, values, {"a": values[0]}, values[1]), (2, None, None, None)], "item_id long, vector array<float>, m map<string,float>, x float")
+    for kind in ("csv", "json"):
+        export.export_index(df, str(tmp_path / kind), kind)
+    back = ingest.decode_vectors(spark.read.schema("item_id long, vector string, m string, x double").option("header", True).option("escape", '"').csv(str(tmp_path / "csv")))
+    assert {r.item_id: (r.vector, r.x) for r in back.collect()} == {1: (values, values[1]), 2: (None, None)}
+    back = spark.read.schema("item_id long, vector array<double>, m map<string,double>, x double").json(str(tmp_path / "json"))
+    assert {r.item_id: (r.vector, r.m, r.x) for r in back.collect()} == {1: (values, {"a": values[0]}, values[1]), 2: (None, None, None)}
+
+
 def test_exports(spark, tmp_path):
     df, _ = vectors(spark, 5)
     for kind in ("json", "csv", "parquet"):
