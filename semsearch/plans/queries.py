@@ -438,13 +438,13 @@ def one_collection(spark, d):
 
 
 def read_items(spark, d):
-    """Item pages written as JSON files of each collection, and read again."""
+    """Item pages written as JSON lines of each collection, and read again; a file a page would be a million files at a few GB."""
     path = scratch_path(spark, "item-pages")
     meta = F.array(F.struct(F.lit("type").alias("name"), F.col("m_type").alias("value_as_string")))
     item = F.struct(F.col("item_id").alias("id"), "title", "description", "url", meta.alias("metadata"))
     pages = V.items(spark, d).groupBy("collection_id", F.floor(F.col("item_id") / 50).alias("page")).agg(F.collect_list(item).alias("items"))
-    pages.select("collection_id", "items").write.option("maxRecordsPerFile", 1).partitionBy("collection_id").json(path)
-    return ingest.read_items(spark, path).select("item_id", "collection_id", "title", F.length("description").cast(LONG).alias("chars"), F.col("metadata")["type"].alias("m_type"))
+    pages.select("collection_id", "items").write.partitionBy("collection_id").json(path)
+    return ingest.read_items(spark, path, lines=True).select("item_id", "collection_id", "title", F.length("description").cast(LONG).alias("chars"), F.col("metadata")["type"].alias("m_type"))
 
 
 def metadata_defs(spark, d):

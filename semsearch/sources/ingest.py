@@ -33,9 +33,9 @@ def metadata_map(entries):
     return F.coalesce(last_of_each(F.transform(named, lambda e: F.struct(e["name"].alias("key"), e["value_as_string"].alias("value")))), F.create_map().cast("map<string,string>"))
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items from page files under ``collection_id=<id>`` folders."""
-    pages = spark.read.schema(ITEM_PAGE + ", collection_id long").option("multiLine", True).option("basePath", path).json(path)
+def read_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Items from JSON files under ``collection_id=<id>`` folders, each a page, or with ``lines`` one page a line."""
+    pages = spark.read.schema(ITEM_PAGE + ", collection_id long").option("multiLine", not lines).option("basePath", path).json(path)
     return flat_items(pages)
 
 

@@ -330,6 +330,25 @@ def test_sources(spark, tmp_path):
     assert ingest.decode_list(ingest.decode_vectors(dump), "used").first() == ([1.0, 2.0], ["a"])
 
 
+def test_many_item_pages_in_a_file(spark, tmp_path):
+    folder = tmp_path / "items" / "collection_id=7"
+    folder.mkdir(parents=True)
+    item = lambda k: {"id": k, "title": f"Vase {k}\r\n\u2028", "metadata": [{"name": "y", "value_as_string": str(k)}]}
+    pages = [{"items": [item(k) for k in range(a, a + 3)]} for a in range(0, 30, 3)]
+    lines = [json.dumps(p, ensure_ascii=k % 2 == 0) for k, p in enumerate(pages)]
+    (folder / "p1.json").write_text("\n".join(["", *lines, json.dumps({"items": []}), json.dumps({}), "not a page", ""]))
+    got = sorted((r.item_id, r.collection_id, r.title, r.metadata) for r in ingest.read_items(spark, str(tmp_path / "items"), lines=True).collect())
+    assert got == [(k, 7, f"Vase {k}\r\n\u2028", {"y": str(k)}) for k in range(30)]
+
+
+def test_item_pages_share_files(spark):
+    sf = SF.replace("0.001", "0.01")
+    df = queries.read_items(spark, sf)
+    files = df.inputFiles()
+    assert df.count() == queries.V.items(spark, sf).count()
+    assert len({f.rsplit("/", 1)[0] for f in files}) == 20 and len(files) <= 4 * 20  # not a file for each of some 400 pages
+
+
 def test_exported_floats_are_the_same_numbers(spark, tmp_path):
     values = [float(np.float32(x)) for x in (0.3195, -0.1, 1e-9, 16777217.0)]
     df = spark.createDataFrame([(1, values, {"a": values[0]}, values[1]), (2, None, None, None)], "item_id long, vector array<float>, m map<string,float>, x float")
